@@ -9,6 +9,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shipping import ship
+
 #: Most bytes that Spark hands to a Python worker in one Arrow batch. Bounds a worker's memory whatever the row sizes.
 ARROW_BATCH_BYTES = "8m"
 ARROW_BATCH_ROWS = "4000"
@@ -20,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bound_arrow(spark: SparkSession) -> None:
-    """Hold Arrow batches to a size that fits a worker, as text rows can be very long."""
+    """Ready the session for Python: hold Arrow batches to a size that fits a worker, as text rows can be very long."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BATCH_BYTES)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_BATCH_ROWS)
 

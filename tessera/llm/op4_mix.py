@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Written
+from .common import Written, bound_arrow
 
 #: Rows of a block, and residual documents that one node of the tree combines.
 BLOCK_ROWS, FAN_IN = 20_000, 4_096
@@ -96,6 +96,7 @@ def _round(seed: int, level: int, last: bool):
 def mix(docs: DataFrame, weights: list[float] = (5, 2, 1), share: float = 1.0, most: int = 3, seed: int = 17, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """doc_id, source, size, source_size, target, copies and taken (size * copies) of each row."""
     spark = docs.sparkSession
+    bound_arrow(spark)
     sized = Written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size")), "sizes")
     rows = sized.df.groupBy("source").agg(F.sum("size").alias("words"), F.count("*").alias("rows")).limit(MOST_SOURCES + 1).collect()
     if len(rows) > MOST_SOURCES:

@@ -6,11 +6,17 @@ import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import op2_pack, op3_pii, op4_mix, op5_shard
+from . import op1_lines, op2_pack, op3_pii, op4_mix, op5_shard, op6_bwt, op7_toxic, op8_media, op9_jaccard, op10_decon
 from .common import shared_dir, table
 
 
+def op1_lines_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = op1_lines.dedup(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_removed", "n_runs", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -33,10 +39,55 @@ def op5_shard_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op5_shard.shard(table(spark, sf_dir, "documents"))
 
 
+def op6_bwt_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op6_bwt.dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+def op7_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op7_toxic.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_media_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op8_media.classes(op8_media.render(table(spark, sf_dir, "embeddings")))
+
+
+def op9_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op9_jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+def op10_decon_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return op10_decon.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+OWN = (
+    op1_lines_suffix, op2_pack_tokens, op3_pii_disclosure, op4_mix_pivotal, op5_shard_jump,
+    op6_bwt_dedup, op7_toxic_lexicon, op8_media_descriptors, op9_jaccard_rtree, op10_decon_template,
+)
+
+#: Line runs by self-joins of line triples; the last line feed of a kept text falls as in the operator.
+_OP1 = """
+with l as (
+  select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) as line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) - 1 as i
+  from documents),
+w as (
+  select doc_id, i, line as a, lead(line, 1) over d as b, lead(line, 2) over d as c from l window d as (partition by doc_id order by i)),
+later as (
+  select doc_id, i from (
+    select doc_id, i, row_number() over (partition by a, b, c order by doc_id, i) as turn from w where c is not null) where turn > 1),
+gone as (select distinct doc_id, i + d as i from later, (values (0), (1), (2)) s(d)),
+flag as (
+  select l.doc_id, l.i, l.line, g.i is not null as gone from l left join gone g on g.doc_id = l.doc_id and g.i = l.i),
+runs as (
+  select *, case when gone and not coalesce(lag(gone) over (partition by doc_id order by i), false) then 1 else 0 end as new_run from flag)
+select doc_id, count(*) as n_lines, cast(sum(case when gone then 1 else 0 end) as bigint) as n_removed, cast(sum(new_run) as bigint) as n_runs,
+  sha256(coalesce(string_agg(case when not gone then line end, chr(10) order by i), '')) as kept_sha256
+from runs group by doc_id
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op2_pack_tokens, op3_pii_disclosure, op4_mix_pivotal, op5_shard_jump)
-    return {q.__name__: q for q in own}
+    return {q.__name__: q for q in OWN}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_lines_suffix": _OP1}

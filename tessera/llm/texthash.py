@@ -7,7 +7,7 @@ import numpy as np
 _rng = np.random.default_rng(20240229)
 #: A random 64-bit value for each byte, and an odd multiplier with its inverse modulo 2**64.
 BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-BASE = int(_rng.integers(1 << 60, 1 << 62)) * 8 + 3
+BASE = (int(_rng.integers(1 << 60, 1 << 62)) * 8 + 3) % (1 << 64)
 INVERSE = pow(BASE, -1, 1 << 64)
 
 WHITE = np.zeros(256, bool)
