@@ -28,7 +28,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from .common import bound_arrow
 from .texthash import mix, spans
@@ -229,18 +228,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, bloc
     return found
 
 
+def _clean(sent):
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        items, canonical = sent.value, Canonical()
+        for texts in batches:
+            yield pd.Series([not items.judge(canonical, t or "") for t in texts], dtype=bool)
+
+    return run
+
+
 def without(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """The documents that no item contaminates, with all columns. Texts are neither shuffled nor joined."""
     bound_arrow(docs.sparkSession)
     for block in _blocks(benchmark, block_tokens):
         sent = docs.sparkSession.sparkContext.broadcast(Items(block, size))
 
-        def clean_of(batches, sent=sent):
-            items, canonical = sent.value, Canonical()
-            for texts in batches:
-                yield pd.Series([not items.judge(canonical, t or "") for t in texts], dtype=bool)
-
-        docs = docs.where(F.pandas_udf(clean_of, "boolean", PandasUDFType.SCALAR_ITER)(F.col("text")))
+        docs = docs.where(F.pandas_udf(_clean(sent), "boolean")(F.col("text")))
     return docs
 
 

@@ -88,6 +88,11 @@ def _listed(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda s: F.concat_ws(":", F.lit(kind), s["start"].cast("string"), s["end"].cast("string")))
 
 
+def _entities(kind: str) -> Column:
+    """array<entity, start, end> of a kind's spans; an entity is a kind and a value."""
+    return F.transform(F.col(kind), lambda s: F.struct(F.concat(F.lit(f"{kind}:"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end")))
+
+
 def _near(text: Column, entity: Column) -> Column:
     """array<start, end, value> of the terms around an entity, the entity's own letters left out."""
     low = F.greatest(entity["start"] - REACH, F.lit(0))
@@ -101,7 +106,7 @@ def find(docs: DataFrame, share: float = SHARE, support: int = SUPPORT) -> DataF
     """doc_id and an array of spans (start, end, value) a kind: email, ip, card, phone and term."""
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     spans = texts.select("doc_id", "text", *(base_spans(F.col("text"), k).alias(k) for k in KINDS))
-    entities = F.concat(*(F.transform(F.col(k), lambda s, k=k: F.struct(F.concat(F.lit(f"{k}:"), F.lower(s["value"])).alias("entity"), s["start"].alias("start"), s["end"].alias("end"))) for k in KINDS))
+    entities = F.concat(*map(_entities, KINDS))
     around = F.transform(entities, lambda e: F.struct(e["entity"].alias("entity"), _near(F.col("text"), e).alias("terms")))
     held = Written(spans.select(F.monotonically_increasing_id().alias("row"), "doc_id", *KINDS, around.alias("around")), "pii")
 

@@ -28,7 +28,6 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.functions import PandasUDFType
 
 from .common import Written, bound_arrow
 
@@ -239,14 +238,14 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
     bound_arrow(spark)
     sent = spark.sparkContext.broadcast(model)
 
-    def scored(batches):
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         held, folder = sent.value, Folder()
         automaton = held.automaton()
         for texts in batches:
             words = [folder.text(t or "") for t in texts]
             yield pd.Series([curve(held.curve, features(hits(w, automaton, held.exceptions), len(w))) for w in words], dtype=float)
 
-    scored = F.pandas_udf(scored, "double", PandasUDFType.SCALAR_ITER)
+    scored = F.pandas_udf(scored, "double")
     return docs.withColumn("toxic_score", scored(F.col("text"))).withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
 
 
