@@ -1,8 +1,8 @@
 """Toxicity by a weighted lexicon.
 
 Texts are folded first: letters that look alike and digits that stand for letters become plain letters, marks inside a word
-go. The lexicon has folded words and beginnings of words, with weights from labelled documents: the lower end of the
-log-odds' interval, so that rare coincidences weigh nothing. An Aho-Corasick automaton finds the terms of a whole folded text
+go. The lexicon has folded words and beginnings of words, with weights from labelled documents: how much more often toxic
+texts use them, as the lower end of an interval, so that rare coincidences weigh nothing. An Aho-Corasick automaton finds the terms of a whole folded text
 at once. A term inside an exception phrase (a pair of words that labelled clean documents use it in) doesn't count. The sum
 of weights, as such and by the text's length, goes through a logistic curve that is fitted to the same documents.
 
@@ -33,8 +33,10 @@ from .common import Written, bound_arrow
 
 TRAIN_ROWS, CANDIDATES, TERMS = 40_000, 40_000, 8_000
 #: Beginnings of words that can be terms have 4 to 7 letters; whole words up to LONGEST.
-STEMS, LONGEST = (4, 5, 6, 7), 24
-SUPPORT, LEAST_WEIGHT, Z = 6, 2.0, 1.96
+STEMS, LONGEST = (4, 5, 6, 7, 8), 24
+SUPPORT, LEAST_WEIGHT, Z = 6, 1.3, 1.96
+#: Uses of a term that count in one document when learning, and those of a word when scoring.
+MOST_USES, MOST_REPEATS = 10, 2
 CACHE_WORDS = 400_000
 
 #: Characters that stand for a Latin letter.
@@ -73,18 +75,25 @@ class Folder(dict):
         return [w for w in map(self.__getitem__, text.split()) if w]
 
 
-def terms(words: set[str]) -> set[str]:
-    """What a text's words offer the lexicon: beginnings, and whole words with a blank at the end."""
-    out = {w + " " for w in words if 2 < len(w) <= LONGEST}
-    for n in STEMS:
-        out |= {w[:n] for w in words if len(w) >= n}
+def terms(words: list[str]) -> Counter[str]:
+    """What a text offers the lexicon, with its uses: beginnings of words, and whole words with a blank at the end."""
+    out: Counter[str] = Counter()
+    for w, n in Counter(words).items():
+        if 2 < len(w) <= LONGEST:
+            out[w + " "] += n
+        for size in STEMS:
+            if len(w) >= size:
+                out[w[:size]] += n
     return out
 
 
-def weight(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
-    """The lower end of the log-odds that a document with the term is toxic rather than clean."""
-    mid = np.log((toxic + 0.5) / (n_toxic + 1)) - np.log((clean + 0.5) / (n_clean + 1))
-    return mid - Z * np.sqrt(1 / (toxic + 0.5) + 1 / (clean + 0.5))
+def weight(toxic: np.ndarray, clean: np.ndarray, toxic_docs: np.ndarray, clean_docs: np.ndarray, ratio: float) -> np.ndarray:
+    """The lower end of the logarithm of how much more often toxic texts use a term; `ratio`: clean words by toxic ones.
+
+    Uses in one document depend on each other, so the interval is that of the numbers of documents.
+    """
+    mid = np.log((toxic + 0.5) / (clean + 0.5) * ratio)
+    return mid - Z * np.sqrt(1 / (toxic_docs + 0.5) + 1 / (clean_docs + 0.5))
 
 
 @dataclass
@@ -125,9 +134,15 @@ def hits(words: list[str], automaton, exceptions: frozenset[tuple[str, str]]) ->
     return out
 
 
-def features(found: list[tuple[int, float]], words: int) -> tuple[float, float, float]:
-    total = sum(v for _, v in found)
-    return (1.0 if found else 0.0, float(np.log1p(total)), float(np.log1p(100 * total / max(words, 20))))
+def features(found: list[tuple[int, float]], words: list[str]) -> tuple[float, float, float]:
+    """The sum of weights, as such and by the text's length, and the largest. A word counts MOST_REPEATS times at most."""
+    uses: Counter[str] = Counter()
+    total = 0.0
+    for number, value in found:
+        uses[words[number]] += 1
+        if uses[words[number]] <= MOST_REPEATS:
+            total += value
+    return (float(np.log1p(total)), float(np.log1p(100 * total / max(len(words), 20))), max((v for _, v in found), default=0.0))
 
 
 def fit(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
@@ -154,28 +169,41 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 3 == 1, F.lit(False))
 
 
-def _terms_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    folder, held = Folder(), Counter()
-    for batch in batches:
-        for text in batch.column("text").to_pylist():
-            held.update(terms(set(folder.text(text or ""))))
-            if len(held) > 500_000:
-                yield pa.record_batch([pa.array(list(held)), pa.array(list(held.values()), pa.int64())], ["term", "n"])
-                held = Counter()
-    yield pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
+_USES = "term string, uses long, docs long"
+
+
+def _uses(held: dict[str, list[int]], words: int) -> pa.RecordBatch:
+    """Terms with their uses and documents; the empty term has all words."""
+    held[""] = [words, 0]
+    return pa.record_batch([pa.array(list(held)), pa.array([v[0] for v in held.values()], pa.int64()), pa.array([v[1] for v in held.values()], pa.int64())], ["term", "uses", "docs"])
+
 
+def _count(asked):
+    """Uses of the asked terms, or of all if there is no list; counts leave the worker whenever there are many."""
 
-def _counted(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        asked, folder, held = sent.value, Folder(), Counter()
+        only, folder, held, total = asked and asked.value, Folder(), {}, 0
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                held.update(terms(set(folder.text(text or ""))) & asked)
-        yield pa.record_batch([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["term", "n"])
+                words = folder.text(text or "")
+                total += len(words)
+                for term, n in terms(words).items():
+                    if only is None or term in only:
+                        entry = held.setdefault(term, [0, 0])
+                        entry[0] += min(n, MOST_USES)
+                        entry[1] += 1
+                if len(held) > 300_000:
+                    yield _uses(held, total)
+                    held, total = {}, 0
+        yield _uses(held, total)
 
     return run
 
 
+def _counted(rows: DataFrame, asked=None) -> DataFrame:
+    return rows.select("text").mapInArrow(_count(asked), _USES).groupBy("term").agg(F.sum("uses").alias("uses"), F.sum("docs").alias("docs"))
+
+
 def _phrases(sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, folder, held = sent.value.automaton(), Folder(), Counter()
@@ -196,7 +224,7 @@ def _features(sent):
         automaton = model.automaton()
         for batch in batches:
             words = [folder.text(t or "") for t in batch.column("text").to_pylist()]
-            x = np.array([features(hits(w, automaton, model.exceptions), len(w)) for w in words]).reshape(-1, 3)
+            x = np.array([features(hits(w, automaton, model.exceptions), w) for w in words]).reshape(-1, 3)
             yield pa.record_batch([batch.column("toxic"), *(pa.array(x[:, i]) for i in range(3))], ["toxic", "x0", "x1", "x2"])
 
     return run
@@ -215,17 +243,20 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
         return Model()
     send = spark.sparkContext.broadcast
     support = max(SUPPORT, n_toxic // 1000)
-    common = train.df.where("toxic = 1").select("text").mapInArrow(_terms_of, "term string, n long").groupBy("term").agg(F.sum("n").alias("n")).where(F.col("n") >= support)
-    toxic = {r.term: r.n for r in common.orderBy(F.desc("n"), "term").limit(CANDIDATES).collect()}
-    counted = train.df.where("toxic = 0").select("text").mapInArrow(_counted(send(frozenset(toxic))), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
-    clean = {r.term: r.n for r in counted.collect()}
-    names = sorted(toxic)
-    w = weight(np.array([toxic[t] for t in names], float), np.array([clean.get(t, 0) for t in names], float), n_toxic, n_clean)
-    weights = {names[i]: float(w[i]) for i in np.argsort(-w, kind="stable")[:TERMS] if w[i] >= LEAST_WEIGHT}
-    model = Model(weights)
-    pairs = train.df.mapInArrow(_phrases(send(model)), "a string, b string, toxic int, n long").groupBy("a", "b").agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
+    toxic_uses = Written(_counted(train.df.where("toxic = 1")), "toxic-uses")
+    toxic = {r.term: r for r in toxic_uses.df.where((F.col("docs") >= support) & (F.col("term") != "")).orderBy(F.desc("docs"), "term").limit(CANDIDATES).collect()}
+    toxic_words = toxic_uses.df.where("term = ''").first().uses
+    clean = {r.term: r for r in _counted(train.df.where("toxic = 0"), send(frozenset(toxic))).collect()}
+    toxic_uses.drop()
+    names, ratio = sorted(toxic), (clean[""].uses + 1) / (toxic_words + 1)
+    of = lambda rows, field_: np.array([rows[t][field_] if t in rows else 0 for t in names], float)
+    w = weight(of(toxic, "uses"), of(clean, "uses"), of(toxic, "docs"), of(clean, "docs"), ratio)
+    model = Model({names[i]: float(w[i]) for i in np.argsort(-w, kind="stable")[:TERMS] if w[i] >= LEAST_WEIGHT})
+    pairs = train.df.mapInArrow(_phrases(send(model)), "a string, b string, toxic int, n long").groupBy("a", "b")
+    pairs = pairs.agg(F.sum(F.when(F.col("toxic") == 1, F.col("n")).otherwise(0)).alias("t"), F.sum(F.when(F.col("toxic") == 0, F.col("n")).otherwise(0)).alias("c"))
     rows = pairs.where(F.col("c") >= SUPPORT).orderBy(F.desc("c"), "a", "b").limit(TERMS).collect()
-    model.exceptions = frozenset((r.a, r.b) for r in rows if weight(np.array([r.c]), np.array([r.t]), n_clean, n_toxic)[0] > 0)
+    safe = lambda r: weight(*(np.array([n], float) for n in (r.c, r.t, r.c, r.t)), n_toxic / n_clean)[0] > 0
+    model.exceptions = frozenset((r.a, r.b) for r in rows if safe(r))
     x = train.df.mapInArrow(_features(send(model)), "toxic int, x0 double, x1 double, x2 double").orderBy("toxic", "x0", "x1", "x2").toPandas().to_numpy(float)
     model.curve = fit(x[:, 1:], x[:, 0])
     train.drop()
@@ -243,7 +274,7 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
         automaton = held.automaton()
         for texts in batches:
             words = [folder.text(t or "") for t in texts]
-            yield pd.Series([curve(held.curve, features(hits(w, automaton, held.exceptions), len(w))) for w in words], dtype=float)
+            yield pd.Series([curve(held.curve, features(hits(w, automaton, held.exceptions), w)) for w in words], dtype=float)
 
     scored = F.pandas_udf(scored, "double")
     return docs.withColumn("toxic_score", scored(F.col("text"))).withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
