@@ -15,6 +15,7 @@ stored as -1. Other columns are ignored.
 from __future__ import annotations
 
 import os
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -28,7 +29,7 @@ from .common import bound_arrow, partitions
 #: Ids that a block holds at least before it ends (one document's ids are never split).
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker remembers, and the longest such word.
-CACHE_WORDS, CACHE_CHARS = 300_000, 48
+CACHE_WORDS, CACHE_CHARS = 1_400_000, 48
 
 
 def width(vocabulary: int) -> int:
@@ -57,34 +58,48 @@ def unpack(data: bytes, n: int, bits: int, first: int = 0) -> np.ndarray:
 
 
 class WordEncoder:
-    """Ids of texts as little-endian unsigned 32-bit bytes.
+    """Ids of texts as little-endian unsigned integers of `unit` bytes.
 
-    The tokenizer cuts at white space, so a text's ids are those of its pieces between blanks and line ends in a row.
-    Pieces repeat, and their ids are kept.
+    The tokenizer lower-cases and cuts at white space and between letters and marks, so a text's ids are those of its pieces
+    between blanks and line ends in a row, and a word's are those of its small letters, then of the marks behind. Pieces
+    repeat, and their ids are kept.
     """
 
-    def __init__(self, model: str):
+    def __init__(self, model: str, unit: int = 4):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_str(model)
+        self.tokenizer, self.unit, self.code = Tokenizer.from_str(model), unit, {1: "B", 2: "H", 4: "I"}[unit]
         self.known: dict[str, bytes] = {"": b""}
 
-    def _learn(self, pieces: list[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {"": b""}
-        for piece, got in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = np.asarray(got.ids, "<u4").tobytes()
+    def _encode(self, pieces: list[str]) -> None:
+        for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
+            self.known[piece] = struct.pack(f"<{len(got.ids)}{self.code}", *got.ids)
+
+    def _learn(self, pieces: set[str]) -> None:
+        known, alone, made = self.known, set(), []
+        for piece in pieces:
+            bare = piece.rstrip(".,")
+            small = bare.lower()
+            if small.isalpha() and (bare.isascii() or max(bare) < "\u0130"):
+                tail = piece[len(bare) :]
+                made.append((piece, small, tail))
+                alone.update(x for x in (small, tail) if x not in known)
+            else:
+                alone.add(piece)
+        self._encode(list(alone))
+        for piece, small, tail in made:
+            known[piece] = known[small] + known[tail]
 
     def __call__(self, text: str) -> bytes:
         pieces = text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.known.__getitem__, pieces))
         except KeyError:
-            new = list({p for p in pieces if p not in self.known})
+            if len(self.known) > CACHE_WORDS:
+                self.known = {"": b""}
+            new = set(pieces).difference(self.known)
             self._learn(new)
-            if any(p not in self.known for p in pieces):  # what was known went when the cache was emptied
-                self._learn(list({p for p in pieces if p not in self.known}))
             out = b"".join(map(self.known.__getitem__, pieces))
             for p in new:
                 if len(p) > CACHE_CHARS:
@@ -92,25 +107,38 @@ class WordEncoder:
             return out
 
 
+_encoders: dict[tuple[int, int], WordEncoder] = {}
+
+
+def encoder(model: str, unit: int) -> WordEncoder:
+    """The worker process's one encoder of a model: what it has learned serves the next tasks too."""
+    key = zlib.crc32(model.encode()), unit
+    if key not in _encoders:
+        _encoders.clear()
+        _encoders[key] = WordEncoder(model, unit)
+    return _encoders[key]
+
+
+def _unit(bits: int) -> int:
+    """Bytes of an id on its way to a block: its width, if that is whole bytes."""
+    return bits // 8 if bits in (8, 16, 32) else 4
+
+
 _TOKENS = "doc_id long, n_tokens long, ids binary"
 _BLOCKS = "part int, block int, first_id long, n_ids long, bits int, first_doc long, last_doc long, doc_ids binary, doc_tokens binary, ids binary"
 
 
 def tokenize(docs: DataFrame, model: str, end_id: int, bits: int) -> DataFrame:
-    """doc_id, n_tokens and the packed ids of each row; the tokenizer's file, of fixed size, goes to each worker once."""
+    """doc_id, n_tokens and the ids of each row; the tokenizer's file, of fixed size, goes to each worker once."""
     bound_arrow(docs.sparkSession)
-    sent = docs.sparkSession.sparkContext.broadcast(model)
-    end = np.asarray([end_id], "<u4").tobytes()
+    sent, unit = docs.sparkSession.sparkContext.broadcast(model), _unit(bits)
+    end = end_id.to_bytes(unit, "little")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = WordEncoder(sent.value)
+        encode = encoder(sent.value, unit)
         for batch in batches:
-            counts, packed = [], []
-            for text in batch.column("text"):
-                ids = np.frombuffer(encode(text.as_py() or "") + end, "<u4")
-                counts.append(len(ids))
-                packed.append(pack(ids, bits))
-            yield pa.record_batch([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(packed, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids = [encode(text or "") + end for text in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), pa.array([len(i) // unit for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _TOKENS)
 
@@ -120,10 +148,11 @@ def _blocks(bits: int, block_ids: int):
         first, number, part = 0, 0, 0
         docs: list[int] = []
         counts: list[int] = []
-        ids: list[np.ndarray] = []
+        ids: list[bytes] = []
+        kind = f"<u{_unit(bits)}"
 
         def block() -> pa.RecordBatch:
-            flat = np.concatenate(ids)
+            flat = np.frombuffer(b"".join(ids), kind)
             row = {
                 "part": part, "block": number, "first_id": first, "n_ids": len(flat), "bits": bits, "first_doc": docs[0], "last_doc": docs[-1],
                 "doc_ids": pa.array(docs, pa.int64()).fill_null(-1).to_numpy().astype("<i8").tobytes(), "doc_tokens": np.asarray(counts, "<i8").tobytes(), "ids": pack(flat, bits),
@@ -137,7 +166,7 @@ def _blocks(bits: int, block_ids: int):
                 part = at
                 docs.append(doc)
                 counts.append(n)
-                ids.append(unpack(data, n, bits))
+                ids.append(data)
                 held += n
                 if held >= block_ids:
                     yield block()
@@ -174,9 +203,9 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             docs, counts = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["doc_tokens"], "<i8")
-            data = unpack(row["ids"], row["n_ids"], row["bits"]).astype("<u4")
+            data = memoryview(unpack(row["ids"], row["n_ids"], row["bits"]).astype("<u4", copy=False).tobytes())
             ends = np.cumsum(counts)
-            crcs = [zlib.crc32(data[e - n : e].tobytes()) for e, n in zip(ends, counts, strict=True)]
+            crcs = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             yield pa.record_batch(
                 [pa.array(docs), pa.array(np.full(len(docs), row["part"], np.int32)), pa.array(row["first_id"] + ends - counts), pa.array(counts), pa.array(crcs, pa.int64())],
                 ["doc_id", "part", "first", "n_tokens", "ids_crc32"],
