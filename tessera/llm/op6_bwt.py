@@ -7,8 +7,9 @@ strings pick equal anchors at equal places. Anchors that only one document has c
 Around each other anchor stands a context of less than twice `size` bytes that holds all strings that picked it. Contexts
 are dealt to buckets by anchor, equal ones become one string with its least doc_id, and each bucket builds the transform
 and the common prefixes of its strings column by column: a round inserts one symbol of every string at the place that the
-last round's transform gives (`ColumnBwt`). Suffixes whose common prefix reaches `size` bytes form an interval, whose least
-doc_id decides each of its strings.
+last round's order gives (`ColumnBwt`). Strings stand with their anchors in one column, so equal ones begin in the same
+column, and the positional form of the transform, which orders each column's suffixes among themselves, finds them all:
+suffixes whose common prefix reaches `size` bytes form an interval, whose least doc_id decides each of its strings.
 
 Between the steps the state lies in tables written in sequence to the shared folder: the texts by chunk, each chunk's
 contexts, the replies. What returns to a chunk is bits and ranges. An anchor that more than MOST_OF_ANCHOR places share is
@@ -41,7 +42,7 @@ SIZE, GRAM = 50, 24
 CHUNK_BYTES, PIECE = 2 << 20, 1 << 19
 BUCKET_BYTES = 64 << 20
 #: Places of one anchor beyond which it is dealt by string, and strings of one transform (whole anchors).
-MOST_OF_ANCHOR, STRINGS = 50_000, 4_000
+MOST_OF_ANCHOR, STRINGS = 50_000, 50_000
 NO_ID = np.iinfo(np.int64).max
 _HIGH, _LOW = np.uint64(0xFFFFFFFF00000000), np.uint64(0xFFFFFFFF)
 HOT = 128
@@ -60,48 +61,66 @@ def _dealt(key: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class ColumnBwt:
-    """The Burrows-Wheeler transform and common prefixes of a collection of byte strings, built column by column.
-
-    Round j puts the suffixes of length j of all strings that have one into the sorted list of the shorter ones: a suffix's
-    place is its first symbol's number of smaller symbols in the transform, plus that symbol's rank in front of the suffix
-    that it extends. Suffixes of equal strings are in the strings' order. `prefix[i]` is what suffixes i - 1 and i share.
+    """The positional Burrows-Wheeler transform of aligned byte strings, built column by column from the right.
+
+    A string's first byte stands in column `shift`. A round takes in one symbol of every string that has one in its column:
+    the suffixes that begin there are those of the column before, in the order of the new symbols and, where these are equal,
+    in their order so far, so one stable sort by symbol updates the order, and the symbols in that order are the column's
+    part of the transform. `prefix[i]` is what suffixes i - 1 and i share: with equal symbols one more than the least
+    between the two suffixes that they extend, else nothing. Strings that end in a column come first, as an end is smaller
+    than any symbol. Equal strings of one column are neighbours; equal strings in different columns are not compared.
     """
 
-    def __init__(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray):
-        m = len(begin)
-        self.string, self.length, self.prefix = np.arange(m), np.zeros(m, np.int64), np.zeros(m, np.uint8)
-        for _ in range(int(length.max(initial=0))):
-            # The transform as it is: the symbol in front of each suffix, where there is one.
-            more = np.flatnonzero(self.length < length[self.string])
-            symbol = data[(begin + length)[self.string[more]] - self.length[more] - 1]
-            order = np.argsort(symbol, kind="stable")
-            at = more[order]
-            # Two suffixes in a row with the same first symbol share one more than the least between those they extend.
-            same = np.flatnonzero(symbol[order[1:]] == symbol[order[:-1]]) + 1
-            grown = np.zeros(len(at), np.uint8)
-            grown[same] = np.minimum(self._least(at[same - 1] + 1, at[same]), 254) + 1
-            self.string = np.concatenate([np.arange(m), self.string[at]])
-            self.length = np.concatenate([np.zeros(m, np.int64), self.length[at] + 1])
-            self.prefix = np.concatenate([np.zeros(m, np.uint8), grown])
-
-    def _least(self, first: np.ndarray, last: np.ndarray) -> np.ndarray:
-        """The least common prefix in each range of places, ends included, by a table of ranges of powers of two."""
-        out = np.zeros(len(first), np.uint8)
-        level = np.frexp((last - first + 1).astype(float))[1] - 1
-        table, size = self.prefix, 1
-        for k in range(int(level.max(initial=-1)) + 1):
-            if k:
-                table = np.minimum(table[:-size], table[size:])
-                size *= 2
-            here = np.flatnonzero(level == k)
-            out[here] = np.minimum(table[first[here]], table[last[here] - size + 1])
-        return out
-
-    def intervals(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """String and remaining length of every suffix of `least` bytes or more, and the number of its interval."""
-        number = np.cumsum(self.prefix < least)
-        long = np.flatnonzero(self.length >= least)
-        return self.string[long], self.length[long], number[long]
+    def __init__(self, data: np.ndarray, begin: np.ndarray, length: np.ndarray, shift: np.ndarray):
+        self.data, self.at, self.shift, self.stop = data, begin - shift, shift, shift + length
+        self.order, self.prefix = np.zeros(0, np.int64), np.zeros(0, np.uint8)
+        self.column = int(self.stop.max(initial=0))
+        by_stop = np.argsort(self.stop, kind="stable")
+        cut = np.searchsorted(self.stop[by_stop], np.arange(self.column + 2))
+        self.ending = [by_stop[cut[c] : cut[c + 1]] for c in range(self.column + 1)]
+
+    def step(self) -> bool:
+        """Take in the next column to the left; False if there is none."""
+        if not self.column:
+            return False
+        ends = self.ending[self.column]
+        self.column -= 1
+        # Strings that end here come in front; those that began in the column before are done.
+        every = np.concatenate([ends, self.order])
+        shared = np.concatenate([np.zeros(len(ends), np.uint8), self.prefix])
+        if len(self.prefix):
+            shared[len(ends)] = 0
+        live = np.flatnonzero(self.shift[every] <= self.column)
+        symbol = self.data[self.at[every[live]] + self.column]
+        by = np.argsort(symbol, kind="stable")
+        place, symbol = live[by], symbol[by]
+        grown = np.zeros(len(place), np.uint8)
+        same = np.flatnonzero(symbol[1:] == symbol[:-1]) + 1
+        grown[same] = np.minimum(_least(shared, place[same - 1] + 1, place[same]), 254) + 1
+        self.order, self.prefix = every[place], grown
+        return True
+
+    def intervals(self, least: int) -> tuple[np.ndarray, np.ndarray]:
+        """The strings whose suffix from this column on has `least` bytes or more, and where intervals that share so many begin."""
+        long = np.flatnonzero(self.stop[self.order] - self.column >= least)
+        if not len(long):
+            return long, long
+        number = np.cumsum(self.prefix < least)[long]
+        return self.order[long], np.flatnonzero(np.concatenate([[True], number[1:] != number[:-1]]))
+
+
+def _least(values: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The least value in each range of places, ends included, by a table of ranges of powers of two."""
+    out = np.zeros(len(first), np.uint8)
+    level = np.frexp((last - first + 1).astype(float))[1] - 1
+    table, size = values, 1
+    for k in range(int(level.max(initial=-1)) + 1):
+        if k:
+            table = np.minimum(table[:-size], table[size:])
+            size *= 2
+        here = np.flatnonzero(level == k)
+        out[here] = np.minimum(table[first[here]], table[last[here] - size + 1])
+    return out
 
 
 def _anchors(raw: np.ndarray, at: np.ndarray, size: int, contents: bool):
@@ -319,13 +338,14 @@ def _decide(size: int):
             held = np.cumsum(ends_[several[i:]] - group[several[i:]])
             j = i + max(1, int(np.searchsorted(held, STRINGS, "right")))
             rows = np.concatenate([np.arange(group[g], ends_[g]) for g in several[i:j]])
-            string, left, number = ColumnBwt(data, begin[rep[rows]], length[rep[rows]]).intervals(size)
-            string = rows[string]
-            order_ = np.argsort(number, kind="stable")
-            turn = np.flatnonzero(np.concatenate([[True], number[order_[1:]] != number[order_[:-1]]]))
-            low = np.minimum.reduceat(least[string[order_]], turn)
-            where = at[string] + length[rep[string]] - left
-            decided[where[order_]] = np.repeat(low, np.diff(np.append(turn, len(order_))))
+            own = rep[rows]
+            bwt = ColumnBwt(data, begin[own], length[own], size - offset[own].astype(np.int64))
+            while bwt.step():
+                string, turn = bwt.intervals(size)
+                if len(string):
+                    low = np.minimum.reduceat(least[rows[string]], turn)
+                    where = at[rows[string]] + bwt.column - bwt.shift[string]
+                    decided[where] = np.repeat(low, np.diff(np.append(turn, len(string))))
             i = j
         for chunk, first, end in zip(chunks, np.concatenate([[0], ends[:-1]]), ends, strict=True):
             o, own = one[first:end], doc[first:end]

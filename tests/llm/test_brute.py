@@ -244,16 +244,26 @@ def test_bwt(docs, most):
 
 
 def test_column_bwt():
+    """In every column, the order of the suffixes that begin there, and what neighbours share."""
     from tessera.llm.op6_bwt import ColumnBwt
 
-    texts = [b"banana", b"ananas", b"banana", b"", b"b"]
-    data = np.frombuffer(b"".join(texts), np.uint8)
-    length = np.array([len(t) for t in texts])
-    bwt = ColumnBwt(data, np.concatenate([[0], np.cumsum(length)[:-1]]), length)
-    want = sorted((texts[i][len(texts[i]) - n :], i, n) for i in range(len(texts)) for n in range(len(texts[i]) + 1))
-    assert [(texts[i][len(texts[i]) - n :], i, n) for i, n in zip(bwt.string.tolist(), bwt.length.tolist())] == want
-    for (a, _, _), (b, _, _), p in zip(want, want[1:], bwt.prefix[1:].tolist()):
-        assert p == next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    texts = [(0, b"banana"), (1, b"anana"), (0, b"banana"), (2, b""), (3, b"ana"), (0, b"banane"), (4, b"nab")]
+    data = np.frombuffer(b"".join(t for _, t in texts), np.uint8)
+    length = np.array([len(t) for _, t in texts])
+    bwt = ColumnBwt(data, np.concatenate([[0], np.cumsum(length)[:-1]]), length, np.array([s for s, _ in texts]))
+    suffix = lambda i, c: texts[i][1][c - texts[i][0] :]
+    while bwt.step():
+        c = bwt.column
+        here = [i for i, (s, t) in enumerate(texts) if s <= c < s + len(t)]
+        got = bwt.order.tolist()
+        assert sorted(got) == here and [suffix(i, c) for i in got] == sorted(suffix(i, c) for i in here)
+        for a, b, p in zip(got, got[1:], bwt.prefix[1:].tolist()):
+            x, y = suffix(a, c), suffix(b, c)
+            assert p == next((k for k, (m, n) in enumerate(zip(x, y)) if m != n), min(len(x), len(y)))
+        strings, turn = bwt.intervals(3)
+        assert sorted(strings.tolist()) == sorted(i for i in here if len(suffix(i, c)) >= 3)
+        groups = [{suffix(i, c)[:3] for i in g.tolist()} for g in np.split(strings, turn[1:]) if len(g)]
+        assert all(len(g) == 1 for g in groups) and len(set().union(*groups)) == len(groups) if groups else True
 
 
 def brute_jaccard(every, k, percent):
