@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import gc
+import time
 import uuid
 
 import numpy as np
@@ -84,6 +86,17 @@ class Written:
         delete(self.spark, self.path)
 
 
+def free(spark: SparkSession) -> None:
+    """Spark deletes a finished step's shuffle files once the driver's JVM has collected what refers to them; have that done now.
+
+    Twice, as what Python lets go of reaches the JVM with a delay.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.3)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column, and where each row's begin and the last one's end. Null rows are empty."""
     if isinstance(column, pa.ChunkedArray):

@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bound_arrow, partitions, utf8
+from .common import Written, bound_arrow, free, partitions, utf8
 from .texthash import BYTE, mix, sliding_min, spans, windows
 
 SIZE, GRAM = 50, 24
@@ -429,12 +429,18 @@ def dedup(docs: DataFrame, size: int = SIZE, most_of_anchor: int = MOST_OF_ANCHO
 
     seen = chunks.df.mapInArrow(_announce(size, buckets), _ddl(_SEEN)).repartitionById(buckets, F.col("bucket"))
     flags = Written(seen.mapInArrow(_compare(most_of_anchor), _ddl(_FLAGS)), "bwt-flags")
+    del seen
+    free(spark)
     told = flags.df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("flags"))
     found = Written(chunks.df.join(told, "chunk").mapInArrow(_gather(size, buckets), _ddl(_CONTEXT)), "bwt-contexts")
     flags.drop()
+    del told
+    free(spark)
     strings = found.df.where("kind = 1").drop("kind").repartitionById(buckets, F.col("bucket"))
-    replies = strings.mapInArrow(_decide(size), _ddl(_REPLY))
-    back = replies.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "index", "first", "last", "least")).alias("replies"))
+    replies = Written(strings.mapInArrow(_decide(size), _ddl(_REPLY)), "bwt-replies")
+    del strings
+    free(spark)
+    back = replies.df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "index", "first", "last", "least")).alias("replies"))
     places = found.df.where("kind = 0").select("chunk", "a", "b", "c", "d")
     ready = chunks.df.join(places.join(back, "chunk", "left"), "chunk", "left")
     return ready.mapInArrow(_finish(size), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
