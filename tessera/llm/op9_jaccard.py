@@ -6,10 +6,11 @@ more than D groups at least one is equal in both; sets that agree in a whole gro
 block, and a linked pair can't miss all blocks. Second, points: the counts of GROUPS groups are indexed in an R-tree whose
 boxes bound a pair's overlap by the sum of coordinate minima. Pairs that survive both are verified on the sets.
 
-Equal sets are one node from the start, whatever their number. Blocks only say which nodes could be linked; the components
-of that graph are searched by one R-tree each, or by pairs of chunks of at most CHUNK nodes where they are larger. A
-verified pair whose nodes are joined already is not verified again, so links come as a spanning forest, and the components
-of those links are the result: no link between different texts is lost.
+Equal sets are one node from the start, whatever their number. A block's points are indexed, and its surviving pairs tie
+nodes that could be linked. The components of these ties are small; each is indexed again with its sets at hand, and the
+surviving pairs are verified. Where a block or a component has more than CHUNK nodes, pairs of chunks of it are searched
+instead, each by a task. A search spreads from node to node and leaves out those that it has reached, so what comes out is
+a spanning forest, and the components of the verified links are the result: no link between different texts is lost.
 
 The sets are those of 52-bit hashes of shingles (a false match within a pair has a chance of about 1e-9), equal sets are
 told by 64 bits.
@@ -25,14 +26,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, blocks, bound_arrow, partitions, utf8
+from .common import Written, blocks, bound_arrow, free, partitions, utf8
 from .graph import components
 from .texthash import mix, shingles
 
-#: Coordinates of a point, points of an R-tree leaf, and nodes that one search compares.
+#: Coordinates of a point, points of an R-tree leaf, and nodes of a chunk; a search compares those of two chunks at most.
 GROUPS, LEAF, CHUNK = 64, 16, 4_000
 #: Postings that a mapper holds before it hands them on.
 HOLD = 1_000_000
@@ -110,11 +112,24 @@ def postings(h: np.ndarray, first: np.ndarray, rows: np.ndarray, percent: int) -
     return np.concatenate(keys), np.concatenate(owners)
 
 
+#: A key keeps 40 bits on its way, which with its bucket tell blocks apart well enough: a false meeting costs a comparison.
+KEY_BITS = 40
+
+
+def _squeeze(node: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(node.tobytes())
+
+
+def _upper(key: np.ndarray) -> bytes:
+    """The bits of keys above the lower 32 that are kept, a byte each."""
+    return ((key >> np.uint64(32)) & np.uint64((1 << KEY_BITS - 32) - 1)).astype("<u1").tobytes()
+
+
 _MAPPED = "bucket int, a binary, b binary, c binary"
 
 
 def _map(k: int, percent: int, buckets: int):
-    """Rows with bucket -1 hold doc ids, sizes and nodes; the others hold block keys and their nodes."""
+    """Rows with bucket -1 hold doc ids, sizes and nodes; those with -2 nodes, sizes and points; the others block keys and their nodes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys: list[np.ndarray] = []
@@ -129,7 +144,7 @@ def _map(k: int, percent: int, buckets: int):
             some = np.flatnonzero(np.diff(cut))
             part = [order[cut[i] : cut[i + 1]] for i in some]
             return pa.record_batch(
-                [pa.array(some, pa.int32()), pa.array([key[p].tobytes() for p in part], pa.binary()), pa.array([node[p].tobytes() for p in part], pa.binary()), pa.nulls(len(part), pa.binary())],
+                [pa.array(some, pa.int32()), pa.array([key[p].astype("<u4").tobytes() for p in part], pa.binary()), pa.array([_squeeze(node[p]) for p in part], pa.binary()), pa.array([_upper(key[p]) for p in part], pa.binary())],
                 ["bucket", "a", "b", "c"],
             )
 
@@ -148,7 +163,10 @@ def _map(k: int, percent: int, buckets: int):
                 if len(seen) > HOLD:
                     seen.clear()
                 if fresh:
-                    key, owner = postings(h, first, np.array(fresh), percent)
+                    new = np.array(fresh)
+                    point = zstandard.ZstdCompressor(level=1).compress(counts(h, first)[new].astype("<i4").tobytes())
+                    yield pa.record_batch([pa.array([-2], pa.int32()), *(pa.array([x], pa.binary()) for x in (node[new].tobytes(), np.diff(first)[new].astype("<i8").tobytes(), point))], ["bucket", "a", "b", "c"])
+                    key, owner = postings(h, first, new, percent)
                     keys.append(key)
                     nodes.append(node[owner])
                     held += len(key)
@@ -167,32 +185,44 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array(np.frombuffer(row[c], "<i8")) for c in "abc"], ["doc_id", "n_shingles", "node"])
 
 
+def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            point = zstandard.ZstdDecompressor().decompress(row["c"])
+            n = len(row["a"]) // 8
+            cells = [point[i * GROUPS * 4 : (i + 1) * GROUPS * 4] for i in range(n)]
+            yield pa.record_batch([pa.array(np.frombuffer(row["a"], "<i8")), pa.array(np.frombuffer(row["b"], "<i8")), pa.array(cells, pa.binary())], ["node", "n", "point"])
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each block, ties between its first node and the others."""
+    """The blocks that more than one node is in: block, node, and how many the block has."""
     keys, nodes = [], []
     for batch in batches:
         for row in batch.to_pylist():
-            keys.append(np.frombuffer(row["a"], "<u8"))
-            nodes.append(np.frombuffer(row["b"], "<i8"))
+            upper = np.frombuffer(row["c"], "<u1").astype(np.uint64) | np.uint64(row["bucket"] << KEY_BITS - 32)
+            keys.append(np.frombuffer(row["a"], "<u4").astype(np.uint64) | upper << np.uint64(32))
+            nodes.append(np.frombuffer(zstandard.ZstdDecompressor().decompress(row["b"]), "<i8"))
     if not keys:
         return
     key, node = np.concatenate(keys), np.concatenate(nodes)
     keys, nodes = [], []
-    order = np.argsort(key, kind="stable")
+    order = np.lexsort((node, key))
     key, node = key[order], node[order]
+    new = np.concatenate([[True], (key[1:] != key[:-1]) | (node[1:] != node[:-1])])
+    key, node = key[new], node[new]
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    head = np.repeat(node[begins], np.diff(np.append(begins, len(key))))
-    tied = np.flatnonzero(head != node)
-    if len(tied):
-        pairs = np.unique(np.stack([np.minimum(head[tied], node[tied]), np.maximum(head[tied], node[tied])], 1), axis=0)
-        yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+    held = np.diff(np.append(begins, len(key)))
+    several = np.flatnonzero(np.repeat(held, held) > 1)
+    for i in range(0, len(several), 50_000):
+        some = several[i : i + 50_000]
+        yield pa.record_batch([pa.array(key[some].view("<i8")), pa.array(node[some]), pa.array(np.repeat(held, held)[some])], ["block", "node", "size"])
 
 
 class CountTree:
     """A packed R-tree over count vectors. Boxes keep the upper corner and the range of sizes, which is all the bound needs."""
 
     def __init__(self, points: np.ndarray, sizes: np.ndarray, leaf: int = LEAF):
-        self.points, self.sizes = points, sizes
+        self.points, self.sizes, self.open = points, sizes, np.ones(len(points), bool)
         self.order = np.concatenate(self._split(np.arange(len(points)), leaf)) if len(points) else np.zeros(0, int)
         # Levels from the leaves up: (upper corners, least size, largest size); a node's children are `leaf` in a row.
         top, low, high = points[self.order], sizes[self.order], sizes[self.order]
@@ -203,6 +233,14 @@ class CountTree:
             self.levels.append((top, low, high))
             if len(top) == 1:
                 break
+        self.leaf_of = np.empty(len(points), np.int64)
+        self.leaf_of[self.order] = np.arange(len(points)) // leaf
+        self.live = np.bincount(self.leaf_of)  # open points of each leaf
+
+    def close(self, rows: list[int]) -> None:
+        """Leave points out from now on."""
+        self.open[rows] = False
+        np.subtract.at(self.live, self.leaf_of[rows], 1)
 
     def _split(self, rows: np.ndarray, leaf: int) -> list[np.ndarray]:
         """Halve along the size or the coordinate that spreads most, until a leaf is left."""
@@ -221,18 +259,19 @@ class CountTree:
         return out
 
     def near(self, point: np.ndarray, size: int, percent: int) -> np.ndarray:
-        """Points whose overlap with this one could reach what the similarity asks of two sets of their sizes."""
+        """Open points whose overlap with this one could reach what the similarity asks of two sets of their sizes."""
         asked = lambda other: -(-percent * (size + other) // (100 + percent))
         fits = lambda low, high: (100 * high >= percent * size) & (100 * size >= percent * low)
         at = np.zeros(1, int)
         for depth in range(len(self.levels) - 1, -1, -1):
+            if not depth:
+                at = at[self.live[at] > 0]
             top, low, high = (x[at] for x in self.levels[depth])
             keep = fits(low, high) & (np.minimum(top, point).sum(1, dtype=np.int64) >= asked(low))
             at = (at[keep][:, None] * self.fan + np.arange(self.fan)).ravel()
             at = at[at < (len(self.levels[depth - 1][1]) if depth else len(self.order))]
         rows = self.order[at]
-        keep = fits(self.sizes[rows], self.sizes[rows])
-        rows = rows[keep]
+        rows = rows[self.open[rows] & fits(self.sizes[rows], self.sizes[rows])]
         return rows[np.minimum(self.points[rows], point).sum(1, dtype=np.int64) >= asked(self.sizes[rows])]
 
 
@@ -249,24 +288,74 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
+def spread(points: np.ndarray, sizes: np.ndarray, percent: int, test=None) -> list[tuple[int, int]]:
+    """Pairs that survive the bound (and the test, if there is one) and span the components that all such pairs make.
+
+    From each node reached, the search goes on to the open ones; one that it reaches is not open any more.
+    """
+    if len(points) == 2 and test is None:
+        size = int(sizes[0] + sizes[1])
+        return [(0, 1)] if np.minimum(points[0], points[1]).sum() * (100 + percent) >= percent * size else []
+    tree, out = CountTree(points, sizes), []
+    for start in range(len(points)):
+        if not tree.open[start]:
+            continue
+        tree.close([start])
+        todo = [start]
+        while todo:
+            i = todo.pop()
+            near = tree.near(points[i], int(sizes[i]), percent)
+            reached = near.tolist() if test is None else [j for j in near.tolist() if test(i, j)]
+            if reached:
+                tree.close(reached)
+            todo += reached
+            out += [(i, j) for j in reached]
+    return out
+
+
 def forest(own: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Linked pairs of these sets that span their components."""
     first = np.concatenate([[0], np.cumsum([len(s) for s in own])])
-    points, sizes = counts(np.concatenate(own), first), np.diff(first)
-    tree, root, out = CountTree(points, sizes), list(range(len(own))), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    for i in range(len(own)):
-        for j in tree.near(points[i], int(sizes[i]), percent).tolist():
-            if j > i and (x := find(i)) != (y := find(j)) and linked(own[i], own[j], percent):
-                root[max(x, y)] = min(x, y)
-                out.append((i, j))
-    return out
+    return spread(counts(np.concatenate(own), first), np.diff(first), percent, lambda i, j: linked(own[i], own[j], percent))
+
+
+def _tie(percent: int):
+    """Rows come sorted by block; each block's points are indexed, and the ties that span its surviving pairs go out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, {}
+        a, b = [], []
+
+        def end() -> None:
+            if len(held) > 1:
+                nodes = list(held)
+                points = np.frombuffer(b"".join(p for _, p in held.values()), "<i4").reshape(len(nodes), GROUPS)
+                for i, j in spread(points, np.array([n for n, _ in held.values()]), percent):
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+
+        for batch in batches:
+            for search, node, n, point in zip(*(batch.column(c).to_pylist() for c in ("search", "node", "n", "point")), strict=True):
+                if search != now:
+                    end()
+                    now, held = search, {}
+                held[node] = (n, point)
+            if a:
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+                a, b = [], []
+        end()
+        if a:
+            yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return run
+
+
+def _searches(rows: DataFrame, key: str, size: str) -> DataFrame:
+    """Rows with `search`: of a key with at most CHUNK rows the key, of others each pair of chunks that the row's is in."""
+    chunks = F.ceil(F.col(size) / CHUNK).cast("int")
+    chunk = F.pmod(F.xxhash64("node"), chunks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), chunks - 1), lambda o: F.concat_ws("/", F.col(key).cast("string"), F.least(chunk, o).cast("string"), F.greatest(chunk, o).cast("string")))
+    return rows.withColumn("search", F.explode(pairs))
 
 
 def _search(k: int, percent: int):
@@ -309,17 +398,19 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     buckets = max(partitions(spark), -(-volume // BUCKET_BYTES))
 
     mapped = Written(known.mapInArrow(_map(k, percent, buckets), _MAPPED), "jaccard-map")
-    rows = mapped.df.where("bucket < 0").select("a", "b", "c").mapInArrow(_rows, "doc_id long, n_shingles long, node long")
-    ties = mapped.df.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).select("a", "b").mapInArrow(_meet, "a long, b long")
-    maybe = components(ties, "jaccard-maybe")
+    rows = Written(mapped.df.where("bucket = -1").select("a", "b", "c").mapInArrow(_rows, "doc_id long, n_shingles long, node long"), "jaccard-rows").df
+    points = mapped.df.where("bucket = -2").select("a", "b", "c").mapInArrow(_points, "node long, n long, point binary").dropDuplicates(["node"])
+    blocks_ = mapped.df.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(_meet, "block long, node long, size long")
+    met = _searches(blocks_, "block", "size").select("search", "node").join(points, "node")
+    met = met.repartition(partitions(spark), "search").sortWithinPartitions("search")
+    maybe = components(met.mapInArrow(_tie(percent), "a long, b long"), "jaccard-maybe")
+    mapped.drop()
+    del points, blocks_, met
+    free(spark)
 
     reps = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))
-    sizes = maybe.df.groupBy("label").agg(F.count("*").alias("size")).withColumn("chunks", F.ceil(F.col("size") / CHUNK).cast("int"))
-    asked = maybe.df.join(sizes, "label").join(reps, "node").withColumn("chunk", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int"))
-    # A search is a pair of chunks of one component; a node takes part in those that its chunk is in.
-    searches = F.transform(F.sequence(F.lit(0), F.col("chunks") - 1), lambda o: F.struct("label", F.least("chunk", o).alias("i"), F.greatest("chunk", o).alias("j")))
-    asked = asked.select("node", F.col("rep").alias("doc_id"), F.explode(searches).alias("s"))
-    asked = asked.select("node", "doc_id", F.concat_ws("/", F.col("s.label").cast("string"), F.col("s.i").cast("string"), F.col("s.j").cast("string")).alias("search"))
+    sizes = maybe.df.groupBy("label").agg(F.count("*").alias("size"))
+    asked = _searches(maybe.df.join(sizes, "label").join(reps, "node"), "label", "size").select("node", F.col("rep").alias("doc_id"), "search")
     ready = known.join(asked, "doc_id").select("search", "node", "text").repartition(partitions(spark), "search").sortWithinPartitions("search", "node")
     links = components(ready.mapInArrow(_search(k, percent), "a long, b long"), "jaccard")
     maybe.drop()
