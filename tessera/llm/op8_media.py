@@ -5,8 +5,8 @@ of smoothed intensities at places that turn with it, so neither rotation nor bri
 TABLES keys; descriptors with an equal key meet, and those within DIFFER bits vote for the similarity that takes one
 image's place, scale and angle to the other's. A pair of images whose votes agree at LEAST_VOTES places are copies.
 
-Equal pixels are one image from the start. Within a key, descriptors are tied to the one of the smallest image rather than
-to each other, so a logo that a third of all images show makes as many rows as there are descriptors, and classes come
+Equal pixels are one image from the start. Within a key, descriptors are tied to the one of the first image rather than to
+each other, so a logo that a third of all images show makes as many rows as there are descriptors, and classes come
 out whole as components. Joins on keys are split by Spark where one key is large.
 
 Defined results. A null image, one whose data don't have height * width bytes, or one without corners has no keypoints and
@@ -29,7 +29,7 @@ from .graph import components
 
 BITS, TABLES, DIFFER = 128, 4, 20
 #: Corners of one scale, scales, the step between them, and the smallest side of a scale.
-CORNERS, SCALES, STEP, SIDE = 24, 4, 1.41421356, 24
+CORNERS, SCALES, STEP, SIDE = 12, 4, 1.41421356, 24
 RADIUS, LEAST_VOTES = 8, 5
 #: Bins of a vote: radians, octaves, and pixels of the smaller scale.
 ANGLE_BIN, SCALE_BIN, PLACE_BIN = math.pi / 6, 0.7, 6.0
@@ -38,7 +38,7 @@ _draw = np.random.default_rng(7)
 _POLAR = np.stack([RADIUS * np.sqrt(_draw.random((BITS, 2))), 2 * math.pi * _draw.random((BITS, 2))])
 _DISC = np.array([(y, x) for y in range(-6, 7) for x in range(-6, 7) if y * y + x * x <= 36])
 
-_POINTS = "node long, x double, y double, scale double, angle double, d0 int, d1 int, d2 int, d3 int"
+_POINTS = "node long, x float, y float, scale float, angle float, d0 int, d1 int, d2 int, d3 int"
 
 
 def _box(a: np.ndarray, r: int) -> np.ndarray:
@@ -98,7 +98,7 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             points, bits = describe(np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"]))
             if len(points):
                 words = np.ascontiguousarray(bits).view("<i4")
-                columns = [pa.array(np.full(len(points), row["node"])), *(pa.array(points[:, i]) for i in range(4)), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(4))]
+                columns = [pa.array(np.full(len(points), row["node"])), *(pa.array(points[:, i].astype(np.float32)) for i in range(4)), *(pa.array(np.ascontiguousarray(words[:, i])) for i in range(4))]
                 yield pa.record_batch(columns, ["node", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"])
 
 
@@ -109,18 +109,23 @@ def classes(images: DataFrame) -> DataFrame:
     rows = images.where("image_id is not null").select(F.col("image_id").cast("bigint").alias("image_id"), "pixels", "height", "width", fits.alias("fits"))
     rows = rows.withColumn("node", F.when(F.col("fits"), F.xxhash64("height", "width", "pixels")).when(F.col("pixels").isNotNull(), F.xxhash64("pixels", F.lit("odd"))))
     ids = Written(rows.select("image_id", "node"), "media-ids")
-    reps = ids.df.where("node is not null").groupBy("node").agg(F.min("image_id").alias("rep"))
-    # One image of each class of equal data is described.
-    once = rows.where("fits").join(reps.select(F.col("rep").alias("image_id"), F.col("node").alias("n")), "image_id").where("node = n").dropDuplicates(["image_id", "node"])
-    points = Written(once.select("node", "pixels", "height", "width").mapInArrow(_describe, _POINTS), "media-points")
-
+    of_id = ids.df.where("node is not null").groupBy("node", "image_id").agg(F.count("*").alias("held"))
+    reps = of_id.groupBy("node").agg(F.min(F.struct("image_id", "held")).alias("r")).select("node", F.col("r.image_id").alias("rep"), F.col("r.held").alias("held"))
+    # One image of each class of equal data is described (`held` times, if its row repeats).
+    once = rows.where("fits").join(reps.select(F.col("rep").alias("image_id"), F.col("node").alias("n")), "image_id").where("node = n")
+    points = Written(once.select("node", "pixels", "height", "width").mapInArrow(_describe, _POINTS).select(F.monotonically_increasing_id().alias("point"), "*"), "media-points")
+
+    # Keys and point numbers alone are shuffled; points of an image have numbers in a row, so a key's smallest point is that
+    # of the same image for all keys that some images share. What the points are like is fetched for pairs that met.
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("table"), F.col(f"d{i}").alias("key")) for i in range(TABLES)))).alias("k")
-    spot = F.struct("node", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3").alias("p")
-    met = points.df.select(keys, spot).select("k.table", "k.key", "p")
-    first = met.groupBy("table", "key").agg(F.min("p").alias("q"), F.count("*").alias("held")).where("held > 1").drop("held")
-    pairs = met.join(first, ["table", "key"]).where("p.node <> q.node")
+    met = points.df.select("point", keys).select((F.shiftleft(F.col("k.table").cast("bigint"), 32) + F.col("k.key")).alias("key"), "point")
+    first = met.groupBy("key").agg(F.min("point").alias("q"), F.max("point").alias("last")).where("q <> last").drop("last")
+    tied = met.join(first, "key").where("point <> q").select(F.col("point").alias("p"), "q").distinct()
+    spot = F.struct("node", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")
+    one, other = points.df.select(F.col("point").alias("p"), spot.alias("a")), points.df.select(F.col("point").alias("q"), spot.alias("b"))
+    pairs = tied.join(one, "p").join(other, "q").select(F.col("a").alias("p"), F.col("b").alias("q")).where("p.node <> q.node")
     far = sum((F.bit_count(F.col(f"p.d{i}").bitwiseXOR(F.col(f"q.d{i}"))) for i in range(1, 4)), F.bit_count(F.col("p.d0").bitwiseXOR(F.col("q.d0"))))
-    pairs = pairs.where(far <= DIFFER).select("p", "q").distinct()
+    pairs = pairs.where(far <= DIFFER)
     turn, grow = F.col("q.angle") - F.col("p.angle"), F.col("q.scale") / F.col("p.scale")
     pairs = pairs.select(
         F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.pmod(turn, F.lit(2 * math.pi)).alias("turn"), F.log2(grow).alias("grow"),
@@ -135,24 +140,27 @@ def classes(images: DataFrame) -> DataFrame:
     links = components(votes.where(F.col("votes") >= LEAST_VOTES).select("a", "b"), "media")
 
     named = links.df.join(reps, "node").groupBy("label").agg(F.min("rep").alias("class_id"))
-    of_node = reps.join(links.df.join(named, "label").select("node", "class_id"), "node", "left").select("node", F.coalesce("class_id", "rep").alias("class_id"))
-    told = of_node.join(points.df.groupBy("node").agg(F.count("*").alias("n_keypoints")), "node", "left")
+    of_node = reps.join(links.df.join(named, "label").select("node", "class_id"), "node", "left").select("node", "held", F.coalesce("class_id", "rep").alias("class_id"))
+    told = of_node.join(points.df.groupBy("node").agg(F.count("*").alias("n")), "node", "left").withColumn("n_keypoints", F.expr("n div held"))
     return ids.df.join(told, "node", "left").select("image_id", F.coalesce("n_keypoints", F.lit(0)).cast("bigint").alias("n_keypoints"), F.coalesce("class_id", "image_id").alias("class_id"))
 
 
-def render(vectors: DataFrame, side: int = 64) -> DataFrame:
-    """Vectors as images: their values on a square grid, drawn `side` pixels wide. For tables that hold no media."""
+def render(vectors: DataFrame, side: int = 64, grain: int = 22) -> DataFrame:
+    """Vectors as images, for tables that hold no media: a vector's values weigh fixed noise patterns of `grain` squares a
+    side, so near vectors give images that look alike and others don't."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        noise = np.random.default_rng(11)
+        patterns = np.zeros((0, side, side))
         for batch in batches:
             out = []
             for v in batch.column("embedding").to_pylist():
                 if not v or any(x is None for x in v):
                     out.append(None)
                     continue
-                n = math.isqrt(len(v) - 1) + 1
-                a = np.resize(np.asarray(v, float), n * n).reshape(n, n)
-                a = resize(np.nan_to_num(a), side, side)
+                while len(patterns) < len(v):
+                    patterns = np.concatenate([patterns, resize(noise.standard_normal((grain, grain)), side, side)[None]])
+                a = np.tensordot(np.nan_to_num(np.asarray(v, float)), patterns[: len(v)], 1)
                 out.append(np.rint(255 * (a - a.min()) / max(np.ptp(a), 1e-9)).astype(np.uint8).tobytes())
             size = pa.array([side] * len(out), pa.int32())
             yield pa.record_batch([batch.column("vec_id"), pa.array(out, pa.binary()), size, size], ["image_id", "pixels", "height", "width"])
