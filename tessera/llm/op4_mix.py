@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 from .common import Written, bound_arrow
 
 #: Rows of a block, and residual documents that one node of the tree combines.
-BLOCK_ROWS, FAN_IN = 20_000, 4_096
+BLOCK_ROWS, FAN_IN = 2_000, 2_000
 #: Targets are set on the driver, one row a source; 100 bytes a row make this at most 10 MB.
 MOST_SOURCES = 100_000
 NEAR = 1e-9
