@@ -257,7 +257,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     rows = pairs.where(F.col("c") >= SUPPORT).orderBy(F.desc("c"), "a", "b").limit(TERMS).collect()
     safe = lambda r: weight(*(np.array([n], float) for n in (r.c, r.t, r.c, r.t)), n_toxic / n_clean)[0] > 0
     model.exceptions = frozenset((r.a, r.b) for r in rows if safe(r))
-    x = train.df.mapInArrow(_features(send(model)), "toxic int, x0 double, x1 double, x2 double").orderBy("toxic", "x0", "x1", "x2").toPandas().to_numpy(float)
+    x = train.df.mapInArrow(_features(send(model)), "toxic int, x0 double, x1 double, x2 double").toPandas().to_numpy(float)
+    x = x[np.lexsort(x.T[::-1])]  # sums of floats in one order, so reruns agree
     model.curve = fit(x[:, 1:], x[:, 0])
     train.drop()
     return model
