@@ -7,13 +7,12 @@ target weights, so a row appears as often as the mix takes it; rows are dealt to
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import op4_mix, op5_shard, op7_toxic, op9_jaccard, op10_decon
-from tessera.llm.common import shared_dir, table
+from tessera.llm.common import table
+from tessera.shared import scratch
 
 THRESHOLD, SHINGLE, PERCENT, SHARDS = 0.7, 5, 80, 24
 
@@ -56,7 +55,7 @@ STAGES = [("toxicity", toxicity), ("near_duplicates", near_duplicates), ("decont
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last stage's rows. Tables between stages are in the shared folder."""
-    docs, base = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}-pipeline"
+    docs, base = table(spark, sf_dir, "documents"), scratch(spark, "pipeline")
     for number, (name, stage) in enumerate(STAGES):
         path = f"{base}/{number}-{name}"
         stage(spark, docs, sf_dir).write.parquet(path)

@@ -267,9 +267,9 @@ def json_find_fields(c: Column | str, keys: list[str]) -> Column:
     return _plain(one, "array<struct<key:string,value:string,error:string>>")(_column(c))
 
 
-def json_touch(c: Column | str, pointer: str) -> Column:
-    """struct<value, error>: as json_raw, but only what the pointer touches is checked."""
-    return _struct(lambda t: (lazy := Lazy(t)).raw(lazy.pointer(pointer)), "string")(_column(c))
+def json_touch(c: Column | str, pointer: str, incomplete: bool = False) -> Column:
+    """struct<value, error>: as json_raw, but only what the pointer touches is checked. incomplete: documents may be cut off."""
+    return _struct(lambda t: (lazy := Lazy(t, incomplete)).raw(lazy.pointer(pointer)), "string")(_column(c))
 
 
 # --- kinds --------------------------------------------------------------------------------------------------------------

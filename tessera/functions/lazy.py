@@ -18,14 +18,14 @@ _BARE = re.compile(r"[^ \t\n\r{}\[\],:]+")
 
 
 class Lazy:
-    """A document that is read on demand. Places are offsets of a value's first character."""
+    """A document that is read on demand. Places are offsets of a value's first character. incomplete: the text may be cut off."""
 
-    def __init__(self, data: bytes | str | None):
+    def __init__(self, data: bytes | str | None, incomplete: bool = False):
         self.text, utf8 = decode(data)
-        first_pass(self.text, utf8=utf8)
+        first_pass(self.text, incomplete, utf8)
         self.root = self._blank(0)
         first, last = self.text[self.root], self.text.rstrip(" \t\n\r")[-1]
-        if first in "{[" and last != ("}" if first == "{" else "]"):
+        if not incomplete and first in "{[" and last != ("}" if first == "{" else "]"):
             raise JsonError("INCOMPLETE_ARRAY_OR_OBJECT")
 
     def _blank(self, at: int) -> int:

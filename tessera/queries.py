@@ -13,7 +13,7 @@ NAMES = (
     "order_pointers", "accessor_depths", "accessor_checked", "in_string_number", "text_round_trip", "quote_text", "orders_doc_explode", "customer_partial", "customer_selector", "customer_fields",
     "find_order", "top_order_last_tie", "distinct_keys_union", "distinct_keys_pointer", "brand_ratings", "points", "region_nation_nested", "extract_subset", "bound_rows", "nodes_count_by_kind",
     "nodes_statistics", "nodes_subtree", "object_each", "sizes", "key_lookups", "minify_roundtrip", "prettify_regions", "fractured_regions", "fractured_round_trip", "msgpack_sizes", "tape_words",
-    "utf8_check", "html_round_trip", "conversation_streams", "bad_documents", "pointer_cases", "path_cases", "number_cases", "wildcard_cases", "unescape_cases", "touched_cases",
+    "utf8_check", "html_round_trip", "conversation_streams", "files_newline", "files_whitespace", "files_by_range", "chunked_turns", "number_struct", "kind_tests", "raw_texts", "bad_documents", "pointer_cases", "path_cases", "number_cases", "wildcard_cases", "unescape_cases", "touched_cases",
 )
 
 
@@ -51,7 +51,17 @@ def oracle_sql() -> dict[str, str]:
     fractured_region = """'{' || chr(10) || '    "name": "' || r_name || '",' || chr(10) || '    "nations": [' || chr(10) ||
       string_agg('        { "key": ' || n_nationkey || repeat(' ', cast(w - length(cast(n_nationkey as varchar)) as integer)) || ', "name": "' || n_name || '" }', ',' || chr(10) order by n_nationkey)
       || chr(10) || '    ]' || chr(10) || '}'"""
+    customers = "select c_custkey, c_name, c_acctbal, cast(null as varchar) as error from customer"
     return {
+        "files_newline": customers,
+        "files_whitespace": customers,
+        "files_by_range": customers,
+        "chunked_turns": "select conv_id, turn, role, cast(length(text) as integer) as n, cast(null as varchar) as error from conversations",
+        "number_struct": """select p_partkey, case p_partkey % 3 when 0 then 'int64' when 1 then 'double' else 'uint64' end as kind, case when p_partkey % 3 = 0 then cast(p_size as bigint) end as i64,
+            case when p_partkey % 3 = 2 then '18446744073709551615' end as u64, case when p_partkey % 3 = 1 then p_retailprice end as f64 from part""",
+        "kind_tests": """select c_custkey, true as object, false as scalar, true as string, c_custkey % 3 <> 0 as nothing, true as number, true as integer, c_acctbal < 0 as negative from customer""",
+        "raw_texts": """select c_custkey, '{"id":' || c_custkey || ',"screen_name":"' || c_name || '"}' as object, '"' || c_mktsegment || '"' as text,
+            case when c_custkey % 3 = 0 then cast(c_nationkey as varchar) else 'null' end as reply, cast(c_custkey as varchar) as id from customer""",
         "props_get_k": "select event_id, cast(json_extract(props, '$.k') as bigint) as k from events",
         "props_get_k_strict": "select event_id, cast(json_extract(props, '$.k') as bigint) as k, cast(null as varchar) as error from events",
         "props_sum_by_type": "select event_type, cast(sum(cast(json_extract(props, '$.k') as bigint)) as bigint) as sum_k, count(*) as n from events group by event_type",

@@ -58,7 +58,7 @@ def _cut(held: bytes, framing: str) -> tuple[list[str], bytes]:
 
 
 def chunks(stream: DataFrame, framing: str = "whitespace", order: str = "seq") -> DataFrame:
-    """Documents of a stream (or table) of source, `order` and data (bytes), whatever the chunks' edges.
+    """Documents of a stream of source, `order` and data (bytes), whatever the chunks' edges.
 
     Chunks of a source must come in order over the batches; within a batch they are sorted.
     """

@@ -14,8 +14,11 @@ from .functions import api, binding, write
 from .functions.paths import path_to_pointer
 from .operators import nodes as N
 from .plans.selector import KeySelector, extract, fields
+from .shared import scratch
 from .shipping import ship
+from .sources import documents as D
 from .sources.framing import split
+from .streaming import documents as S
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -345,6 +348,82 @@ def conversation_streams(spark, sf_dir):
     return out.select("conv_id", F.size("whitespace").cast("bigint").alias("n"), same.alias("same"), F.from_json(F.element_at("whitespace", -1), "turn bigint")["turn"].alias("last"))
 
 
+def _framed(spark, sf_dir, framing: str) -> DataFrame:
+    """Documents written to files in one framing and read again from them."""
+    docs = table(spark, sf_dir, "customer").select(F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("json"))
+    path = scratch(spark, framing)
+    if framing == "newline":
+        D.write_documents(docs, path)
+        return D.read_documents(spark, path, framing, mode="skip")
+    parts = docs.repartition(4).select(F.spark_partition_id().alias("part"), "json").groupBy("part").agg(F.collect_list("json").alias("j"))
+    text = {"whitespace": F.array_join("j", "\n\n  "), "comma_array": F.concat(F.lit("["), F.array_join("j", ","), F.lit("]"))}[framing]
+    parts.select(text.alias("value")).repartition(4, "value").write.option("lineSep", " ").text(path)
+    return D.read_documents(spark, f"{path}/part-*", framing, mode="skip")
+
+
+def _customers(docs: DataFrame) -> DataFrame:
+    read = F.from_json("json", "c_custkey bigint, c_name string, c_acctbal double")
+    return docs.select(read.alias("r"), "error").select("r.c_custkey", "r.c_name", "r.c_acctbal", "error")
+
+
+def files_newline(spark, sf_dir):
+    return _customers(_framed(spark, sf_dir, "newline"))
+
+
+def files_whitespace(spark, sf_dir):
+    return _customers(_framed(spark, sf_dir, "whitespace"))
+
+
+def files_by_range(spark, sf_dir):
+    """One large file by byte ranges, through the data source."""
+    docs = table(spark, sf_dir, "customer").select(F.to_json(F.struct("c_custkey", "c_name", "c_acctbal")).alias("json"))
+    path = scratch(spark, "ranges")
+    D.write_documents(docs, path)
+    D.register(spark)
+    return _customers(spark.read.format("tessera_json").option("path", path.removeprefix("file://") if path.startswith("file:///") else path).option("framing", "newline").option("blockBytes", 4096).load())
+
+
+def _streamed(spark, chunks: DataFrame) -> DataFrame:
+    """Chunks arrive as files; the stream runs until it has seen them all."""
+    into, out = scratch(spark, "chunks"), scratch(spark, "turns")
+    chunks.repartition(4, "source").write.parquet(into)
+    stream = spark.readStream.schema(chunks.schema).parquet(into)
+    S.chunks(stream).writeStream.format("parquet").outputMode("append").option("checkpointLocation", scratch(spark, "state")).trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("source string, doc_id bigint, json string, error string").parquet(out)
+
+
+def chunked_turns(spark, sf_dir):
+    """Conversations as bytes cut anywhere, put together again by the stateful operator."""
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.to_json(F.struct("turn", "role", F.length("text").alias("n"))).alias("j")))).alias("t"))
+    data = F.encode(F.concat(F.array_join("t.j", " "), F.lit(" ")), "UTF-8")
+    cut = turns.select(F.col("conv_id").cast("string").alias("source"), data.alias("d")).select("source", "d", F.explode(F.sequence(F.lit(0), F.floor(F.octet_length("d") / 17).cast("int"))).alias("seq"))
+    chunks = cut.select("source", F.col("seq").cast("bigint").alias("seq"), F.substring("d", F.col("seq") * 17 + 1, F.lit(17)).alias("data"))
+    docs = _streamed(spark, chunks)
+    read = F.from_json("json", "turn bigint, role string, n int")
+    return docs.select(F.col("source").cast("bigint").alias("conv_id"), read.alias("r"), "error").select("conv_id", "r.turn", "r.role", "r.n", "error")
+
+
+def number_struct(spark, sf_dir):
+    """The dynamic number of a mixed member."""
+    v = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string")).when(F.col("p_partkey") % 3 == 1, F.col("p_retailprice").cast("string")).otherwise("18446744073709551615")
+    docs = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('{"v":'), v, F.lit("}")).alias("json"))
+    n = api.json_number("json", "/v")
+    return docs.select("p_partkey", n.alias("n")).select("p_partkey", "n.kind", "n.i64", F.col("n.u64").cast("string").alias("u64"), "n.f64")
+
+
+def kind_tests(spark, sf_dir):
+    """Type tests of each member of a document."""
+    docs = customer_documents(spark, sf_dir)
+    test = lambda kind, pointer: api.json_is("json", kind, pointer)["value"]
+    return docs.select("c_custkey", test("object", "/user").alias("object"), test("scalar", "/user").alias("scalar"), test("string", "/text").alias("string"), test("null", "/in_reply_to").alias("nothing"), test("number", "/retweets").alias("number"), test("integer", "/user/id").alias("integer"), test("negative", "/retweets").alias("negative"))
+
+
+def raw_texts(spark, sf_dir):
+    """Members as they are written, by pointer and by path, in both dialects."""
+    docs = customer_documents(spark, sf_dir)
+    return docs.select("c_custkey", api.json_raw("json", pointer="/user")["value"].alias("object"), api.json_raw("json", path="$.text")["value"].alias("text"), api.json_raw("json", pointer="/in_reply_to", dialect="ondemand")["value"].alias("reply"), api.json_touch("json", "/user/id")["value"].alias("id"))
+
+
 # --- tables of cases ----------------------------------------------------------------------------------------------------
 
 #: Documents and the code of what is wrong with them.
