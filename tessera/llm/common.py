@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
 import gc
 import time
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+from ..shared import delete, scratch
 from ..shipping import ship
 
 #: Most bytes that Spark hands to a Python worker in one Arrow batch. Bounds a worker's memory whatever the row sizes.
@@ -35,45 +34,12 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one that the operator's own session sets."""
-    said = spark.conf.get("spark.checkpoint.dir", None)
-    if not said:
-        got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        said = got.get() if got.isDefined() else "/tmp/tessera-checkpoints"
-        if not got.isDefined():
-            spark.sparkContext.setCheckpointDir(said)
-    return said.rstrip("/")
-
-
-def delete(spark: SparkSession, path: str) -> None:
-    """Remove a folder through the file system that it is in."""
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-_written: list[tuple[SparkSession, str]] = []
-
-
-def _clear() -> None:
-    for spark, path in _written:
-        try:
-            delete(spark, path)
-        except Exception:  # the session may have ended before the interpreter
-            return
-
-
-atexit.register(_clear)
-
-
 class Written:
     """A DataFrame written to the shared folder: the lineage ends here, and lost executors cost no recomputation."""
 
     def __init__(self, df: DataFrame, name: str):
         self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/tessera-{uuid.uuid4().hex}-{name}"
-        _written.append((self.spark, self.path))
+        self.path = scratch(self.spark, name)
         df.write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
 

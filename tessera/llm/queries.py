@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shared import scratch
 from . import op1_lines, op2_pack, op3_pii, op4_mix, op5_shard, op6_bwt, op7_toxic, op8_media, op9_jaccard, op10_decon
-from .common import shared_dir, table
+from .common import table
 
 
 def op1_lines_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,7 +22,7 @@ def op2_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as f:
         model = f.read()
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}-tokens"
+    path = scratch(spark, "tokens")
     op2_pack.write(table(spark, sf_dir, "documents"), path, model, vocabulary=49_408, end_id=2)
     return op2_pack.read_digest(spark, path)
 
