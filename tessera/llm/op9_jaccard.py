@@ -35,7 +35,7 @@ from .graph import components
 from .texthash import mix, shingles
 
 #: Coordinates of a point, points of an R-tree leaf, and nodes of a chunk; a search compares those of two chunks at most.
-GROUPS, LEAF, CHUNK = 64, 16, 4_000
+GROUPS, LEAF, CHUNK = 64, 16, 1_000
 #: Postings that a mapper holds before it hands them on.
 HOLD = 1_000_000
 #: Bytes of text for each bucket of blocks: bounds what a task holds.
