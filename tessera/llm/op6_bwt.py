@@ -428,13 +428,9 @@ def dedup(docs: DataFrame, size: int = SIZE, most_of_anchor: int = MOST_OF_ANCHO
     buckets = max(partitions(spark), -(-volume // BUCKET_BYTES))
 
     seen = chunks.df.mapInArrow(_announce(size, buckets), _ddl(_SEEN)).repartitionById(buckets, F.col("bucket"))
-    flags = Written(seen.mapInArrow(_compare(most_of_anchor), _ddl(_FLAGS)), "bwt-flags")
-    del seen
-    free(spark)
-    told = flags.df.groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("flags"))
+    told = seen.mapInArrow(_compare(most_of_anchor), _ddl(_FLAGS)).groupBy("chunk").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("flags"))
     found = Written(chunks.df.join(told, "chunk").mapInArrow(_gather(size, buckets), _ddl(_CONTEXT)), "bwt-contexts")
-    flags.drop()
-    del told
+    del seen, told
     free(spark)
     strings = found.df.where("kind = 1").drop("kind").repartitionById(buckets, F.col("bucket"))
     replies = Written(strings.mapInArrow(_decide(size), _ddl(_REPLY)), "bwt-replies")
