@@ -1,6 +1,6 @@
 """Media columns: copies of images, cropped or edited ones too, by local descriptors.
 
-Corners are found at several scales. Each gets an orientation from the intensities around it, and 128 bits from comparisons
+All corners above a response are found at several scales, however many an image has. Each gets an orientation from the intensities around it, and 128 bits from comparisons
 of smoothed intensities at places that turn with it, so neither rotation nor brightness changes them. The bits are cut into
 TABLES keys; descriptors with an equal key meet, and those within DIFFER bits vote for the similarity that takes one
 image's place, scale and angle to the other's. A pair of images whose votes agree at LEAST_VOTES places are copies.
@@ -28,8 +28,8 @@ from .common import Written, bound_arrow
 from .graph import components
 
 BITS, TABLES, DIFFER = 128, 4, 20
-#: Corners of one scale, scales, the step between them, and the smallest side of a scale.
-CORNERS, SCALES, STEP, SIDE = 12, 4, 1.41421356, 24
+#: Scales, the step between them, and the smallest side of a scale.
+SCALES, STEP, SIDE = 4, 1.41421356, 24
 RADIUS, LEAST_VOTES = 8, 5
 #: Bins of a vote: radians, octaves, and pixels of the smaller scale.
 ANGLE_BIN, SCALE_BIN, PLACE_BIN = math.pi / 6, 0.7, 6.0
@@ -75,8 +75,6 @@ def describe(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         peak = corner >= np.max([around[i : i + h, j : j + w] for i in range(3) for j in range(3)], axis=0)
         peak &= corner > max(1e-6, 0.01 * corner.max())
         y, x = np.nonzero(peak)
-        best = np.argsort(-corner[y, x], kind="stable")[:CORNERS]
-        y, x = y[best], x[best]
         if len(y):
             disc = a[(y[:, None] + _DISC[:, 0]).clip(0, h - 1), (x[:, None] + _DISC[:, 1]).clip(0, w - 1)]
             angle = np.arctan2(disc @ _DISC[:, 0], disc @ _DISC[:, 1])
@@ -145,22 +143,19 @@ def classes(images: DataFrame) -> DataFrame:
     return ids.df.join(told, "node", "left").select("image_id", F.coalesce("n_keypoints", F.lit(0)).cast("bigint").alias("n_keypoints"), F.coalesce("class_id", "image_id").alias("class_id"))
 
 
-def render(vectors: DataFrame, side: int = 64, grain: int = 22) -> DataFrame:
-    """Vectors as images, for tables that hold no media: a vector's values weigh fixed noise patterns of `grain` squares a
-    side, so near vectors give images that look alike and others don't."""
+def render(vectors: DataFrame, side: int = 64) -> DataFrame:
+    """Vectors as images: their values on a square grid, drawn `side` pixels wide. For tables that hold no media."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        noise = np.random.default_rng(11)
-        patterns = np.zeros((0, side, side))
         for batch in batches:
             out = []
             for v in batch.column("embedding").to_pylist():
                 if not v or any(x is None for x in v):
                     out.append(None)
                     continue
-                while len(patterns) < len(v):
-                    patterns = np.concatenate([patterns, resize(noise.standard_normal((grain, grain)), side, side)[None]])
-                a = np.tensordot(np.nan_to_num(np.asarray(v, float)), patterns[: len(v)], 1)
+                n = math.isqrt(len(v) - 1) + 1
+                a = np.resize(np.asarray(v, float), n * n).reshape(n, n)
+                a = resize(np.nan_to_num(a), side, side)
                 out.append(np.rint(255 * (a - a.min()) / max(np.ptp(a), 1e-9)).astype(np.uint8).tobytes())
             size = pa.array([side] * len(out), pa.int32())
             yield pa.record_batch([batch.column("vec_id"), pa.array(out, pa.binary()), size, size], ["image_id", "pixels", "height", "width"])

@@ -407,6 +407,21 @@ def test_media(spark):
     assert op8_media.classes(docs.limit(0)).count() == 0
 
 
+def test_media_overlay(spark):
+    """An image with a patch of stronger corners laid over it is still a copy of the one without."""
+    from tessera.llm import op8_media
+
+    draw = np.random.default_rng(9)
+    plain = [100 + 80 * (op8_media.resize(draw.random((28, 28)), 224, 224) - 0.5) for _ in range(3)]
+    over = [a.copy() for a in plain]
+    for a in over:
+        a[:88, :88] = 30 + 195 * op8_media.resize(draw.random((11, 11)), 88, 88)
+    assert len(op8_media.describe(plain[0])[0]) > 4 * 24
+    rows_ = [(i, bytearray(a.clip(0, 255).astype(np.uint8).tobytes()), 224, 224) for i, a in enumerate([*plain, *over])]
+    images = spark.createDataFrame(rows_, "image_id long, pixels binary, height int, width int")
+    assert {r.image_id: r.class_id for r in op8_media.classes(images).collect()} == {i: i % 3 for i in range(6)}
+
+
 def test_media_recall(spark):
     """The rendered vectors: equal ones share a class, and every class has one image at least."""
     from tessera.llm import op8_media
