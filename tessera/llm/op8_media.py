@@ -5,9 +5,11 @@ of smoothed intensities at places that turn with it, so neither rotation nor bri
 TABLES keys; descriptors with an equal key meet, and those within DIFFER bits vote for the similarity that takes one
 image's place, scale and angle to the other's. A pair of images whose votes agree at LEAST_VOTES places are copies.
 
-Equal pixels are one image from the start. Within a key, descriptors are tied to the one of the first image rather than to
-each other, so a logo that a third of all images show makes as many rows as there are descriptors, and classes come
-out whole as components. Joins on keys are split by Spark where one key is large.
+Equal pixels are one image from the start. At first descriptors are tied, within a key, to the one of the first image, so a
+logo that a third of all images show is one component after as many rows as there are descriptors. Then all descriptors
+of a key whose images are in different components are compared, in pairs of chunks of CHUNK; two images of which any
+descriptors meet within DIFFER bits have all of theirs compared, and the nearest to each other vote. Work grows with the square of the images that share
+keys and aren't copies. Classes are the components of all links.
 
 Defined results. A null image, one whose data don't have height * width bytes, or one without corners has no keypoints and
 is copied only by equal data; null images are classes of their own. Rows with equal ids share a result each. A null id is
@@ -31,6 +33,8 @@ BITS, TABLES, DIFFER = 128, 4, 20
 #: Scales, the step between them, and the smallest side of a scale.
 SCALES, STEP, SIDE = 4, 1.41421356, 24
 RADIUS, LEAST_VOTES = 8, 5
+#: Descriptors of a chunk, and points of a block of images whose pairs one task verifies (at least BLOCKS blocks).
+CHUNK, BLOCK_POINTS, BLOCKS = 1000, 200_000, 8
 #: Bins of a vote: radians, octaves, and pixels of the smaller scale.
 ANGLE_BIN, SCALE_BIN, PLACE_BIN = math.pi / 6, 0.7, 6.0
 
@@ -100,27 +104,132 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch(columns, ["node", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"])
 
 
-def classes(images: DataFrame) -> DataFrame:
-    """image_id, n_keypoints and class_id (the smallest id among copies) of each row of image_id, pixels, height, width."""
-    bound_arrow(images.sparkSession)
-    fits = F.coalesce(F.octet_length("pixels") == F.col("height") * F.col("width"), F.lit(False)) & (F.col("height") > 0)
-    rows = images.where("image_id is not null").select(F.col("image_id").cast("bigint").alias("image_id"), "pixels", "height", "width", fits.alias("fits"))
-    rows = rows.withColumn("node", F.when(F.col("fits"), F.xxhash64("height", "width", "pixels")).when(F.col("pixels").isNotNull(), F.xxhash64("pixels", F.lit("odd"))))
-    ids = Written(rows.select("image_id", "node"), "media-ids")
-    of_id = ids.df.where("node is not null").groupBy("node", "image_id").agg(F.count("*").alias("held"))
-    reps = of_id.groupBy("node").agg(F.min(F.struct("image_id", "held")).alias("r")).select("node", F.col("r.image_id").alias("rep"), F.col("r.held").alias("held"))
-    # One image of each class of equal data is described (`held` times, if its row repeats).
-    once = rows.where("fits").join(reps.select(F.col("rep").alias("image_id"), F.col("node").alias("n")), "image_id").where("node = n")
-    points = Written(once.select("node", "pixels", "height", "width").mapInArrow(_describe, _POINTS).select(F.monotonically_increasing_id().alias("point"), "*"), "media-points")
+def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal values of `columns`, across batches. One run is held at a time."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1)
+        begin = np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1, [len(values)]])
+        for i, end in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            if held and (values[i] != last).any():
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(i, end - i))
+            last = values[i]
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+    return rows.column(name).to_numpy()
+
+
+def _bits(rows: pa.Table) -> np.ndarray:
+    """The descriptors as two words of 64 bits."""
+    return np.ascontiguousarray(np.stack([_numbers(rows, f"d{i}") for i in range(BITS // 32)], 1)).view(np.uint64)
+
+
+def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return sum(np.bitwise_count(a[:, None, i] ^ b[None, :, i]).astype(np.uint8) for i in range(a.shape[1]))
+
+
+def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Images (a < b) of different components of which descriptors meet, from rows sorted by key, lo and hi."""
+    for rows in _runs(batches, ["key", "lo", "hi"]):
+        node, label, part, bits = _numbers(rows, "node"), _numbers(rows, "label"), _numbers(rows, "part"), _bits(rows)
+        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
+        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
+        if not len(left) or not len(right):
+            continue
+        found = []
+        for k in range(0, len(left), CHUNK):
+            some = left[k : k + CHUNK]
+            i, j = np.nonzero((_far(bits[some], bits[right]) <= DIFFER) & (label[some][:, None] != label[right]))
+            found.append(np.unique(np.sort(np.stack([node[some[i]], node[right[j]]], 1), 1), axis=0))
+        pair = np.unique(np.concatenate(found), axis=0)
+        if len(pair):
+            yield pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+
 
+def linked(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray]) -> bool:
+    """Whether the points (x, y, scale, angle) and words of two images have LEAST_VOTES votes for one similarity. Points vote
+    that are the nearest of the other image to each other (equally near ones all do), as smooth images have many within DIFFER."""
+    far = _far(p[1], q[1])
+    i, j = np.nonzero((far <= DIFFER) & (far == far.min(1, keepdims=True)) & (far == far.min(0)))
+    if len(i) < LEAST_VOTES:
+        return False
+    (x, y, scale, angle), (to_x, to_y, to_scale, to_angle) = p[0][i].T.astype(float), q[0][j].T.astype(float)
+    turn, grow = to_angle - angle, to_scale / scale
+    dx, dy = to_x - grow * (np.cos(turn) * x - np.sin(turn) * y), to_y - grow * (np.sin(turn) * x + np.cos(turn) * y)
+    spot = (np.floor(y / 2).astype(np.int64) << 24) + np.floor(x / 2).astype(np.int64)
+    for grid in (0.0, 0.5):
+        bins = [np.floor(v / s + grid).astype(np.int64) for v, s in ((turn % (2 * math.pi), ANGLE_BIN), (np.log2(grow), SCALE_BIN), (dx, PLACE_BIN), (dy, PLACE_BIN))]
+        cell = (bins[0] % round(2 * math.pi / ANGLE_BIN) << 56) + (bins[1] + 32 << 50) + (bins[2] + (1 << 24) << 25) + bins[3] + (1 << 24)
+        order = np.lexsort((spot, cell))
+        c, t = cell[order], spot[order]
+        new = np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])
+        if np.unique(c[new], return_counts=True)[1].max() >= LEAST_VOTES:
+            return True
+    return False
+
+
+def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of images that are linked, from rows sorted by group; a group has its images' points, then its pairs."""
+    group, images = None, {}
+    for batch in batches:
+        g, asked = batch.column("g").to_numpy(), batch.column("b").is_valid().to_numpy(zero_copy_only=False)
+        a, b = batch.column("a").to_numpy(), batch.column("b").fill_null(0).to_numpy()
+        begin = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]) | (asked[1:] != asked[:-1]) | ~asked[1:] & (a[1:] != a[:-1])) + 1, [len(g)]]) if len(g) else np.zeros(1, int)
+        out = []
+        for i, end in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+            if g[i] != group:
+                group, images = g[i], {}
+            if asked[i]:
+                out += [(x, y) for x, y in zip(a[i:end].tolist(), b[i:end].tolist(), strict=True) if linked(images[x], images[y])]
+                continue
+            rows = pa.Table.from_batches([batch.slice(i, end - i)])
+            own = np.stack([_numbers(rows, c) for c in ("x", "y", "scale", "angle")], 1), _bits(rows)
+            images[int(a[i])] = tuple(np.concatenate(x) for x in zip(images[int(a[i])], own, strict=True)) if int(a[i]) in images else own
+        if out:
+            yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
+
+
+def _rest(points: DataFrame, links: DataFrame, met: DataFrame) -> DataFrame:
+    """Links (a, b) between images of different components, from all pairs of descriptors under a key."""
+    label = links.select("node", "label")
+    told = points.select("point", "node", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    of_point = met.join(told.select("point", "node", "label", "d0", "d1", "d2", "d3"), "point")
+    shared = of_point.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
+    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
+    dealt = of_point.join(shared.select("key", chunks.alias("chunks")), "key").withColumn("part", F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "label", "d0", "d1", "d2", "d3")
+    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
+    pairs = Written(dealt.mapInArrow(_meet, "a long, b long").distinct(), "media-pairs")
+
+    # Pairs of images are dealt by pairs of blocks, so that an image's points are sent once to each block that needs them.
+    blocks = max(BLOCKS, points.count() // BLOCK_POINTS)
+    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
+    grouped = pairs.df.select((F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))).alias("g"), "a", "b")
+    need = grouped.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
+    sent = need.join(points, "node").select("g", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")
+    asked = grouped.select("g", "a", "b", *(F.lit(None).cast(sent.schema[c].dataType).alias(c) for c in ("x", "y", "scale", "angle", "d0", "d1", "d2", "d3")))
+    rows = sent.union(asked).repartition("g").sortWithinPartitions("g", F.col("b").isNotNull(), "a")
+    return rows.mapInArrow(_verify, "a long, b long")
+
+
+def joined(points: DataFrame) -> Written:
+    """node and label of the components of images that are copies, from their points."""
     # Keys and point numbers alone are shuffled; points of an image have numbers in a row, so a key's smallest point is that
     # of the same image for all keys that some images share. What the points are like is fetched for pairs that met.
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("table"), F.col(f"d{i}").alias("key")) for i in range(TABLES)))).alias("k")
-    met = points.df.select("point", keys).select((F.shiftleft(F.col("k.table").cast("bigint"), 32) + F.col("k.key")).alias("key"), "point")
+    met = points.select("point", keys).select((F.shiftleft(F.col("k.table").cast("bigint"), 32) + F.col("k.key")).alias("key"), "point")
     first = met.groupBy("key").agg(F.min("point").alias("q"), F.max("point").alias("last")).where("q <> last").drop("last")
     tied = met.join(first, "key").where("point <> q").select(F.col("point").alias("p"), "q").distinct()
     spot = F.struct("node", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")
-    one, other = points.df.select(F.col("point").alias("p"), spot.alias("a")), points.df.select(F.col("point").alias("q"), spot.alias("b"))
+    one, other = points.select(F.col("point").alias("p"), spot.alias("a")), points.select(F.col("point").alias("q"), spot.alias("b"))
     pairs = tied.join(one, "p").join(other, "q").select(F.col("a").alias("p"), F.col("b").alias("q")).where("p.node <> q.node")
     far = sum((F.bit_count(F.col(f"p.d{i}").bitwiseXOR(F.col(f"q.d{i}"))) for i in range(1, 4)), F.bit_count(F.col("p.d0").bitwiseXOR(F.col("q.d0"))))
     pairs = pairs.where(far <= DIFFER)
@@ -135,8 +244,25 @@ def classes(images: DataFrame) -> DataFrame:
     around = round(2 * math.pi / ANGLE_BIN)
     cell = [F.pmod(F.floor(F.col("turn") / ANGLE_BIN + F.col("grid")), F.lit(around)), *(F.floor(F.col(c) / s + F.col("grid")) for c, s in (("grow", SCALE_BIN), ("dx", PLACE_BIN), ("dy", PLACE_BIN)))]
     votes = pairs.select("*", grids).groupBy("a", "b", "grid", *(c.alias(f"c{i}") for i, c in enumerate(cell))).agg(F.size(F.collect_set("spot")).alias("votes"))
-    links = components(votes.where(F.col("votes") >= LEAST_VOTES).select("a", "b"), "media")
+    links = Written(votes.where(F.col("votes") >= LEAST_VOTES).select("a", "b"), "media-links")
+    parts = components(links.df, "media-first")
+    return components(links.df.union(_rest(points, parts.df, met)), "media")
+
+
+def classes(images: DataFrame) -> DataFrame:
+    """image_id, n_keypoints and class_id (the smallest id among copies) of each row of image_id, pixels, height, width."""
+    bound_arrow(images.sparkSession)
+    fits = F.coalesce(F.octet_length("pixels") == F.col("height") * F.col("width"), F.lit(False)) & (F.col("height") > 0)
+    rows = images.where("image_id is not null").select(F.col("image_id").cast("bigint").alias("image_id"), "pixels", "height", "width", fits.alias("fits"))
+    rows = rows.withColumn("node", F.when(F.col("fits"), F.xxhash64("height", "width", "pixels")).when(F.col("pixels").isNotNull(), F.xxhash64("pixels", F.lit("odd"))))
+    ids = Written(rows.select("image_id", "node"), "media-ids")
+    of_id = ids.df.where("node is not null").groupBy("node", "image_id").agg(F.count("*").alias("held"))
+    reps = of_id.groupBy("node").agg(F.min(F.struct("image_id", "held")).alias("r")).select("node", F.col("r.image_id").alias("rep"), F.col("r.held").alias("held"))
+    # One image of each class of equal data is described (`held` times, if its row repeats).
+    once = rows.where("fits").join(reps.select(F.col("rep").alias("image_id"), F.col("node").alias("n")), "image_id").where("node = n")
+    points = Written(once.select("node", "pixels", "height", "width").mapInArrow(_describe, _POINTS).select(F.monotonically_increasing_id().alias("point"), "*"), "media-points")
 
+    links = joined(points.df)
     named = links.df.join(reps, "node").groupBy("label").agg(F.min("rep").alias("class_id"))
     of_node = reps.join(links.df.join(named, "label").select("node", "class_id"), "node", "left").select("node", "held", F.coalesce("class_id", "rep").alias("class_id"))
     told = of_node.join(points.df.groupBy("node").agg(F.count("*").alias("n")), "node", "left").withColumn("n_keypoints", F.expr("n div held"))

@@ -422,6 +422,23 @@ def test_media_overlay(spark):
     assert {r.image_id: r.class_id for r in op8_media.classes(images).collect()} == {i: i % 3 for i in range(6)}
 
 
+def test_media_hot_key(spark, monkeypatch):
+    """Two copies whose only common key has an earlier, unrelated image first find each other, in chunks too."""
+    from tessera.llm import op8_media
+
+    draw = np.random.default_rng(4)
+    bits, spots = draw.integers(0, 256, (20, 16), dtype=np.uint8), draw.random((20, 2)) * 400
+    near = bits.copy()
+    near[:, 4:] ^= (1 << (np.arange(12) % 8)).astype(np.uint8)  # 12 bits, some in each word but the first
+    other = np.concatenate([bits[:, :4], draw.integers(0, 256, (20, 12), dtype=np.uint8)], 1)
+    images = [(other, draw.random((20, 2)) * 400), (bits, spots), (near, spots + 3)]
+    rows_ = [(20 * i + k, i, *map(float, at[k]), 1.0, 0.5, *map(int, b[k].view("<i4"))) for i, (b, at) in enumerate(images) for k in range(20)]
+    points = spark.createDataFrame(rows_, "point long, node long, x float, y float, scale float, angle float, d0 int, d1 int, d2 int, d3 int")
+    for chunk in (1000, 1):
+        monkeypatch.setattr(op8_media, "CHUNK", chunk)
+        assert {r.node: r.label for r in op8_media.joined(points).df.collect()} == {1: 1, 2: 1}
+
+
 def test_media_recall(spark):
     """The rendered vectors: equal ones share a class, and every class has one image at least."""
     from tessera.llm import op8_media
