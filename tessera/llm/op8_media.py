@@ -7,7 +7,7 @@ image's place, scale and angle to the other's. A pair of images whose votes agre
 
 Equal pixels are one image from the start. At first descriptors are tied, within a key, to the one of the first image, so a
 logo that a third of all images show is one component after as many rows as there are descriptors. Then all descriptors
-of a key whose images are in different components are compared, in pairs of chunks of CHUNK; two images of which any
+of each of SHORT_TABLES shorter keys, samples of bits that overlap, whose images are in different components are compared, in pairs of chunks of CHUNK; two images of which any
 descriptors meet within DIFFER bits have all of theirs compared, and the nearest to each other vote. Work grows with the square of the images that share
 keys and aren't copies. Classes are the components of all links.
 
@@ -30,6 +30,8 @@ from .common import Written, bound_arrow
 from .graph import components
 
 BITS, TABLES, DIFFER = 128, 4, 20
+#: Short keys and their bits: two descriptors with DIFFER bits apart at random have one in common in two of three cases.
+SHORT_TABLES, SHORT = 16, 16
 #: Scales, the step between them, and the smallest side of a scale.
 SCALES, STEP, SIDE = 4, 1.41421356, 24
 RADIUS, LEAST_VOTES = 8, 5
@@ -42,6 +44,9 @@ _draw = np.random.default_rng(7)
 _POLAR = np.stack([RADIUS * np.sqrt(_draw.random((BITS, 2))), 2 * math.pi * _draw.random((BITS, 2))])
 _DISC = np.array([(y, x) for y in range(-6, 7) for x in range(-6, 7) if y * y + x * x <= 36])
 
+#: The bits of each short key, which overlap: four signed words of 32 bits.
+_KEYS = [np.packbits(np.isin(np.arange(BITS), _draw.choice(BITS, SHORT, replace=False))).view("<i4").tolist() for _ in range(SHORT_TABLES)]
+
 _POINTS = "node long, x float, y float, scale float, angle float, d0 int, d1 int, d2 int, d3 int"
 
 
@@ -196,11 +201,12 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
-def _rest(points: DataFrame, links: DataFrame, met: DataFrame) -> DataFrame:
-    """Links (a, b) between images of different components, from all pairs of descriptors under a key."""
+def _rest(points: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) between images of different components, from all pairs of descriptors under a short key."""
     label = links.select("node", "label")
     told = points.select("point", "node", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    of_point = met.join(told.select("point", "node", "label", "d0", "d1", "d2", "d3"), "point")
+    keys = F.explode(F.array(*(F.xxhash64(F.lit(t), *(F.col(f"d{i}").bitwiseAND(F.lit(m)) for i, m in enumerate(mask))) for t, mask in enumerate(_KEYS)))).alias("key")
+    of_point = told.select(keys, "point", "node", "label", "d0", "d1", "d2", "d3")
     shared = of_point.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     dealt = of_point.join(shared.select("key", chunks.alias("chunks")), "key").withColumn("part", F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int"))
@@ -246,7 +252,7 @@ def joined(points: DataFrame) -> Written:
     votes = pairs.select("*", grids).groupBy("a", "b", "grid", *(c.alias(f"c{i}") for i, c in enumerate(cell))).agg(F.size(F.collect_set("spot")).alias("votes"))
     links = Written(votes.where(F.col("votes") >= LEAST_VOTES).select("a", "b"), "media-links")
     parts = components(links.df, "media-first")
-    return components(links.df.union(_rest(points, parts.df, met)), "media")
+    return components(links.df.union(_rest(points, parts.df)), "media")
 
 
 def classes(images: DataFrame) -> DataFrame:

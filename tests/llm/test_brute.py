@@ -439,6 +439,41 @@ def test_media_hot_key(spark, monkeypatch):
         assert {r.node: r.label for r in op8_media.joined(points).df.collect()} == {1: 1, 2: 1}
 
 
+def test_media_short_keys(spark):
+    """Images with 8 common descriptors, each near DIFFER bits apart and equal in no word, are found: 9 of 10 at least."""
+    from tessera.llm import op8_media
+
+    draw, rows_ = np.random.default_rng(8), []
+    for pair in range(40):
+        bits, spots = draw.integers(0, 2, (8, 128), dtype=np.uint8), draw.random((8, 2)) * 400
+        far = bits.copy()
+        for k in range(8):
+            far[k, np.concatenate([draw.choice(32, 5, replace=False) + 32 * w for w in range(4)])] ^= 1
+        for side, b in enumerate((bits, far)):
+            for at, words in zip(spots, np.packbits(b, axis=1).view("<i4")):
+                rows_.append((len(rows_), 2 * pair + side, *map(float, at), 1.0, 0.5, *map(int, words)))
+    points = spark.createDataFrame(rows_, "point long, node long, x float, y float, scale float, angle float, d0 int, d1 int, d2 int, d3 int")
+    got = {r.node: r.label for r in op8_media.joined(points).df.collect()}
+    assert sum(got.get(2 * i + 1) == 2 * i for i in range(40)) >= 36 and all(v // 2 == k // 2 for k, v in got.items())
+
+
+def test_media_against_brute(spark):
+    """Of the links that comparing all descriptors of all images gives between cropped, scaled and noisy copies, 0.9 at least are found."""
+    from tessera.llm import op8_media
+
+    draw, images = np.random.default_rng(6), []
+    for a in (op8_media.resize(draw.random((14, 14)), 112, 112) * 200 for _ in range(4)):
+        images += [x.clip(0, 255).astype(np.uint8) for x in (a, a[10:100, 6:104], op8_media.resize(a, 80, 80), a + draw.normal(0, 10, a.shape))]
+    told = [op8_media.describe(a) for a in images]
+    points = [(p.astype(np.float32), np.ascontiguousarray(b).view(np.uint64)) for p, b in told]
+    links = {(i, j) for j in range(len(images)) for i in range(j) if op8_media.linked(points[i], points[j])}
+    assert len(links) >= 12 and all(i // 4 == j // 4 for i, j in links)
+    rows_ = [(i, bytearray(a.tobytes()), *a.shape) for i, a in enumerate(images)]
+    got = {r.image_id: r.class_id for r in op8_media.classes(spark.createDataFrame(rows_, "image_id long, pixels binary, height int, width int")).collect()}
+    assert sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
+    assert all(v // 4 == k // 4 for k, v in got.items())
+
+
 def test_media_recall(spark):
     """The rendered vectors: equal ones share a class, and every class has one image at least."""
     from tessera.llm import op8_media
