@@ -3,9 +3,10 @@
 Base spans are the matches of four patterns. For the rest, each entity is a protected value. The corpus says how strongly
 a term near an entity reveals it: with N documents, df(e) holding the entity, df(t) the term and df(e, t) the term near the
 entity, PMI(e; t) = log2(N df(e, t) / (df(e) df(t))), and the entity's information is IC(e) = log2(N / df(e)). A term that
-carries at least `share` of that information, in at least `support` documents, discloses the entity: its occurrences near
-the entity become spans of kind "term". `sanitise` gives
-the text with every span generalised to its kind.
+carries at least `share` of that information discloses the entity, in however few documents the entity is: its occurrences
+near the entity become spans of kind "term". `sanitise` gives the text with every span generalised to its kind. As PMI = IC +
+log2(df(e, t) / df(t)), what counts for an entity in one document is how rare the term is in the whole corpus; callers may ask
+for more evidence with `support`.
 
 All counts come from all documents and are made by sums that combine before they are shuffled, so an entity or a term that
 a third of all documents hold is a short row per task. Positions are code points, the end exclusive.
@@ -34,7 +35,7 @@ PATTERN = {
 NEEDS = {"email": r"@", "ip": None, "card": None, "phone": r"+"}
 #: Terms: words of three letters or more, at most `REACH` code points before or after an entity.
 TERM, REACH = r"\p{L}{3,}", 120
-SHARE, SUPPORT = 0.9, 4
+SHARE, SUPPORT = 0.9, 1
 
 _SPAN = "array<struct<start:int,end:int,value:string>>"
 

@@ -166,6 +166,37 @@ def test_pii_terms(spark):
     assert "jo@x.org" not in out and "zanzibar" not in out and "[EMAIL]" in out and "[TERM]" in out
 
 
+def test_pii_terms_rare(spark):
+    """Entities that one or two documents hold have terms as well: those that are rare in the whole corpus, and no others."""
+    import math
+
+    from tessera.llm import op3_pii
+
+    sf = "/root/testdata/sf0.1"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    every = [(d, t or "") for d, t in pairs(docs)]
+    held, df_e, df_t, df_et = [], {}, {}, {}
+    for _, t in every:
+        own, near = set(), set()
+        for k, v in base(t).items() if any(map(base(t).get, ("email", "ip", "card", "phone"))) else ():
+            for a, b in v:
+                e = f"{k}:{t[a:b].lower()}"
+                own.add(e)
+                around = (t[max(0, a - op3_pii.REACH) : a], t[b : b + op3_pii.REACH])
+                near |= {(e, w.lower()) for x in around for w in re.findall(r"[^\W\d_]{3,}", x)}
+        held.append(own)
+        for x, counts in ((own, df_e), ({w.lower() for w in re.findall(r"[^\W\d_]{3,}", t)}, df_t), (near, df_et)):
+            for v in x:
+                counts[v] = counts.get(v, 0) + 1
+    n = len(every)
+    telling = {e for (e, w), c in df_et.items() if w in df_t and math.log2(n * c / (df_e[e] * df_t[w])) >= op3_pii.SHARE * math.log2(n / df_e[e])}
+    got = {r.doc_id: r.n_term for r in op3_pii.digest(docs).collect()}
+    few = [(d, {e for e in own if df_e[e] <= 2}) for (d, _), own in zip(every, held)]
+    told = [d for d, own in few if own & telling]
+    assert told and all(got[d] for d in told)
+    assert not any(got[d] for (d, _), own in zip(every, held) if not own & telling)
+
+
 def test_mix(docs):
     from tessera.llm.op4_mix import mix, targets
 
