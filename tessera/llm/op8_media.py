@@ -1,19 +1,22 @@
 """Media columns: copies of images, cropped or edited ones too, by local descriptors.
 
-All corners above a response are found at several scales, however many an image has. Each gets an orientation from the intensities around it, and 128 bits from comparisons
-of smoothed intensities at places that turn with it, so neither rotation nor brightness changes them. The bits are cut into
-TABLES keys; descriptors with an equal key meet, and those within DIFFER bits vote for the similarity that takes one
-image's place, scale and angle to the other's. A pair of images whose votes agree at LEAST_VOTES places are copies.
+All corners above a response are found at several scales, however many an image has. Each gets an orientation from the
+intensities around it, and 128 bits from comparisons of smoothed intensities at places that turn with it, so neither rotation
+nor brightness changes them. A pair of images whose mutually nearest descriptors, DIFFER bits apart at most, vote LEAST_VOTES
+times for one similarity (place, scale and angle) are copies. Classes are the components of all links.
 
-Equal pixels are one image from the start. At first descriptors are tied, within a key, to the one of the first image, so a
-logo that a third of all images show is one component after as many rows as there are descriptors. Then all descriptors
-of each of SHORT_TABLES shorter keys, samples of bits that overlap, whose images are in different components are compared, in pairs of chunks of CHUNK; two images of which any
-descriptors meet within DIFFER bits have all of theirs compared, and the nearest to each other vote. Work grows with the square of the images that share
-keys and aren't copies. Classes are the components of all links.
+Equal pixels are one image from the start. At first descriptors are tied, within a word of 32 bits, to the one of the first image,
+so a logo that a third of all images show is one component after as many rows as there are descriptors. Then all descriptors
+of each of SHORT_TABLES shorter keys, samples of SHORT bits, whose images are in different components are compared, in pairs of
+chunks of CHUNK; two images of which two descriptors or more meet within MEET bits have all of theirs compared, and vote.
+Work grows with the square of the images that share keys and aren't copies.
+
+The keys are an index: descriptors within MEET bits meet with a chance that the number of keys sets (0.94 at 3 bits, 0.6 at
+8), and a copy has dozens of them. The tests compare its links with those of all pairs of images: 0.9 or more are found.
 
 Defined results. A null image, one whose data don't have height * width bytes, or one without corners has no keypoints and
 is copied only by equal data; null images are classes of their own. Rows with equal ids share a result each. A null id is
-left out. An empty table gives an empty result. Other columns are ignored.
+left out. An empty table gives an empty result. Other columns are ignored. Of equal distances all vote.
 """
 
 from __future__ import annotations
@@ -26,15 +29,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bound_arrow
+from .common import Written, bound_arrow, free
 from .graph import components
 
 BITS, TABLES, DIFFER = 128, 4, 20
-#: Short keys and their bits: two descriptors with DIFFER bits apart at random have one in common in two of three cases.
-SHORT_TABLES, SHORT = 16, 16
+#: Short keys and their bits; the bits that descriptors of two images differ in at most where they meet.
+SHORT_TABLES, SHORT, MEET = 4, 24, 10
 #: Scales, the step between them, and the smallest side of a scale.
 SCALES, STEP, SIDE = 4, 1.41421356, 24
-RADIUS, LEAST_VOTES = 8, 5
+#: Half the side of what a descriptor sees: wide enough that smooth images of one kind differ in it.
+RADIUS, LEAST_VOTES = 15, 5
 #: Descriptors of a chunk, and points of a block of images whose pairs one task verifies (at least BLOCKS blocks).
 CHUNK, BLOCK_POINTS, BLOCKS = 1000, 200_000, 8
 #: Bins of a vote: radians, octaves, and pixels of the smaller scale.
@@ -141,9 +145,9 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Images (a < b) of different components of which descriptors meet, from rows sorted by key, lo and hi."""
+    """Images (a < b) of different components of which descriptors meet, with a's point, from rows sorted by key, lo and hi."""
     for rows in _runs(batches, ["key", "lo", "hi"]):
-        node, label, part, bits = _numbers(rows, "node"), _numbers(rows, "label"), _numbers(rows, "part"), _bits(rows)
+        node, label, point, part, bits = (*(_numbers(rows, c) for c in ("node", "label", "point", "part")), _bits(rows))
         lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
         left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
         if not len(left) or not len(right):
@@ -151,11 +155,14 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = []
         for k in range(0, len(left), CHUNK):
             some = left[k : k + CHUNK]
-            i, j = np.nonzero((_far(bits[some], bits[right]) <= DIFFER) & (label[some][:, None] != label[right]))
-            found.append(np.unique(np.sort(np.stack([node[some[i]], node[right[j]]], 1), 1), axis=0))
-        pair = np.unique(np.concatenate(found), axis=0)
-        if len(pair):
-            yield pa.record_batch([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["a", "b"])
+            i, j = np.nonzero((_far(bits[some], bits[right]) <= MEET) & (label[some][:, None] != label[right]))
+            i, j = some[i], right[j]
+            turn = node[i] > node[j]
+            i, j = np.where(turn, j, i), np.where(turn, i, j)
+            found.append(np.unique(np.stack([node[i], node[j], point[i]], 1), axis=0))
+        met = np.unique(np.concatenate(found), axis=0)
+        if len(met):
+            yield pa.record_batch([pa.array(np.ascontiguousarray(met[:, c])) for c in range(3)], ["a", "b", "p"])
 
 
 def linked(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray]) -> bool:
@@ -211,9 +218,13 @@ def _rest(points: DataFrame, links: DataFrame) -> DataFrame:
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     dealt = of_point.join(shared.select("key", chunks.alias("chunks")), "key").withColumn("part", F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "node", "label", "d0", "d1", "d2", "d3")
+    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "point", "node", "label", "d0", "d1", "d2", "d3")
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    pairs = Written(dealt.mapInArrow(_meet, "a long, b long").distinct(), "media-pairs")
+    # Two descriptors at least: the smallest and the largest point of an image that meets the other differ.
+    met = dealt.mapInArrow(_meet, "a long, b long, p long").groupBy("a", "b").agg(F.min("p").alias("p"), F.max("p").alias("q"))
+    pairs = Written(met.where("p <> q").select("a", "b"), "media-pairs")
+    del dealt, met
+    free(points.sparkSession)
 
     # Pairs of images are dealt by pairs of blocks, so that an image's points are sent once to each block that needs them.
     blocks = max(BLOCKS, points.count() // BLOCK_POINTS)
@@ -251,8 +262,13 @@ def joined(points: DataFrame) -> Written:
     cell = [F.pmod(F.floor(F.col("turn") / ANGLE_BIN + F.col("grid")), F.lit(around)), *(F.floor(F.col(c) / s + F.col("grid")) for c, s in (("grow", SCALE_BIN), ("dx", PLACE_BIN), ("dy", PLACE_BIN)))]
     votes = pairs.select("*", grids).groupBy("a", "b", "grid", *(c.alias(f"c{i}") for i, c in enumerate(cell))).agg(F.size(F.collect_set("spot")).alias("votes"))
     links = Written(votes.where(F.col("votes") >= LEAST_VOTES).select("a", "b"), "media-links")
+    del met, first, tied, one, other, pairs, votes
+    free(points.sparkSession)
     parts = components(links.df, "media-first")
-    return components(links.df.union(_rest(points, parts.df)), "media")
+    out = components(links.df.union(_rest(points, parts.df)), "media")
+    links.drop()
+    parts.drop()
+    return out
 
 
 def classes(images: DataFrame) -> DataFrame:
@@ -293,3 +309,24 @@ def render(vectors: DataFrame, side: int = 64) -> DataFrame:
             yield pa.record_batch([batch.column("vec_id"), pa.array(out, pa.binary()), size, size], ["image_id", "pixels", "height", "width"])
 
     return vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), "embedding").mapInArrow(run, "image_id long, pixels binary, height int, width int")
+
+
+def edited(images: DataFrame, every: int = 100) -> DataFrame:
+    """Copies of the images whose id is divisible by `every`, each cropped, turned, scaled, brightened or noisy; their ids are -1 - id.
+
+    A stated set of planted copies with which a query shows what the operator finds.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for row in batch.to_pylist():
+                a = np.frombuffer(row["pixels"], np.uint8).reshape(row["height"], row["width"]).astype(float)
+                n, cut = row["image_id"] // every, max(1, min(a.shape) // 12)
+                kinds = (a[cut:, cut:-cut], np.rot90(a), resize(a, round(a.shape[0] * 0.75), round(a.shape[1] * 0.75)), a * 0.8 + 25, a + np.random.default_rng(n).normal(0, 4, a.shape))
+                b = np.rint(kinds[n % len(kinds)]).clip(0, 255).astype(np.uint8)
+                out.append((-1 - row["image_id"], b.tobytes(), *b.shape))
+            columns = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32()), strict=True)], ["image_id", "pixels", "height", "width"])
+
+    return images.where((F.col("image_id") % every == 0) & (F.octet_length("pixels") == F.col("height") * F.col("width"))).mapInArrow(run, "image_id long, pixels binary, height int, width int")

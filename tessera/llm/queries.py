@@ -48,7 +48,10 @@ def op7_toxic_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_media_descriptors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return op8_media.classes(op8_media.render(table(spark, sf_dir, "embeddings")))
+    """The rendered vectors, and an edited copy of each hundredth of them; `copy_of` has the copy's original."""
+    images = op8_media.render(table(spark, sf_dir, "embeddings"))
+    found = op8_media.classes(images.unionByName(op8_media.edited(images)))
+    return found.withColumn("copy_of", F.when(F.col("image_id") < 0, -1 - F.col("image_id")))
 
 
 def op9_jaccard_rtree(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -489,7 +489,7 @@ def test_media_hot_key(spark, monkeypatch):
     draw = np.random.default_rng(4)
     bits, spots = draw.integers(0, 256, (20, 16), dtype=np.uint8), draw.random((20, 2)) * 400
     near = bits.copy()
-    near[:, 4:] ^= (1 << (np.arange(12) % 8)).astype(np.uint8)  # 12 bits, some in each word but the first
+    near[:, 4::2] ^= (1 << (np.arange(6) % 8)).astype(np.uint8)  # 6 bits, some in each word but the first
     other = np.concatenate([bits[:, :4], draw.integers(0, 256, (20, 12), dtype=np.uint8)], 1)
     images = [(other, draw.random((20, 2)) * 400), (bits, spots), (near, spots + 3)]
     rows_ = [(20 * i + k, i, *map(float, at[k]), 1.0, 0.5, *map(int, b[k].view("<i4"))) for i, (b, at) in enumerate(images) for k in range(20)]
@@ -500,15 +500,15 @@ def test_media_hot_key(spark, monkeypatch):
 
 
 def test_media_short_keys(spark):
-    """Images with 8 common descriptors, each near DIFFER bits apart and equal in no word, are found: 9 of 10 at least."""
+    """Images with 20 common descriptors, each MEET bits apart and equal in no word, are found: 9 of 10 at least."""
     from tessera.llm import op8_media
 
     draw, rows_ = np.random.default_rng(8), []
     for pair in range(40):
-        bits, spots = draw.integers(0, 2, (8, 128), dtype=np.uint8), draw.random((8, 2)) * 400
+        bits, spots = draw.integers(0, 2, (20, 128), dtype=np.uint8), draw.random((20, 2)) * 400
         far = bits.copy()
-        for k in range(8):
-            far[k, np.concatenate([draw.choice(32, 5, replace=False) + 32 * w for w in range(4)])] ^= 1
+        for k in range(20):
+            far[k, np.concatenate([draw.choice(32, n, replace=False) + 32 * w for w, n in enumerate((3, 3, 2, 2))])] ^= 1
         for side, b in enumerate((bits, far)):
             for at, words in zip(spots, np.packbits(b, axis=1).view("<i4")):
                 rows_.append((len(rows_), 2 * pair + side, *map(float, at), 1.0, 0.5, *map(int, words)))
@@ -535,17 +535,24 @@ def test_media_against_brute(spark):
 
 
 def test_media_recall(spark):
-    """The rendered vectors: equal ones share a class, and every class has one image at least."""
+    """Of the links that comparing all pairs of rendered vectors and edited copies gives, 0.9 at least are found, and no others."""
     from tessera.llm import op8_media
 
-    vectors = spark.read.parquet(f"{SF}/embeddings.parquet")
-    got = {r.image_id: r.class_id for r in op8_media.classes(op8_media.render(vectors)).collect()}
-    assert len(got) == vectors.count()
-    by = {}
-    for r in vectors.collect():
-        by.setdefault(tuple(r.embedding), []).append(r.vec_id)
-    for ids in by.values():
-        assert len({got[i] for i in ids}) == 1
+    vectors = spark.read.parquet(f"{SF}/embeddings.parquet").where("vec_id < 100")
+    images = op8_media.render(vectors)
+    every = images.unionByName(op8_media.edited(images, 2)).collect()
+    points = {}
+    for r in every:
+        p, b = op8_media.describe(np.frombuffer(r.pixels, np.uint8).reshape(r.height, r.width))
+        points[r.image_id] = p.astype(np.float32), np.ascontiguousarray(b).view(np.uint64)
+    ids = sorted(points)
+    links = [(i, j) for j in ids for i in ids if i < j and op8_media.linked(points[i], points[j])]
+    got = {r.image_id: r.class_id for r in op8_media.classes(spark.createDataFrame(every, images.schema)).collect()}
+    assert len(got) == len(every) and len(links) >= 45
+    assert sum(got[i] == got[j] for i, j in links) >= 0.9 * len(links)
+    assert all(got[i] == got[-1 - i] for i, j in links if j == -1 - i and got[i] == got[j])
+    copies = [i for i in ids if i < 0]
+    assert sum(got[i] == got[-1 - i] for i in copies) >= 0.9 * len(copies) and len(set(got.values())) >= 95
 
 
 def test_components(spark):
