@@ -227,7 +227,7 @@ def test_pii_long(spark):
 
 
 def test_mix(docs):
-    from tessera.llm.op4_mix import mix, targets
+    from tessera.llm.op4_mix import mix
 
     got = mix(docs, block_rows=7).collect()
     every = [(d, t, s) for d, t, s in ((r.doc_id, r.text, r.source) for r in docs.collect())]
@@ -247,11 +247,46 @@ def test_mix(docs):
     assert sorted(map(str, got)) == sorted(map(str, again))
 
 
-def test_mix_targets():
-    from tessera.llm.op4_mix import targets
+def targets(sizes, weights, share=1.0, most=3.0):
+    """Shares by weight; what is above its limit is cut and shared again, round by round."""
+    names = sorted(s for s in sizes if s is not None) + [s for s in sizes if s is None]
+    weigh = {s: weights[i % len(weights)] for i, s in enumerate(names)}
+    left, free, out = share * sum(sizes.values()), set(names), {}
+    while free:
+        unit = left / sum(weigh[s] for s in free)
+        over = [s for s in free if unit * weigh[s] > most * sizes[s]]
+        if not over:
+            return out | {s: unit * weigh[s] for s in free}
+        for s in over:
+            out[s] = most * sizes[s]
+            left -= out[s]
+            free.discard(s)
+    return out
+
+
+def test_mix_targets(spark):
+    from tessera.llm import op4_mix
+
+    draw = np.random.default_rng(5)
+    cases = [{"a": 100, "b": 10, "c": 1}, {"a": 1, "b": 1, "c": 1000, None: 5}, {"a": 0, "b": 0}, {"a": 0, "b": 7}, {}]
+    cases += [{f"s{i:03}": int(draw.pareto(0.4) * 10) for i in range(n)} for n in (5, 40, 300)]
+    for sizes in cases:
+        for share, most in ((1.0, 3.0), (0.5, 1.0), (4.0, 3.0)):
+            rows_ = spark.createDataFrame(list(sizes.items()), "source string, words long")
+            got = {r.source: r.target for r in op4_mix.targets(rows_, [5, 2, 1], share, most).collect()}
+            assert got == pytest.approx(targets(sizes, [5, 2, 1], share, most)), (sizes, share)
+
 
-    out = targets({"a": 1, "b": 1000, "c": 10, None: 5}, [5, 2, 1])
-    assert out["a"] == 3 and sum(out.values()) == pytest.approx(1016) and all(out[s] <= 3 * n + 1e-9 for s, n in {"a": 1, "b": 1000, "c": 10, None: 5}.items())
+def test_mix_repeats(spark):
+    """A row that repeats very often is many documents, spread over the blocks."""
+    from tessera.llm.op4_mix import mix
+
+    docs = spark.range(9_000).selectExpr("cast(null as bigint) as doc_id", "if(id < 5000, 'x y z', 'a b') as text", "if(id % 3 = 0, 's', 't') as source")
+    got = mix(docs, block_rows=100).groupBy("source", "size").agg({"*": "count", "taken": "sum", "target": "max"}).collect()
+    assert sum(r["count(1)"] for r in got) == 9_000
+    for s in "st":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r["sum(taken)"] for r in own) - own[0]["max(target)"]) <= 3
 
 
 def test_shard(docs):
@@ -268,6 +303,25 @@ def test_shard(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
+def test_shard_keys(spark):
+    """A key's type doesn't matter; no shard moves but to the new one; the short walk gives what the long one does."""
+    from pyspark.sql import functions as F
+
+    from tessera.llm import op5_shard
+
+    got = spark.range(2_000).select(*(op5_shard.jump_hash(F.col("id").cast(t), n).alias(f"{t}{n}") for t in ("int", "bigint", "string") for n in (24, 200))).collect()
+    assert all(r.int24 == r.bigint24 == r.string24 and r.int200 == r.bigint200 == r.string200 and 0 <= r.int200 < 200 for r in got)
+    short = op5_shard.SHORT
+    try:
+        op5_shard.SHORT = 3
+        less = spark.range(2_000).select(op5_shard.jump_hash(F.col("id"), 200).alias("s")).collect()
+    finally:
+        op5_shard.SHORT = short
+    assert [r.s for r in less] == [r.int200 for r in got]
+    with pytest.raises(ValueError):
+        op5_shard.jump_hash(F.col("id"), 0)
+
+
 def test_shard_even(spark):
     from tessera.llm.op5_shard import shard
 
