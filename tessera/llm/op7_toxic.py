@@ -12,8 +12,9 @@ the lexicon and as many exceptions. Scoring covers every row and text. No label,
 
 Defined results. Null and empty texts have no hits and get the score of none. Without labelled documents of both kinds the
 lexicon is empty and all scores are 0. Label rows without doc_id or toxic are left out; where rows of a doc_id disagree, it
-is toxic. A null doc_id is never held out and never labelled. Rows that repeat are scored each. An empty table gives an
-empty result. Other columns are ignored.
+is toxic, and where a labelled doc_id has several texts, one of them is learned from. A null doc_id is never held out and never
+labelled. Rows that repeat are scored each; very long texts are scored whole. Terms with equal weights are taken in their own
+order. An empty table gives an empty result. Other columns are ignored, whatever they are called.
 """
 
 from __future__ import annotations
@@ -26,12 +27,13 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Written, bound_arrow
 
 TRAIN_ROWS, CANDIDATES, TERMS = 40_000, 40_000, 8_000
+THRESHOLD = 0.7
 #: Beginnings of words that can be terms have 4 to 7 letters; whole words up to LONGEST.
 STEMS, LONGEST = (4, 5, 6, 7, 8), 24
 SUPPORT, LEAST_WEIGHT, Z = 6, 1.3, 1.96
@@ -236,7 +238,9 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     bound_arrow(spark)
     told = labels.where("doc_id is not null and toxic is not null").groupBy(F.col("doc_id").cast("bigint").alias("doc_id")).agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     told = told.where(~held_out(F.col("doc_id"))).orderBy(F.xxhash64("doc_id"), "doc_id").limit(train_rows)
-    train = Written(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(told), "doc_id").select("text", "toxic"), "toxic-train")
+    # One text of each labelled id, that with the least hash, so what is fitted is bounded by rows too.
+    named = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(told), "doc_id")
+    train = Written(named.groupBy("doc_id").agg(F.min_by("text", F.xxhash64("text")).alias("text"), F.max("toxic").alias("toxic")).select("text", "toxic"), "toxic-train")
     n = {r.toxic: r["count"] for r in train.df.groupBy("toxic").count().collect()}
     n_toxic, n_clean = n.get(1, 0), n.get(0, 0)
     if not n_toxic or not n_clean:
@@ -264,9 +268,8 @@ def learn(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS) -> M
     return model
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
-    """All columns of the documents with toxic_score and toxic_predicted."""
-    spark = docs.sparkSession
+def scorer(spark: SparkSession, model: Model):
+    """A function of a text column that gives its score; no other column of a table is touched."""
     bound_arrow(spark)
     sent = spark.sparkContext.broadcast(model)
 
@@ -277,12 +280,16 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7) -> DataFrame:
             words = [folder.text(t or "") for t in texts]
             yield pd.Series([curve(held.curve, features(hits(w, automaton, held.exceptions), w)) for w in words], dtype=float)
 
-    scored = F.pandas_udf(scored, "double")
-    return docs.withColumn("toxic_score", scored(F.col("text"))).withColumn("toxic_predicted", (F.col("toxic_score") >= threshold).cast("int"))
+    return F.pandas_udf(scored, "double")
 
 
-def classify(docs: DataFrame, labels: DataFrame, threshold: float = 0.7) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score and predicted of each row."""
     model = learn(docs, labels)
-    rows = score(docs.select("doc_id", "text"), model, threshold)
-    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), F.col("toxic_predicted").alias("predicted"))
+    rows = docs.select("doc_id", scorer(docs.sparkSession, model)(F.col("text")).alias("score"))
+    return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def without(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """The rows whose score is below the threshold, with all columns."""
+    return docs.where(scorer(docs.sparkSession, learn(docs, labels))(F.col("text")) < threshold)
