@@ -125,7 +125,7 @@ def _upper(key: np.ndarray) -> bytes:
     return ((key >> np.uint64(32)) & np.uint64((1 << KEY_BITS - 32) - 1)).astype("<u1").tobytes()
 
 
-_MAPPED = "bucket int, a binary, b binary, c binary"
+_MAPPED = "bucket int, a binary, b binary, c binary, d binary"
 
 
 def _map(k: int, percent: int, buckets: int):
@@ -144,20 +144,20 @@ def _map(k: int, percent: int, buckets: int):
             some = np.flatnonzero(np.diff(cut))
             part = [order[cut[i] : cut[i + 1]] for i in some]
             return pa.record_batch(
-                [pa.array(some, pa.int32()), pa.array([key[p].astype("<u4").tobytes() for p in part], pa.binary()), pa.array([_squeeze(node[p]) for p in part], pa.binary()), pa.array([_upper(key[p]) for p in part], pa.binary())],
-                ["bucket", "a", "b", "c"],
+                [pa.array(some, pa.int32()), pa.array([key[p].astype("<u4").tobytes() for p in part], pa.binary()), pa.array([_squeeze(node[p]) for p in part], pa.binary()), pa.array([_upper(key[p]) for p in part], pa.binary()), pa.nulls(len(part), pa.binary())],
+                ["bucket", "a", "b", "c", "d"],
             )
 
         held = 0
         for batch in batches:
             raw_all, at_all = utf8(batch.column("text"))
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False).astype("<i8")
+            ids, tags = (batch.column(c).to_numpy(zero_copy_only=False).astype("<i8") for c in ("doc_id", "tag"))
             for i, j in blocks(at_all):
                 at = at_all[i : j + 1]
                 h, first = sets(raw_all[at[0] : at[-1]], at - at[0], k)
                 node = signatures(h, first)
                 yield pa.record_batch(
-                    [pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[i:j], np.diff(first).astype("<i8"), node))], ["bucket", "a", "b", "c"]
+                    [pa.array([-1], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (ids[i:j], np.diff(first).astype("<i8"), node, tags[i:j]))], ["bucket", "a", "b", "c", "d"]
                 )
                 fresh = [r for r, v in enumerate(node.tolist()) if v and v not in seen and not seen.update({v: None})]
                 if len(seen) > HOLD:
@@ -165,7 +165,7 @@ def _map(k: int, percent: int, buckets: int):
                 if fresh:
                     new = np.array(fresh)
                     point = zstandard.ZstdCompressor(level=1).compress(counts(h, first)[new].astype("<i4").tobytes())
-                    yield pa.record_batch([pa.array([-2], pa.int32()), *(pa.array([x], pa.binary()) for x in (node[new].tobytes(), np.diff(first)[new].astype("<i8").tobytes(), point))], ["bucket", "a", "b", "c"])
+                    yield pa.record_batch([pa.array([-2], pa.int32()), *(pa.array([x], pa.binary()) for x in (node[new].tobytes(), np.diff(first)[new].astype("<i8").tobytes(), point)), pa.nulls(1, pa.binary())], ["bucket", "a", "b", "c", "d"])
                     key, owner = postings(h, first, new, percent)
                     keys.append(key)
                     nodes.append(node[owner])
@@ -182,7 +182,7 @@ def _map(k: int, percent: int, buckets: int):
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            yield pa.record_batch([pa.array(np.frombuffer(row[c], "<i8")) for c in "abc"], ["doc_id", "n_shingles", "node"])
+            yield pa.record_batch([pa.array(np.frombuffer(row[c], "<i8")) for c in "abcd"], ["doc_id", "n_shingles", "node", "tag"])
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -389,7 +389,7 @@ def _search(k: int, percent: int):
 
 
 def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """doc_id, n_shingles, component_id and node (equal sets have one) of each row."""
+    """doc_id, n_shingles, component_id, node (equal sets have one) and tag (the text's hash, xxhash64) of each row."""
     spark = docs.sparkSession
     bound_arrow(spark)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -397,8 +397,8 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     volume = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(partitions(spark), -(-volume // BUCKET_BYTES))
 
-    mapped = Written(known.mapInArrow(_map(k, percent, buckets), _MAPPED), "jaccard-map")
-    rows = Written(mapped.df.where("bucket = -1").select("a", "b", "c").mapInArrow(_rows, "doc_id long, n_shingles long, node long"), "jaccard-rows").df
+    mapped = Written(known.select("*", F.xxhash64("text").alias("tag")).mapInArrow(_map(k, percent, buckets), _MAPPED), "jaccard-map")
+    rows = Written(mapped.df.where("bucket = -1").select("a", "b", "c", "d").mapInArrow(_rows, "doc_id long, n_shingles long, node long, tag long"), "jaccard-rows").df
     points = mapped.df.where("bucket = -2").select("a", "b", "c").mapInArrow(_points, "node long, n long, point binary").dropDuplicates(["node"])
     blocks_ = mapped.df.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(_meet, "block long, node long, size long")
     met = _searches(blocks_, "block", "size").select("search", "node").join(points, "node")
@@ -417,9 +417,9 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
 
     named = links.df.join(reps, "node").groupBy("label").agg(F.min("rep").alias("component_id"))
     of_node = reps.join(links.df.join(named, "label").select("node", "component_id"), "node", "left").select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    told = rows.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node")
+    told = rows.join(of_node, "node", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "node", "tag")
     if texts.where("doc_id is null").limit(1).count():
-        bare = texts.where("doc_id is null").mapInArrow(_sizes(k), "doc_id long, n_shingles long, component_id long, node long")
+        bare = texts.where("doc_id is null").mapInArrow(_sizes(k), "doc_id long, n_shingles long, component_id long, node long, tag long")
         told = told.unionByName(bare)
     return told
 
@@ -432,6 +432,6 @@ def _sizes(k: int):
                 at = at_all[i : j + 1]
                 _, first = sets(raw_all[at[0] : at[-1]], at - at[0], k)
                 none = pa.nulls(j - i, pa.int64())
-                yield pa.record_batch([none, pa.array(np.diff(first).astype(np.int64)), none, none], ["doc_id", "n_shingles", "component_id", "node"])
+                yield pa.record_batch([none, pa.array(np.diff(first).astype(np.int64)), none, none, none], ["doc_id", "n_shingles", "component_id", "node", "tag"])
 
     return run
