@@ -7,13 +7,16 @@ blocks' doc_id ranges, which the file's statistics hold, without reading others.
 so a lost executor or a repeated task leaves neither gaps nor doubles. Places in the stream count from the start of a
 block's part; `starts` has what all parts before hold, one row a part.
 
-Defined results. Null and empty texts give the end id alone. Rows with the same doc_id stand next to each other, in the
-order of their ids. An empty table gives no blocks. A null doc_id comes first and is
-stored as -1. Other columns are ignored.
+A doc_id, or none, that a large part of all rows has is dealt to as many parts as it fills, which follow each other.
+
+Defined results. Null and empty texts give the end id alone; very long texts are encoded whole, and a block holds whole documents.
+Rows with the same doc_id stand next to each other, in no promised order; so do rows without one, which come first (a block
+says how many of its documents have none, and they are read back as null). An empty table gives no blocks. Other columns are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import struct
 import zlib
@@ -21,7 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import bound_arrow, partitions
@@ -30,6 +33,10 @@ from .common import bound_arrow, partitions
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker remembers, and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 1_400_000, 48
+#: Fixed value: the pattern by which the tokenizer cuts whose pieces can be encoded one by one.
+WORD_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Cuts between parts that are looked at in one step.
+STRIDE = 64
 
 
 def width(vocabulary: int) -> int:
@@ -57,12 +64,19 @@ def unpack(data: bytes, n: int, bits: int, first: int = 0) -> np.ndarray:
     return (flat.astype(np.uint32) << np.arange(bits, dtype=np.uint32)).sum(1, dtype=np.uint32)
 
 
+def _cuts_words(model: dict) -> bool:
+    """Whether a tokenizer's file says that it joins white space, lower-cases and cuts by WORD_CUTS, and does nothing else before."""
+    normal = [p["type"] for p in (model.get("normalizer") or {}).get("normalizers", [])]
+    cuts = (model.get("pre_tokenizer") or {}).get("pretokenizers", [])
+    return normal == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in cuts] == ["Split", "ByteLevel"] and cuts[0]["pattern"] == {"Regex": WORD_CUTS} and cuts[0]["invert"]
+
+
 class WordEncoder:
     """Ids of texts as little-endian unsigned integers of `unit` bytes.
 
-    The tokenizer lower-cases and cuts at white space and between letters and marks, so a text's ids are those of its pieces
+    Where the tokenizer lower-cases and cuts at white space and between letters and marks, a text's ids are those of its pieces
     between blanks and line ends in a row, and a word's are those of its small letters, then of the marks behind. Pieces
-    repeat, and their ids are kept.
+    repeat, and their ids are kept. Texts of any other tokenizer are encoded whole.
     """
 
     def __init__(self, model: str, unit: int = 4):
@@ -71,6 +85,7 @@ class WordEncoder:
 
         self.tokenizer, self.unit, self.code = Tokenizer.from_str(model), unit, {1: "B", 2: "H", 4: "I"}[unit]
         self.known: dict[str, bytes] = {"": b""}
+        self.by_words = _cuts_words(json.loads(model))
 
     def _encode(self, pieces: list[str]) -> None:
         for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
@@ -92,6 +107,9 @@ class WordEncoder:
             known[piece] = known[small] + known[tail]
 
     def __call__(self, text: str) -> bytes:
+        if not self.by_words:
+            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+            return struct.pack(f"<{len(ids)}{self.code}", *ids)
         pieces = text.replace("\n", " ").split(" ")
         try:
             return b"".join(map(self.known.__getitem__, pieces))
@@ -124,12 +142,12 @@ def _unit(bits: int) -> int:
     return bits // 8 if bits in (8, 16, 32) else 4
 
 
-_TOKENS = "doc_id long, n_tokens long, ids binary"
-_BLOCKS = "part int, block int, first_id long, n_ids long, bits int, first_doc long, last_doc long, doc_ids binary, doc_tokens binary, ids binary"
+_TOKENS = "doc_id long, part int, n_tokens long, ids binary"
+_BLOCKS = "part int, block int, first_id long, n_ids long, bits int, first_doc long, last_doc long, n_null long, doc_ids binary, doc_tokens binary, ids binary"
 
 
 def tokenize(docs: DataFrame, model: str, end_id: int, bits: int) -> DataFrame:
-    """doc_id, n_tokens and the ids of each row; the tokenizer's file, of fixed size, goes to each worker once."""
+    """doc_id, part, n_tokens and the ids of each row; the tokenizer's file, of fixed size, goes to each worker once."""
     bound_arrow(docs.sparkSession)
     sent, unit = docs.sparkSession.sparkContext.broadcast(model), _unit(bits)
     end = end_id.to_bytes(unit, "little")
@@ -138,9 +156,18 @@ def tokenize(docs: DataFrame, model: str, end_id: int, bits: int) -> DataFrame:
         encode = encoder(sent.value, unit)
         for batch in batches:
             ids = [encode(text or "") + end for text in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array([len(i) // unit for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n_tokens", "ids"])
+            yield pa.record_batch([batch.column("doc_id"), batch.column("part"), pa.array([len(i) // unit for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "part", "n_tokens", "ids"])
+
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "part", "text").mapInArrow(run, _TOKENS)
+
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, _TOKENS)
+def _rank(cuts: list[int], test) -> Column:
+    """How many of the sorted cuts pass a test that the first ones pass: by every STRIDE-th, then inside one stride."""
+    if not cuts:
+        return F.lit(0)
+    every, coarse = F.lit(cuts), F.lit(cuts[STRIDE - 1 :: STRIDE] or [cuts[-1]])
+    whole = F.size(F.filter(coarse, test)) if len(cuts) >= STRIDE else F.lit(0)
+    return F.get(F.transform(F.array(whole * STRIDE), lambda at: at + F.size(F.filter(F.slice(every, at + 1, F.lit(STRIDE)), test))), F.lit(0))
 
 
 def _blocks(bits: int, block_ids: int):
@@ -154,10 +181,10 @@ def _blocks(bits: int, block_ids: int):
         def block() -> pa.RecordBatch:
             flat = np.frombuffer(b"".join(ids), kind)
             row = {
-                "part": part, "block": number, "first_id": first, "n_ids": len(flat), "bits": bits, "first_doc": docs[0], "last_doc": docs[-1],
-                "doc_ids": pa.array(docs, pa.int64()).fill_null(-1).to_numpy().astype("<i8").tobytes(), "doc_tokens": np.asarray(counts, "<i8").tobytes(), "ids": pack(flat, bits),
+                "part": part, "block": number, "first_id": first, "n_ids": len(flat), "bits": bits, "first_doc": next((d for d in docs if d is not None), None), "last_doc": docs[-1],
+                "n_null": docs.count(None), "doc_ids": pa.array(docs, pa.int64()).fill_null(0).to_numpy().astype("<i8").tobytes(), "doc_tokens": np.asarray(counts, "<i8").tobytes(), "ids": pack(flat, bits),
             }
-            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
             return pa.record_batch([pa.array([v], k) for v, k in zip(row.values(), kinds, strict=True)], list(row))
 
         held = 0
@@ -181,15 +208,16 @@ def write(docs: DataFrame, path: str, model: str, vocabulary: int, end_id: int,
     """Write the texts' ids below `path`, in ascending doc_id order: part after part, block after block."""
     spark, bits = docs.sparkSession, width(vocabulary)
     parts = parts or partitions(spark)
-    cuts = docs.agg(F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts))).first()[0] or []
-    cuts = sorted(set(cuts))[: parts - 1]
-    part = F.lit(0)
-    # The part of a key is the number of cuts below it: a binary search written as an expression over one literal array.
-    if cuts:
-        part = F.size(F.filter(F.lit(cuts), lambda c: c < F.col("doc_id")))
-        part = F.when(F.col("doc_id").isNull(), 0).otherwise(part)
-    tokens = tokenize(docs, model, end_id, bits).withColumn("part", part.cast("int"))
-    dealt = tokens.repartitionById(len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id", "n_tokens", "ids")
+    said = docs.agg(F.count("*").alias("n"), F.count("doc_id").alias("named"), F.percentile_approx("doc_id", [i / parts for i in range(1, parts)] or [0.5], max(10_000, 20 * parts)).alias("cuts")).first()
+    cuts = sorted(said.cuts or [])[: parts - 1]
+    bare = -(-(said.n - said.named) * parts // max(said.n, 1))  # parts for rows without a doc_id
+    doc, salt = F.col("doc_id").cast("bigint"), F.monotonically_increasing_id()
+    below, upto = _rank(cuts, lambda c: c < doc), _rank(cuts, lambda c: c <= doc)
+    # A doc_id that several cuts fall on fills the parts between them; its rows are dealt to these.
+    named = bare + below + F.when(upto - below > 1, F.pmod(F.xxhash64(salt), upto - below)).otherwise(0)
+    part = F.when(doc.isNull(), F.pmod(F.xxhash64(salt), F.lit(max(bare, 1)))).otherwise(named)
+    tokens = tokenize(docs.select("doc_id", "text", part.cast("int").alias("part")), model, end_id, bits)
+    dealt = tokens.repartitionById(bare + len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id", "n_tokens", "ids")
     dealt.mapInArrow(_blocks(bits, block_ids), _BLOCKS).write.option("compression", "zstd").parquet(path)
 
 
@@ -207,7 +235,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ends = np.cumsum(counts)
             crcs = [zlib.crc32(data[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             yield pa.record_batch(
-                [pa.array(docs), pa.array(np.full(len(docs), row["part"], np.int32)), pa.array(row["first_id"] + ends - counts), pa.array(counts), pa.array(crcs, pa.int64())],
+                [pa.array(docs, mask=np.arange(len(docs)) < row["n_null"]), pa.array(np.full(len(docs), row["part"], np.int32)), pa.array(row["first_id"] + ends - counts), pa.array(counts), pa.array(crcs, pa.int64())],
                 ["doc_id", "part", "first", "n_tokens", "ids_crc32"],
             )
 
@@ -215,7 +243,7 @@ def _digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_digest(spark: SparkSession, path: str) -> DataFrame:
     """doc_id, start, n_tokens and ids_crc32 of each document, from the files."""
     bound_arrow(spark)
-    rows = spark.read.parquet(path).select("part", "first_id", "n_ids", "bits", "doc_ids", "doc_tokens", "ids")
+    rows = spark.read.parquet(path).select("part", "first_id", "n_ids", "bits", "n_null", "doc_ids", "doc_tokens", "ids")
     docs = rows.mapInArrow(_digest, "doc_id long, part int, first long, n_tokens long, ids_crc32 long")
     return docs.join(starts(spark, path), "part").select("doc_id", (F.col("first") + F.col("before")).alias("start"), "n_tokens", "ids_crc32")
 
@@ -227,5 +255,5 @@ def fetch(spark: SparkSession, path: str, doc_id: int) -> list[list[int]]:
     for row in rows:
         docs, counts = np.frombuffer(row.doc_ids, "<i8"), np.frombuffer(row.doc_tokens, "<i8")
         ends = np.cumsum(counts)
-        out += [unpack(bytes(row.ids), int(counts[i]), row.bits, int(ends[i] - counts[i])).tolist() for i in np.flatnonzero(docs == doc_id)]
+        out += [unpack(bytes(row.ids), int(counts[i]), row.bits, int(ends[i] - counts[i])).tolist() for i in np.flatnonzero(docs == doc_id) if i >= row.n_null]
     return out

@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 import pytest
 
 SF = "/root/testdata/sf0.001"
-SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, a string, chunk long, node long, size long, part int"
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, a string, chunk long, node long, size long, part int, _turn int, _share string, _doc long, toxic_score double, toxic_predicted int, tag long, copies map<string,int>, `row` string, shard int, slot long, block int"
 
 LONG = "the quick brown fox jumps over the lazy dog and runs " * 40
 ODD = [
@@ -22,8 +22,9 @@ ODD = [
 
 
 def odd(spark):
-    rows = [(i, t, "en" if i % 2 else None, None if i % 3 == 0 else f"s{i % 3}", None, "a", 1, 2, 3, 4) for i, t in ODD]
-    rows.append((None, "no id here", None, None, None, None, None, None, None, None))
+    more = ("a", 1, 2, 3, 4, 5, "b", 6, 0.9, 1, 7, {"k": 1}, "c", 8, 9, 10)
+    rows = [(i, t, "en" if i % 2 else None, None if i % 3 == 0 else f"s{i % 3}", None, *more) for i, t in ODD]
+    rows.append((None, "no id here", *[None] * (len(more) + 3)))
     return spark.createDataFrame(rows, SCHEMA)
 
 
@@ -91,7 +92,7 @@ def test_pack(docs, spark, model, tmp_path):
     got = [tuple(r) for r in op2_pack.read_digest(spark, path).orderBy("start").collect()]
     for d, t in sorted(pairs(docs), key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = np.array([*tok.encode(t or "", add_special_tokens=False).ids, 2], "<u4")
-        expected[start] = (-1 if d is None else d, start, len(ids), zlib.crc32(ids.tobytes()))
+        expected[start] = (d, start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
     assert got == list(expected.values())
     if got:
@@ -100,6 +101,39 @@ def test_pack(docs, spark, model, tmp_path):
         assert op2_pack.fetch(spark, path, some) == ids
 
 
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_pack_encoder(name):
+    """Any tokenizer's ids are the library's, also where words can't be encoded one by one."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from tessera.llm.op2_pack import WordEncoder
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as f:
+        model = f.read()
+    encode, known = WordEncoder(model), Tokenizer.from_str(model)
+    for text in [t or "" for _, t in ODD[:-4]] + ["It's  a\u00a0b\tC\r\nd", "İstanbul ΑΣ ß ﬁ", "x<|endoftext|>y 12a3,.", "e\u0301 \u0301 ..a"]:
+        assert np.frombuffer(encode(text), "<u4").tolist() == known.encode(text, add_special_tokens=False).ids, text
+
+
+def test_pack_hot(spark, model, tmp_path):
+    """A doc_id, and none, on a third of all rows each fill several parts; the order stays, and null ids come back as null."""
+    from tessera.llm import op2_pack
+
+    docs = spark.range(900).selectExpr("case when id % 3 = 0 then null when id % 3 = 1 then 76 else id end as doc_id", "concat('word ', id) as text")
+    path = str(tmp_path / "t")
+    op2_pack.write(docs, path, model, 49_408, 2, parts=9, block_ids=200)
+    parts = {}
+    for r in spark.read.parquet(path).collect():
+        parts[r.part] = parts.get(r.part, 0) + r.n_ids
+    assert max(parts.values()) < 0.25 * sum(parts.values())
+    got = sorted(op2_pack.read_digest(spark, path).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert ids == [None] * 300 + sorted([76] * 300 + [i for i in range(900) if i % 3 == 2])
+    assert [r.start for r in got] == np.concatenate([[0], np.cumsum([r.n_tokens for r in got])[:-1]]).tolist()
+    assert len(op2_pack.fetch(spark, path, 76)) == 300 and not op2_pack.fetch(spark, path, 0)
+
+
 @pytest.mark.parametrize("bits", [1, 3, 8, 11, 16, 17, 32])
 def test_pack_round_trip(bits):
     from tessera.llm.op2_pack import pack, unpack, width
