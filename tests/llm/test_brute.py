@@ -499,22 +499,89 @@ def test_toxic_fold():
     assert hits(["white", "trash", "idiots"], automaton, model.exceptions) == [(2, 2.0)]
 
 
+def brute_decon(texts, items, size=8):
+    """The rule by plain loops: every window of every item against every window of every text, by its words."""
+    from tessera.llm import op10_decon
+
+    def tokens(text):
+        out, start = [], True
+        for line in (text or "").split("\n"):
+            start = True
+            for w in line.split():
+                bare, begins, start = op10_decon.clean(w), start, bool(re.search(r"[.!?:][^\w]*$", w))
+                low = bare.lower()
+                kind = "number" if op10_decon._NUMBER.fullmatch(low) or low in op10_decon._WORDS else "unit" if low in op10_decon.UNITS else None
+                if not kind and not any(map(str.isalnum, bare)):
+                    continue
+                if not kind and not begins and len(bare) > 1 and bare[0].isupper() and bare[1:].islower():
+                    kind = "name"
+                out.append((f"<{kind}>" if kind else low, kind is not None, low))
+        return out
+
+    def windows(t):
+        every = [t[p : p + size] for p in range(len(t) - size + 1)]
+        return {p: tuple(x for x, _, _ in w) for p, w in enumerate(every) if sum(not slot for _, slot, _ in w) >= 4}
+
+    def judge(text, item):
+        t, i = tokens(text), tokens(item)
+        own = windows(i)
+        if len(i) < 3:
+            return None
+        if len(own) < 3:
+            words = [x for _, _, x in i]
+            return (1, "verbatim") if any([x for _, _, x in t[p : p + len(i)]] == words for p in range(len(t))) else None
+        lines, best = {}, None
+        for p, w in windows(t).items():
+            for q, v in own.items():
+                if w == v:
+                    lines.setdefault(p - q, []).append(p)
+        for shift, places in lines.items():
+            pairs_ = {(i[p - shift][2], t[p][2]) for a in places for p in range(a, a + size) if t[p][1]}
+            if len(places) >= 3 and len({x for x, _ in pairs_}) == len(pairs_) == len({y for _, y in pairs_}):
+                best = max(best or (0, ""), (len(places), "verbatim" if all(x == y for x, y in pairs_) else "reparameterised"))
+        return best
+
+    out = []
+    for d, text in texts:
+        got = sorted((n, *hit) for n, item in items if (hit := judge(text, item)))
+        if got:
+            out.append((d, [n for n, _, _ in got], sum(n for _, n, _ in got), max(h for _, _, h in got)))
+    return out
+
+
+NUMBERS = "3 + 4 = 7 and 12 + 5 = 17 and 6 + 6 = 12"
+
+
+def test_decon_rule(spark):
+    """Repeated rows, rows without an id, short items and items of numbers, at any block size, against plain loops."""
+    from tessera.llm import op10_decon
+
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    items += [(1000, NUMBERS), (1001, "Why is grass green"), (1002, "Tiny item"), (1003, ""), (1004, None), (1005, items[1][1]), (1006, "Alice met Bob in Paris on 3 May with Carol and Dave")]
+    a, b = items[1][1], items[2][1]
+    texts = [(1, "x " + a + " y"), (1, "x " + a + " y"), (None, a), (None, a + " z " + b), (None, b), (2, f"we know that {NUMBERS} holds"), (3, "Heading\nWhy is grass green"), (4, "a Tiny item"), (5, None), (6, "")]
+    texts += [(7, a[: len(a) // 2]), (8, a.upper()), (9, "then Alice met Bob in Paris on 3 May with Carol and Dave"), (10, "then Erin met Bob in Rome on 4 May with Carol and Fay")]
+    texts += pairs(spark.read.parquet(f"{SF}/documents.parquet").where("length(text) < 3000"))
+    want = sorted(map(str, brute_decon(texts, items)))
+    docs, bench = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(want) > 10
+    for block in (10, 200, 1 << 21):
+        got = sorted(str((r.doc_id, list(r.item_ids), r.n_windows, r.kind)) for r in op10_decon.contaminated(docs, bench, block_tokens=block).collect())
+        assert got == want, block
+        kept = op10_decon.without(docs, bench, block_tokens=block) if block > 10 else None
+        assert kept is None or kept.count() == len(texts) - len(want)
+
+
 def test_decon(docs, spark):
     from tessera.llm import op10_decon
 
     bench = spark.read.parquet(f"{SF}/benchmark.parquet")
     got = rows(op10_decon.contaminated(docs, bench))
-    blocks = rows(op10_decon.contaminated(docs, bench, block_tokens=200))
-    assert [(r[0], list(r[1])) for r in got] == [(r[0], list(r[1])) for r in blocks]
-    items = {r.item_id: r.text for r in bench.collect()}
-    words = lambda t: [w for w in (op10_decon.clean(x).lower() for x in (t or "").split()) if any(map(str.isalnum, w))]
-    grams = {}
-    for i, t in items.items():
-        w = words(t)
-        for p in range(len(w) - 11):
-            grams.setdefault(tuple(w[p : p + 12]), i)
-    sure = {d for d, t in pairs(docs) if any(tuple((w := words(t))[p : p + 12]) in grams for p in range(max(0, len(words(t)) - 11)))}
-    assert sure <= {r[0] for r in got}
+    items = [(r.item_id, r.text) for r in bench.collect()]
+    short = [(d, t) for d, t in pairs(docs) if len(t or "") < 3000]
+    want = sorted(map(str, brute_decon(short, items)))
+    ids = {d for d, _ in short}
+    assert sorted(str((r[0], list(r[1]), r[2], r[3])) for r in got if r[0] in ids) == want
     kept = {r.doc_id for r in op10_decon.without(docs, bench).collect()}
     assert kept == {d for d, _ in pairs(docs)} - {r[0] for r in got}
 
