@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import atexit
+import sys
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -11,13 +13,16 @@ _made: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder that is set where the session has none."""
+    """spark.checkpoint.dir, or the session's checkpoint folder. Only in local mode, where all see it, is one made up."""
     said = spark.conf.get("spark.checkpoint.dir", None)
     if not said:
         got = spark.sparkContext._jsc.sc().getCheckpointDir()
-        said = got.get() if got.isDefined() else "/tmp/tessera-checkpoints"
         if not got.isDefined():
-            spark.sparkContext.setCheckpointDir(said)
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="tessera-checkpoints-"))
+            got = spark.sparkContext._jsc.sc().getCheckpointDir()
+        said = got.get()
     return said.rstrip("/")
 
 
@@ -36,10 +41,12 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def _clear() -> None:
     for spark, path in _made:
+        if spark.sparkContext._jsc is None:  # the session ended before the interpreter
+            continue
         try:
             delete(spark, path)
-        except Exception:  # the session may have ended before the interpreter
-            return
+        except Exception as error:
+            print(f"not removed: {path}: {error}", file=sys.stderr)
 
 
 atexit.register(_clear)
