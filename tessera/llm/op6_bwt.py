@@ -12,14 +12,15 @@ column, and the positional form of the transform, which orders each column's suf
 suffixes whose common prefix reaches `size` bytes form an interval, whose least doc_id decides each of its strings.
 
 Between the steps the state lies in tables written in sequence to the shared folder: the texts by chunk, each chunk's
-contexts, the replies. What returns to a chunk is bits and ranges. An anchor that more than MOST_OF_ANCHOR places share is
+contexts, the replies. What returns to a chunk is bits and ranges. A chunk counts its places of an anchor before it tells them,
+so an anchor is a few bytes a chunk to its bucket, whatever its places. One that more than MOST_OF_ANCHOR places share is
 dealt by its strings rather than as a whole, so a passage that a third of all documents hold fills no task: the copies
 become one string in the mapper, and different neighbourhoods of it go to different buckets.
 
 Contexts are compared by 64-bit hashes and, inside a transform, by their bytes.
 
 Defined results. Null and empty texts have no bytes and no spans. Texts shorter than `size` lose nothing. Rows that share a
-doc_id take nothing from each other. A null doc_id counts as larger than all others. An empty table gives an empty result.
+doc_id take nothing from each other. Ties don't occur: a byte goes or stays by its document's id alone. A null doc_id counts as larger than all others. An empty table gives an empty result.
 Other columns are ignored. Long texts are worked through in pieces; a chunk holds whole texts.
 """
 
@@ -184,7 +185,9 @@ def _batch(schema: list[tuple[str, pa.DataType]], *columns: list) -> pa.RecordBa
     return pa.record_batch([pa.array(c, k) for c, (_, k) in zip(columns, schema, strict=True)], [n for n, _ in schema])
 
 
-_SEEN = [("bucket", pa.int32()), ("chunk", pa.int64()), ("hash", pa.binary()), ("doc", pa.binary())]
+_SEEN = [("bucket", pa.int32()), ("chunk", pa.int64()), ("hash", pa.binary()), ("held", pa.binary())]
+#: The bit of `held` that says that several documents of the chunk have the anchor; the others count its places there.
+SEVERAL = np.uint32(1 << 31)
 _FLAGS = [("chunk", pa.int64()), ("bucket", pa.int32()), ("shared", pa.binary()), ("hot", pa.binary())]
 _CONTEXT = [("kind", pa.int32()), ("bucket", pa.int32()), ("chunk", pa.int64()), ("a", pa.binary()), ("b", pa.binary()), ("c", pa.binary()), ("d", pa.binary())]
 _REPLY = [("chunk", pa.int64()), ("bucket", pa.int32()), ("index", pa.binary()), ("first", pa.binary()), ("last", pa.binary()), ("least", pa.binary())]
@@ -199,46 +202,56 @@ def _by_bucket(key: np.ndarray, buckets: int):
 
 
 def _announce(size: int, buckets: int):
-    """Each chunk tells the buckets which anchors it has, and in which documents."""
+    """Each chunk tells the buckets its distinct anchors, with the number of places and whether several of its documents have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 raw, at, _ = _text(row)
                 _, first, _, gram, _ = _anchors(raw, at, size, False)
-                key, doc = mix(gram), (np.searchsorted(at, first, "right") - 1).astype("<u2")
+                key, index, number = np.unique(mix(gram), return_inverse=True, return_counts=True)
+                doc = np.searchsorted(at, first, "right") - 1
+                low, high = np.full(len(key), len(at)), np.full(len(key), -1)
+                np.minimum.at(low, index, doc)
+                np.maximum.at(high, index, doc)
+                held = number.astype("<u4") | np.where(low < high, SEVERAL, np.uint32(0))
                 cuts = _by_bucket(key, buckets)
-                yield _batch(_SEEN, [b for b, _ in cuts], [row["chunk"]] * len(cuts), [key[p].astype("<u4").tobytes() for _, p in cuts], [_pack(doc[p]) for _, p in cuts])
+                yield _batch(_SEEN, [b for b, _ in cuts], [row["chunk"]] * len(cuts), [key[p].astype("<u4").tobytes() for _, p in cuts], [_pack(held[p]) for _, p in cuts])
 
     return run
 
 
 def _compare(most: int):
-    """A bucket tells each chunk which of its anchors another document has too, and which very many places have."""
+    """A bucket tells each chunk which of its anchors another document has too, and which very many places have.
+
+    An anchor is one entry a chunk, however many places have it.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, chunks, keys, docs = 0, [], [], []
+        bucket, chunks, keys, counts = 0, [], [], []
         for batch in batches:
             for row in batch.to_pylist():
                 bucket = row["bucket"]
                 keys.append(np.frombuffer(row["hash"], "<u4"))
-                docs.append(_open(row["doc"], "<u2").astype(np.uint64) | np.uint64(len(chunks) << 16))
+                counts.append(_open(row["held"], "<u4"))
                 chunks.append(row["chunk"])
         if not chunks:
             return
         ends = np.cumsum([len(k) for k in keys])
+        if ends[-1] >> 32:
+            raise ValueError("a bucket has more than 2**32 anchors: BUCKET_BYTES is too large")
         entry = (np.concatenate(keys).astype(np.uint64) << np.uint64(32)) | np.arange(ends[-1], dtype=np.uint64)
-        doc = np.concatenate(docs)
-        keys, docs = [], []
+        held = np.concatenate(counts)
+        keys, counts = [], []
         entry.sort()
         place = (entry & _LOW).astype(np.int64)
         begin = np.flatnonzero(np.concatenate([[True], (entry[1:] >> np.uint64(32)) != (entry[:-1] >> np.uint64(32))]))
         number = np.diff(np.append(begin, len(entry)))
-        sorted_doc = doc[place]
-        shared = np.minimum.reduceat(sorted_doc, begin) != np.maximum.reduceat(sorted_doc, begin)
+        shared = (number > 1) | (np.maximum.reduceat(held[place], begin) >= SEVERAL)
+        places = np.add.reduceat((held[place] & ~SEVERAL).astype(np.int64), begin)
         flag, hot = np.zeros(len(entry), bool), np.zeros(len(entry), bool)
         flag[place] = np.repeat(shared, number)
-        hot[place] = np.repeat(shared & (number > most), number)
+        hot[place] = np.repeat(shared & (places > most), number)
         for chunk, end, begin_ in zip(chunks, ends, np.concatenate([[0], ends[:-1]]), strict=True):
             if flag[begin_:end].any():
                 yield _batch(_FLAGS, [chunk], [bucket], [np.packbits(flag[begin_:end]).tobytes()], [np.packbits(hot[begin_:end]).tobytes() if hot[begin_:end].any() else b""])
@@ -254,13 +267,15 @@ def _gather(size: int, buckets: int):
             for row in batch.to_pylist():
                 raw, at, ids = _text(row)
                 anchor, first, last, gram, held = _anchors(raw, at, size, True)
-                flag, hot = np.zeros(len(anchor), bool), np.zeros(len(anchor), bool)
+                distinct, index = np.unique(mix(gram), return_inverse=True)
+                flag, hot = np.zeros(len(distinct), bool), np.zeros(len(distinct), bool)
                 told = {f["bucket"]: f for f in row["flags"]}
-                for b, p in _by_bucket(mix(gram), buckets):
+                for b, p in _by_bucket(distinct, buckets):
                     if b in told:
                         flag[p] = np.unpackbits(np.frombuffer(told[b]["shared"], np.uint8), count=len(p)).astype(bool)
                         if told[b]["hot"]:
                             hot[p] = np.unpackbits(np.frombuffer(told[b]["hot"], np.uint8), count=len(p)).astype(bool)
+                flag, hot = flag[index], hot[index]
                 plain = np.flatnonzero(flag & ~hot)
                 first_, last_, key = first[plain], last[plain], mix(gram[plain])
                 offset, content = (anchor[plain] - first_).astype(np.uint8), held[plain]
