@@ -1,19 +1,21 @@
-"""Line dedup: a suffix array over line-ID sequences by distributed prefix doubling.
+"""Line dedup by distributed prefix doubling over line-ID sequences.
 
-A line's id is its rank among all distinct lines. A round joins the ranks of two neighbouring runs of k lines to the rank of
-the run of 2 k lines that they make: distinct pairs are counted, sorted over the cluster and numbered in that order, which
-sorts all suffixes by their first 2 k lines. Pairs that occur once are settled and leave, so rounds shrink to what repeats.
-When `least` lines are reached, places with equal ranks are an interval of suffixes whose longest common prefix is `least`
-lines or more. In each interval the first place, by doc_id and line, keeps its lines; the lines of all others go. Overlapping
-runs join, which gives maximal runs. Runs are judged on the input and don't cross documents.
+A run of lines is repeated if it has `least` lines or more, or `words` words or more in fewer lines. A round joins the ranks of
+two neighbouring runs of k lines to the rank of the run of 2 k lines that they make: distinct pairs are counted, sorted over
+the cluster and numbered in that order, which sorts all suffixes by their first 2 k lines. Pairs that occur once are settled and
+leave, so rounds shrink to what repeats. Doubling stops at `least` lines: places with equal ranks are then an interval of suffixes
+whose longest common prefix is `least` lines or more, and longer repeated runs are the unions of such places that overlap, so the
+rounds that would tell how much longer need not be made. In each interval the first place, by doc_id and line, keeps its lines;
+the lines of all others go, and overlapping runs join. What decides is thus the equality of ranks, not their order; the order is
+kept, as it is that of a suffix array of depth `least`. Runs are judged on the input and don't cross documents.
 
 Every count combines before it is shuffled, and only distinct pairs are sorted, so a line that a third of all documents hold
 is one row there; the join that hands ranks back is split by Spark where one key is large. Documents' texts are read
 twice and shuffled once, with what goes.
 
-Defined results. Lines end at line feeds and are compared whole; lines are told by 128 bits of hash. Null and empty texts are
-one empty line. Rows with the same doc_id and text are one document and get the same result each; rows that share a doc_id
-but not the text count as different documents, in the order of a hash. Null doc_ids are the smallest. An empty table gives
+Defined results. Lines end at line feeds and are compared whole, however long; lines are told by 128 bits of hash. Null and empty
+texts are one empty line. Rows with the same doc_id and text are one document and get the same result each; rows that share a
+doc_id but not the text count as different documents, in the order of a hash. Null doc_ids are the smallest. An empty table gives
 an empty result. Other columns are ignored.
 """
 
@@ -23,9 +25,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Written
+from .op4_mix import word_count
 
-#: Lines of the shortest run that counts.
-LEAST = 3
+#: Lines of the shortest run that counts, and words of the shortest that counts with fewer lines.
+LEAST, WORDS = 3, 50
 
 
 def _ranked(rows: DataFrame, name: str) -> Written:
@@ -35,39 +38,40 @@ def _ranked(rows: DataFrame, name: str) -> Written:
     return Written(dealt.select("a", "b", "first", F.monotonically_increasing_id().alias("rank")), name)
 
 
-def _ahead(lines: int) -> Column:
-    """The rank of the run that begins so many lines further on in the document, if it repeats."""
-    there = Window.partitionBy("doc_id", "h").orderBy("i").rangeBetween(lines, lines)
-    return F.max("rank").over(there)
+def _ahead(column: str, lines: int) -> Column:
+    """What the run that begins so many lines further on in the document has, if it repeats."""
+    return F.max(column).over(Window.partitionBy("doc_id", "h").orderBy("i").rangeBetween(lines, lines))
 
 
-def removed_lines(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def removed_lines(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
     """doc_id, h and `gone`, the sorted numbers of lines that go, for each document (doc_id, h, text) that loses any."""
     if least < 1:
         raise ValueError("a run has a line at least")
     lines = docs.select("doc_id", "h", F.posexplode(F.split("text", "\n", -1)).alias("i", "line"))
-    # A pair (a, b) names a run: of one line by two hashes, of more by the ranks of its two halves.
-    runs = Written(lines.select("doc_id", "h", "i", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b")), "lines-1")
-    ranks = _ranked(runs.df, "ranks-1")
-    length = 1
-    while length < least:
+    # A pair (a, b) names a run: of one line by two hashes, of more by the ranks of its two halves; w are its words.
+    runs = Written(lines.select("doc_id", "h", "i", F.xxhash64("line").alias("a"), F.xxhash64("line", F.lit(1)).alias("b"), word_count(F.col("line")).alias("w")), "lines-1")
+    length, gone = 1, None
+    while True:
+        ranks = _ranked(runs.df, f"ranks-{length}")
+        alive = runs.df.join(ranks.df, ["a", "b"])
+        later = alive.where(~F.struct("doc_id", "h", "i").eqNullSafe(F.col("first")))
+        later = later.where(F.col("w") >= words) if length < least else later
+        later = Written(later.select("doc_id", "h", F.explode(F.sequence(F.col("i"), F.col("i") + (length - 1))).alias("line")), f"gone-{length}").df
+        gone = later if gone is None else gone.unionByName(later)
+        if length == least:
+            break
         step = min(length, least - length)  # doubles, or reaches `least` with two runs that overlap
-        alive = runs.df.join(ranks.df.select("a", "b", "rank"), ["a", "b"]).select("doc_id", "h", "i", "rank")
-        longer = alive.select("doc_id", "h", "i", F.col("rank").alias("a"), _ahead(step).alias("b")).where("b is not null")
+        longer = alive.select("doc_id", "h", "i", F.col("rank").alias("a"), _ahead("rank", step).alias("b"), (F.col("w") + _ahead("w", step)).alias("w")).where("b is not null")
         length += step
         old, runs = runs, Written(longer, f"lines-{length}")
         old.drop()
-        ranks = _ranked(runs.df, f"ranks-{length}")
-    place = F.struct("doc_id", "h", "i")
-    later = runs.df.join(ranks.df.select("a", "b", "first"), ["a", "b"]).where(~place.eqNullSafe(F.col("first")))
-    gone = later.select("doc_id", "h", F.explode(F.sequence(F.col("i"), F.col("i") + (least - 1))).alias("line"))
     return gone.groupBy("doc_id", "h").agg(F.array_sort(F.collect_set("line")).alias("gone"))
 
 
-def dedup(docs: DataFrame, least: int = LEAST) -> DataFrame:
+def dedup(docs: DataFrame, least: int = LEAST, words: int = WORDS) -> DataFrame:
     """doc_id, n_lines, n_removed, n_runs (maximal removed runs) and `kept`, the text that stays, of each row."""
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
-    gone = removed_lines(texts, least)
+    gone = removed_lines(texts, least, words)
     none = F.expr("cast(array() as array<int>)")
     told = texts.join(gone.withColumnsRenamed({"doc_id": "d", "h": "g"}), F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g")), "left")
     told = told.select("doc_id", F.split("text", "\n", -1).alias("lines"), F.coalesce("gone", none).alias("gone"), "text")

@@ -59,11 +59,12 @@ def test_lines(docs):
     seen, gone = {}, set()
     for d, t in unique:
         lines = t.split("\n")
-        for i in range(len(lines) - 2):
-            k = tuple(lines[i : i + 3])
-            if k in seen:
-                gone |= {(d, i + j) for j in range(3)}
-            seen.setdefault(k, (d, i))
+        for n in (1, 2, 3):
+            for i in range(len(lines) - n + 1):
+                k = tuple(lines[i : i + n])
+                if k in seen and (n == 3 or len(re.findall(r"[^\x20\x09-\x0D]+", " ".join(k))) >= 50):
+                    gone |= {(d, i + j) for j in range(n)}
+                seen.setdefault(k, (d, i))
     out = []
     for d, t in every:
         lines, own = (t or "").split("\n"), -1 if d is None else d
