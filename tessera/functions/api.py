@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from . import paths, values, write
 from .errors import JsonError
 from .lazy import Lazy
-from .tree import Tree, error, parse, unescape
+from .tree import Tree, error, parse, plain_value, unescape
 
 #: Spark types of getters' values. Unsigned 64-bit integers don't fit a bigint.
 TYPES = {
@@ -52,6 +52,44 @@ class _Last:
         return cls.tree
 
 
+class _Plain:
+    """The value of the last text that the C decoder read. Getters try it first; what they don't find there is asked of the reader."""
+
+    text: object = None
+    value: tuple[bool, object] = (False, None)
+
+    #: Kinds whose values are Python's own, and the types that stand for them.
+    TYPES = {"int64": (int,), "double": (int, float), "string": (str,), "bool": (bool,)}
+
+    @classmethod
+    def get(cls, text, kind: str, keys: tuple[str, ...] | None) -> object:
+        """The value that the keys lead to, or None where there is none, or none that is sure."""
+        if keys is None or kind not in cls.TYPES:
+            return None
+        if cls.text is not text:
+            cls.text, cls.value = text, plain_value(text)
+        plain, value = cls.value
+        if not plain:
+            return None
+        for key in keys:
+            if type(value) is dict and key in value:
+                value = value[key]
+            elif type(value) is list and key.isdecimal() and key.isascii() and (key == "0" or key[0] != "0") and int(key) < len(value):
+                value = value[int(key)]
+            else:
+                return None
+        if type(value) not in cls.TYPES[kind]:
+            return None
+        return float(value) if kind == "double" else value
+
+    @staticmethod
+    def keys(pointer: str | None, dialect: str, options: tuple) -> tuple[str, ...] | None:
+        """A pointer's keys, if it is one that plain values can be asked for."""
+        if pointer is None or dialect != "dom" or options or not pointer.startswith("/") or "~" in pointer:
+            return None
+        return tuple(pointer[1:].split("/"))
+
+
 def _struct(fn: Callable[[object], object], kind: str):
     """A strict function of one text as a column function with a struct<value, error> result."""
 
@@ -154,8 +192,11 @@ def json_get(c: Column | str, kind: str, pointer: str | None = None, path: str |
         raise ValueError(f"unknown kind {kind!r}")
     find, getter, wide = _locate(pointer, path, dialect), values.GETTERS[kind], kind == "uint64"
     o = _options({"big": kind == "bigint"} | options)
+    keys = _Plain.keys(pointer, dialect, _options(options))
 
     def get(t):
+        if (quick := _Plain.get(t, kind, keys)) is not None:
+            return quick
         tree = _Last.get(t, o)
         value = getter(tree, find(tree))
         return Decimal(value) if wide else value
@@ -180,8 +221,12 @@ def json_get_many(c: Column | str, fields: dict[str, tuple[str, str]], dialect:
     o = _options(options)
     plan = [(name, values.GETTERS[kind], _locate(pointer, None, dialect), kind == "uint64") for name, (kind, pointer) in fields.items()]
     schema = ", ".join(f"`{name}` struct<value:{TYPES[kind]},error:string>" for name, (kind, _) in fields.items())
+    quick = [(kind, _Plain.keys(pointer, dialect, o)) for kind, pointer in fields.values()]
 
     def one(t) -> list:
+        plain = [(_Plain.get(t, kind, keys), None) for kind, keys in quick]
+        if all(v is not None for v, _ in plain):
+            return plain
         try:
             tree = _Last.get(t, o)
         except JsonError as e:

@@ -281,11 +281,36 @@ def _refuse(_: str) -> None:
 _quick = json.JSONDecoder(parse_constant=_refuse).decode
 
 
+def _unrepeated(pairs: list[tuple[str, object]]) -> dict[str, object]:
+    out = dict(pairs)
+    if len(out) != len(pairs):
+        raise ValueError
+    return out
+
+
+_quick_values = json.JSONDecoder(parse_constant=_refuse, object_pairs_hook=_unrepeated).decode
+
+
+def _simple(data: object) -> bool:
+    """Whether the C decoder is as strict as the reader on this text, if it accepts it."""
+    return isinstance(data, str) and len(data) < MAX_BYTES // 4 and not _SUSPECT.search(data) and data.count("[") + data.count("{") < 900
+
+
+def plain_value(data: object) -> tuple[bool, object]:
+    """Whether a document is plain, and its value as Python's: good, without repeated keys, and without numbers that Python reads otherwise."""
+    if _simple(data) and "-0" not in data:
+        try:
+            return True, _quick_values(data)
+        except (ValueError, RecursionError):
+            pass
+    return False, None
+
+
 def error(data: bytes | str | None, **options) -> tuple[str | None, int | None]:
     """The code of what is wrong with a document and where, or two Nones. Plain documents take a short way through C."""
     if data is None:
         return "EMPTY", 0
-    if isinstance(data, str) and not options and len(data) < MAX_BYTES // 4 and not _SUSPECT.search(data) and data.count("[") + data.count("{") < 900:
+    if not options and _simple(data):
         try:
             _quick(data)
             return None, None

@@ -1,8 +1,10 @@
 """Reading many fields of a document once, in the lane that is right for it.
 
-The native lane is one from_json with a schema of the asked fields alone, so Spark prunes the rest. Its results agree with
-the strict lane's for documents that json_error finds nothing wrong with and whose objects don't repeat an asked key; `auto`
-takes it for those and reads only the others strictly.
+The native lane is one from_json with a schema of the asked fields alone, so Spark prunes the rest; it is for documents that are
+known to be good and don't repeat an asked key. The strict lane is one Python function a document, which takes the C decoder's
+value where the document is plain and the strict reader's where not. `auto` is the native lane where a flag column says
+that a document is known to be plain, and the strict one for all others; without a flag it is the strict lane. Python functions
+inside a `when` run for every row, so the strict lane is given null in place of the documents that it needn't read.
 """
 
 from __future__ import annotations
@@ -59,24 +61,29 @@ def native_fields(c: Column | str, schema: T.StructType | str) -> Column:
     return F.from_json(c if isinstance(c, Column) else F.col(c), schema)
 
 
-def fields(c: Column | str, wanted: dict[str, tuple[str, str]], lane: str = "auto") -> Column:
-    """struct<name: value, ...> for name -> (kind, pointer to a top-level key), null where there is no such value."""
+def fields(c: Column | str, wanted: dict[str, tuple[str, str]], lane: str = "auto", plain: Column | None = None) -> Column:
+    """struct<name: value, ...> for name -> (kind, pointer to a top-level key), null where there is no such value.
+
+    plain: in the lane `auto`, which documents are known to be good and without repeated keys.
+    """
     if lane not in LANES:
         raise ValueError(f"lanes are {LANES}")
     column = c if isinstance(c, Column) else F.col(c)
     names = {name: pointer_key(pointer[1:]) for name, (_, pointer) in wanted.items()}
-    strict = api.json_get_many(column, wanted)
-    strict = F.struct(*(strict[name]["value"].alias(name) for name in wanted))
-    if lane == "strict" or any("/" in pointer[1:] for _, pointer in wanted.values()) or len(set(names.values())) < len(names):
-        return strict
-    schema = ", ".join(f"`{names[name]}` {api.TYPES[kind]}" for name, (kind, _) in wanted.items())
-    read = native_fields(column, schema)
+    top = not any("/" in pointer[1:] for _, pointer in wanted.values()) and len(set(names.values())) == len(names)
+
+    def strict(document: Column) -> Column:
+        got = api.json_get_many(document, wanted)
+        return F.struct(*(got[name]["value"].alias(name) for name in wanted))
+
+    if lane == "strict" or not top or (lane == "auto" and plain is None):
+        return strict(column)
+    read = native_fields(column, ", ".join(f"`{names[name]}` {api.TYPES[kind]}" for name, (kind, _) in wanted.items()))
     native = F.struct(*(read[names[name]].alias(name) for name in wanted))
     if lane == "native":
         return native
-    keys = F.json_object_keys(column)
-    plain = api.json_error(column).isNull() & (F.size(keys) == F.size(F.array_distinct(keys)))
-    return F.when(plain, native).otherwise(strict)
+    known = F.coalesce(plain, F.lit(False))
+    return F.when(known, native).otherwise(strict(F.when(~known, column)))
 
 
 def extract(c: Column | str, pointer: str, kind: str, schema: T.StructType | None = None) -> Column:
