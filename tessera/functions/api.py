@@ -168,8 +168,10 @@ def _locate(pointer: str | None, path: str | None, dialect: str) -> Callable[[Tr
     if (pointer is None) == (path is None):
         raise ValueError("give a pointer or a path")
     raw = dialect == "ondemand"
-    if dialect not in ("dom", "ondemand"):
-        raise ValueError("dialects are dom and ondemand")
+    if dialect not in ("dom", "ondemand", "legacy"):
+        raise ValueError("dialects are dom, ondemand and legacy")
+    if dialect == "legacy" and pointer:  # the older form goes without the first slash
+        pointer = "/" + pointer.removeprefix("/")
     if path is not None:
         return lambda tree: paths.at_path(tree, path, raw=raw)
     return lambda tree: paths.at_pointer(tree, pointer, raw=raw)

@@ -13,7 +13,7 @@ NAMES = (
     "order_pointers", "accessor_depths", "accessor_checked", "in_string_number", "text_round_trip", "quote_text", "orders_doc_explode", "customer_partial", "customer_selector", "customer_fields",
     "find_order", "top_order_last_tie", "distinct_keys_union", "distinct_keys_pointer", "brand_ratings", "points", "region_nation_nested", "extract_subset", "bound_rows", "nodes_count_by_kind",
     "nodes_statistics", "nodes_subtree", "object_each", "sizes", "key_lookups", "minify_roundtrip", "prettify_regions", "fractured_regions", "fractured_round_trip", "msgpack_sizes", "tape_words",
-    "utf8_check", "html_round_trip", "conversation_streams", "files_newline", "files_whitespace", "files_by_range", "chunked_turns", "number_struct", "kind_tests", "raw_texts", "bad_documents", "pointer_cases", "path_cases", "number_cases", "wildcard_cases", "unescape_cases", "touched_cases",
+    "utf8_check", "html_round_trip", "conversation_streams", "files_newline", "files_whitespace", "files_by_range", "chunked_turns", "number_struct", "typed_getters", "document_ends", "stream_errors", "stream_truncated", "kind_tests", "raw_texts", "bad_documents", "pointer_cases", "path_cases", "number_cases", "wildcard_cases", "unescape_cases", "touched_cases",
 )
 
 
@@ -114,6 +114,17 @@ def oracle_sql() -> dict[str, str]:
         "utf8_check": "select doc_id, true as good, false as cut from documents",
         "html_round_trip": "select page_id, url, cast(length(html) as integer) as n_html from pages",
         "conversation_streams": "select conv_id, count(*) as n, true as same, max(turn) as last from conversations group by conv_id",
+        "typed_getters": """select p_partkey, cast(cast(p_retailprice as float) as double) as float, p_size > 25 as bool, case when p_partkey % 4 <> 0 or p_partkey = 0 then p_partkey end as uint32,
+            case when p_partkey % 4 = 0 and p_partkey > 0 then 'NUMBER_OUT_OF_RANGE' end as uint32_error, case when p_partkey % 4 = 0 and p_partkey > 0 then 'NUMBER_OUT_OF_RANGE' end as uint64_error, '1234567890123456789012' || p_partkey as bigint,
+            'INCORRECT_TYPE' as wrong, cast(p_partkey as varchar) as second, 'INDEX_OUT_OF_BOUNDS' as third, p_partkey % 2 = 1 as empty from part""",
+        "document_ends": """select n_nationkey, true as bare, n_nationkey % 2 = 1 as trailing, case when n_nationkey % 2 = 1 then 'TAPE_ERROR' end as error, 'TAPE_ERROR' as code,
+            cast(2 + length(cast(n_nationkey as varchar)) as integer) as at, case when n_nationkey < 10 then 'UNCLOSED_STRING' else 'TAPE_ERROR' end as cut, 'DEPTH_ERROR' as depth from nation""",
+        "stream_errors": """with c as (select c_nationkey as nation, row_number() over (partition by c_nationkey order by c_custkey) - 1 as i, count(*) over (partition by c_nationkey) as n,
+              length('{"k":' || c_custkey || ',"n":"' || c_name || '"}') + 1 as size from customer)
+            select nation, least(any_value(n), nation + 1) as n, cast(coalesce(sum(size) filter (i < least(nation, n - 1)), 0) as bigint) as last, case when nation < any_value(n) then 'N_ATOM_ERROR' end as error,
+              any_value(n) as all, cast(nation < any_value(n) as bigint) as bad from c group by nation""",
+        "stream_truncated": """select c_nationkey as nation, count(*) - 1 as documents, cast(max_by(length('{"k":' || c_custkey || ',"n":"' || c_name || '"}'), c_custkey) - 4 as bigint) as truncated
+            from customer group by c_nationkey""",
         "bad_documents": _values([(i, e) for i, (_, e) in enumerate([*W.BAD, *((t, None) for t in W.GOOD)])], "case_id", "error"),
         "pointer_cases": _values([(i, v, e) for i, (_, v, e) in enumerate(W.POINTERS)], "case_id", "value", "error"),
         "path_cases": _values([(i, p) for i, (_, p) in enumerate(W.PATHS)], "case_id", "pointer"),

@@ -429,6 +429,58 @@ def raw_texts(spark, sf_dir):
     return docs.select("c_custkey", api.json_raw("json", pointer="/user")["value"].alias("object"), api.json_raw("json", path="$.text")["value"].alias("text"), api.json_raw("json", pointer="/in_reply_to", dialect="ondemand")["value"].alias("reply"), api.json_touch("json", "/user/id")["value"].alias("id"))
 
 
+def typed_getters(spark, sf_dir):
+    """Getters of the rarer kinds, of values that fit and of values that don't."""
+    key = F.col("p_partkey")
+    more = F.concat(F.lit('{"f":'), F.col("p_retailprice").cast("string"), F.lit(',"b":'), (F.col("p_size") > 25).cast("string"), F.lit(',"n":'), F.when(key % 4 == 0, -key).otherwise(key).cast("string"), F.lit(',"big":1234567890123456789012'), key.cast("string"), F.lit("}"))
+    some = F.concat(F.lit("["), F.when(key % 2 == 0, "1").otherwise(""), F.lit("]"))
+    rows = table(spark, sf_dir, "part").select("p_partkey", more.alias("json"), F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(","), key.cast("string"), F.lit("]")).alias("pair"), some.alias("some"))
+    got = api.json_get_many("json", {"f": ("float", "/f"), "b": ("bool", "/b"), "n": ("uint32", "/n"), "big": ("bigint", "/big"), "wrong": ("bool", "/f")}, big=True)
+    rows = rows.select("p_partkey", got.alias("g"), api.json_get("json", "uint64", pointer="/n", big=True).alias("u"), api.json_at("pair", 1)["value"].alias("second"), api.json_at("pair", 2)["error"].alias("third"), (api.json_size("some")["value"] == 0).alias("empty"))
+    return rows.select(
+        "p_partkey", F.col("g.f.value").cast("double").alias("float"), F.col("g.b.value").alias("bool"), F.col("g.n.value").alias("uint32"), F.col("g.n.error").alias("uint32_error"), F.col("u.error").alias("uint64_error"),
+        F.col("g.big.value").alias("bigint"), F.col("g.wrong.error").alias("wrong"), "second", "third", "empty",
+    )
+
+
+def document_ends(spark, sf_dir):
+    """Marks before a document, text behind it, documents that stop early, and where a document goes wrong."""
+    key = F.col("n_nationkey")
+    json = F.concat(F.lit('{"k":'), key.cast("string"), F.lit(',"n":"'), F.col("n_name"), F.lit('"}'))
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", json.alias("json"))
+    tail = F.when(key % 2 == 1, " {}").otherwise("  ")
+    bad = api.json_error_at(F.concat(F.lit("["), key.cast("string"), F.lit(",]")))
+    return rows.select(
+        "n_nationkey", (api.strip_bom(F.concat(F.lit("\ufeff"), F.col("json"))) == F.col("json")).alias("bare"), api.has_trailing(F.concat("json", tail))["value"].alias("trailing"),
+        api.json_error(F.concat("json", tail)).alias("error"), bad["code"].alias("code"), bad["at"].alias("at"), api.json_error(F.substring("json", 1, 8)).alias("cut"),
+        api.json_error(F.concat(F.lit("["), "json", F.lit("]")), max_depth=1).alias("depth"),
+    )
+
+
+def _nation_files(spark, sf_dir, joined) -> str:
+    """One file a nation with its customers' documents, in the order of their keys."""
+    doc = F.to_json(F.struct(F.col("c_custkey").alias("k"), F.col("c_name").alias("n")))
+    rows = table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("nation")).agg(F.transform(F.array_sort(F.collect_list(F.struct("c_custkey", doc.alias("j")))), lambda x: x["j"]).alias("j"))
+    path = scratch(spark, "nations")
+    rows.select("nation", joined(F.col("j"), F.col("nation")).alias("value")).repartition("nation").write.partitionBy("nation").option("lineSep", " ").text(path)
+    return f"{path}/nation=*/part-*"
+
+
+def stream_errors(spark, sf_dir):
+    """A stream ends with the first bad document: how many came, where it stood, and its code; the other mode goes on."""
+    broken = lambda j, nation: F.array_join(F.transform(j, lambda x, i: F.when(i == nation, F.lit("[nul]")).otherwise(x)), " ")
+    path = _nation_files(spark, sf_dir, broken)
+    of = lambda mode: D.read_documents(spark, path, "whitespace", mode=mode).withColumn("nation", F.regexp_extract("source", "nation=([0-9]+)", 1).cast("bigint"))
+    stop = of("stop").groupBy("nation").agg(F.count("*").alias("n"), F.max("byte_offset").alias("last"), F.max("error").alias("error"))
+    return stop.join(of("skip").groupBy("nation").agg(F.count("*").alias("all"), F.count("error").alias("bad")), "nation")
+
+
+def stream_truncated(spark, sf_dir):
+    """Files that end inside a document: how many documents are whole, and how many bytes belong to none."""
+    path = _nation_files(spark, sf_dir, lambda j, nation: F.expr("left(array_join(j, ' '), length(array_join(j, ' ')) - 5)"))
+    return D.slices(spark, path).select(F.regexp_extract("source", "nation=([0-9]+)", 1).cast("bigint").alias("nation"), "documents", F.col("truncated_bytes").alias("truncated"))
+
+
 # --- tables of cases ----------------------------------------------------------------------------------------------------
 
 #: Documents and the code of what is wrong with them.

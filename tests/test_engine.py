@@ -256,3 +256,67 @@ def test_json_size_agrees(spark):
     docs = spark.createDataFrame([(json.dumps(x),) for x in ([], [1, 2], {}, {"a": 1, "b": [1]}, 5)], "j string")
     got = docs.select(api.json_size("j").alias("s"), api.json_size_native("j").alias("n")).collect()
     assert [r.s.value for r in got] == [0, 2, 0, 2, None] and [r.n for r in got] == [0, 2, 0, 2, None]
+
+
+def test_plain_values_equal_the_reader(spark):
+    """What the C decoder's value gives is what the strict reader gives, or nothing."""
+    import random
+
+    from tessera.functions import values
+    from tessera.functions.api import _Plain
+    from tessera.functions.errors import JsonError
+    from tessera.functions.paths import at_pointer
+    from tessera.functions.tree import parse
+
+    draw = random.Random(3)
+    atoms = ["1", "-0", "0", "1.5", "1e3", "true", "null", '"x"', '"\\u00e9"', '"\\ud83d\\ude00"', "12345678901234567890", "[]", "{}", "[0,[1,2]]", '{"a":1}', '{"a":1,"a":2}', "nul", '"a\tb"', " 7 ", "01"]
+    met = 0
+    for _ in range(20_000):
+        text = "{" + ",".join(f'"{draw.choice("abc")}":{draw.choice(atoms)}' for _ in range(draw.randint(0, 3))) + "}"
+        if draw.random() < 0.1:
+            text = text[: draw.randint(0, len(text))]
+        pointer, kind = draw.choice(["/a", "/b", "/a/0", "/a/1/0", "/c/a", "/a/01", "/", "/a/-"]), draw.choice(["int64", "double", "string", "bool", "uint64"])
+        got = _Plain.get(text, kind, _Plain.keys(pointer, "dom", ()))
+        if got is None:
+            continue
+        try:
+            tree = parse(text)
+            want = values.GETTERS[kind](tree, at_pointer(tree, pointer))
+        except JsonError as e:
+            want = e.code
+        assert (type(got), got) == (type(want), want), (text, pointer, kind)
+        met += 1
+    assert met > 100
+
+
+def test_one_reading(spark):
+    """Several fields are one Python evaluation, and the node table of a subtree query is made once."""
+    from tessera import workloads as W
+
+    sf = "/root/testdata/sf0.001"
+    of = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert of(W.customer_fields(spark, sf)).count("ArrowEvalPython") == 1
+    assert of(W.conversation_streams(spark, sf)).count("ArrowEvalPython") == 1
+    assert "MapInArrow" not in of(W.nodes_subtree(spark, sf))
+
+
+def test_known_documents_stay_native(spark):
+    """With a flag, known documents are read natively and the strict lane gets null for them; results agree."""
+    from pyspark.sql import functions as F
+
+    from tessera.plans.selector import fields
+
+    rows = [(1, '{"a":1,"b":"x"}', True), (2, '{"a":2,"a":3,"b":"y"}', False), (3, '{"a":', False), (4, '{"b":"z"}', None), (5, None, None)]
+    docs = spark.createDataFrame(rows, "id int, json string, known boolean")
+    wanted = {"a": ("int64", "/a"), "b": ("string", "/b")}
+    got = docs.select("id", fields("json", wanted, plain=F.col("known")).alias("f"), fields("json", wanted, "strict").alias("s")).collect()
+    assert all(r.f == r.s for r in got) and got[0].f.a == 1 and got[1].f.a == 2 and got[3].f.b == "z"
+
+
+def test_legacy_pointers(spark):
+    """The older form of pointers goes without the first slash."""
+    from tessera.functions import api
+
+    docs = spark.createDataFrame([('{"a":{"b":[1,2]}}',)], "json string")
+    got = docs.select(api.json_get("json", "int64", pointer="a/b/1", dialect="legacy").alias("v"), api.json_get("json", "int64", pointer="/a/b/0", dialect="legacy").alias("w"), api.json_get("json", "int64", pointer="a/b/1").alias("x")).first()
+    assert (got.v.value, got.w.value, got.x.error) == (2, 1, "INVALID_JSON_POINTER")
