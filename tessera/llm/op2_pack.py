@@ -212,9 +212,11 @@ def write(docs: DataFrame, path: str, model: str, vocabulary: int, end_id: int,
     cuts = sorted(said.cuts or [])[: parts - 1]
     bare = -(-(said.n - said.named) * parts // max(said.n, 1))  # parts for rows without a doc_id
     doc, salt = F.col("doc_id").cast("bigint"), F.monotonically_increasing_id()
-    below, upto = _rank(cuts, lambda c: c < doc), _rank(cuts, lambda c: c <= doc)
-    # A doc_id that several cuts fall on fills the parts between them; its rows are dealt to these.
-    named = bare + below + F.when(upto - below > 1, F.pmod(F.xxhash64(salt), upto - below)).otherwise(0)
+    below = _rank(cuts, lambda c: c < doc)
+    named = bare + below
+    if len(set(cuts)) < len(cuts):  # a doc_id that several cuts fall on fills the parts between them; its rows are dealt to these
+        upto = _rank(cuts, lambda c: c <= doc)
+        named = named + F.when(upto - below > 1, F.pmod(F.xxhash64(salt), upto - below)).otherwise(0)
     part = F.when(doc.isNull(), F.pmod(F.xxhash64(salt), F.lit(max(bare, 1)))).otherwise(named)
     tokens = tokenize(docs.select("doc_id", "text", part.cast("int").alias("part")), model, end_id, bits)
     dealt = tokens.repartitionById(bare + len(cuts) + 1, F.col("part")).sortWithinPartitions("doc_id", "n_tokens", "ids")
