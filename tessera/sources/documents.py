@@ -14,7 +14,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -195,9 +195,8 @@ def register(spark: SparkSession) -> None:
 
 
 def first_of_each(docs: DataFrame) -> DataFrame:
-    """Each source's first document."""
-    turn = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
-    return docs.withColumn("_turn", turn).where("_turn = 1").drop("_turn")
+    """Each source's first document, by an aggregate that combines before it is shuffled."""
+    return docs.groupBy(F.col("source").alias("_of")).agg(F.min_by(F.struct("*"), "doc_id").alias("_first")).select("_first.*")
 
 
 __all__ = ["DEFAULT_BATCH", "JsonDataSource", "documents_of", "first_of_each", "read_documents", "register", "slices", "stop_at_error", "write_documents"]
