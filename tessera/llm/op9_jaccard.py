@@ -3,10 +3,14 @@
 A text's set is that of its distinct shingles of k words. Shingles are dealt into groups by hash, and two things are made
 of the groups. First, blocks: with similarity s, sets of at most n shingles differ in at most D = n (1 - s) / s, so of
 more than D groups at least one is equal in both; sets that agree in a whole group of the same number of groups share a
-block, and a linked pair can't miss all blocks. Second, points: the counts of GROUPS groups are indexed in an R-tree whose
-boxes bound a pair's overlap by the sum of coordinate minima. Pairs that survive both are verified on the sets.
-
-Equal sets are one node from the start, whatever their number. A block's points are indexed, and its surviving pairs tie
+block, and a linked pair can't miss all blocks. Second, points: the counts of groups are indexed in an R-tree whose
+boxes bound a pair's overlap by the sum of coordinate minima. Pairs that survive both are verified on the sets. Counts of a
+few large groups are alike for any two large sets, so larger sets have more groups, MOST_GROUPS at most, and points that
+meet are folded to the fewest that one of them has: with the same number for all, the long texts of a corpus are one
+component of ties, and its texts' copies for pairs of chunks grow with the square of the corpus.
+
+Equal sets are one node from the start, whatever their number. Near copies share hundreds of blocks, so pairs of blocks of
+FEW nodes at most are told once for all blocks of a task. Others' points are indexed, and the surviving pairs tie
 nodes that could be linked. The components of these ties are small; each is indexed again with its sets at hand, and the
 surviving pairs are verified. Where a block or a component has more than CHUNK nodes, pairs of chunks of it are searched
 instead, each by a task. A search spreads from node to node and leaves out those that it has reached, so what comes out is
@@ -34,8 +38,10 @@ from .common import Written, blocks, bound_arrow, free, partitions, utf8
 from .graph import components
 from .texthash import mix, shingles
 
-#: Coordinates of a point, points of an R-tree leaf, and nodes of a chunk; a search compares those of two chunks at most.
-GROUPS, LEAF, CHUNK = 64, 16, 1_000
+#: The least and the most coordinates of a point, points of an R-tree leaf, and nodes of a chunk; a search compares those of two chunks at most.
+GROUPS, MOST_GROUPS, LEAF, CHUNK = 64, 4_096, 16, 1_000
+#: Nodes of a block whose pairs are told one by one.
+FEW = 8
 #: Postings that a mapper holds before it hands them on.
 HOLD = 1_000_000
 #: Bytes of text for each bucket of blocks: bounds what a task holds.
@@ -70,6 +76,13 @@ def sets(raw: np.ndarray, at: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarra
     return key & _LOW, first
 
 
+def widths(n: np.ndarray, percent: int) -> np.ndarray:
+    """Coordinates of the points of sets of n shingles: so many that unrelated sets of one size fall below the similarity's bound.
+    With l shingles a group they share, by counts, all but some 0.56 / sqrt(l) of them."""
+    asked = np.maximum(np.asarray(n, np.int64) * (10 * (100 - percent) ** 2) // (100 + percent) ** 2, 1)
+    return np.clip(1 << np.ceil(np.log2(asked)).astype(np.int64), GROUPS, MOST_GROUPS)
+
+
 def signatures(h: np.ndarray, first: np.ndarray) -> np.ndarray:
     """A 64-bit value for each row's set; 0 for an empty one."""
     out = np.zeros(len(first) - 1, np.uint64)
@@ -164,8 +177,13 @@ def _map(k: int, percent: int, buckets: int):
                     seen.clear()
                 if fresh:
                     new = np.array(fresh)
-                    point = zstandard.ZstdCompressor(level=1).compress(counts(h, first)[new].astype("<i4").tobytes())
-                    yield pa.record_batch([pa.array([-2], pa.int32()), *(pa.array([x], pa.binary()) for x in (node[new].tobytes(), np.diff(first)[new].astype("<i8").tobytes(), point)), pa.nulls(1, pa.binary())], ["bucket", "a", "b", "c", "d"])
+                    size = np.diff(first)[new]
+                    width = widths(size, percent)
+                    for groups in np.unique(width).tolist():
+                        own = new[width == groups]
+                        point = counts(np.concatenate([h[first[r] : first[r + 1]] for r in own]), np.concatenate([[0], np.cumsum(size[width == groups])]), groups)
+                        point = zstandard.ZstdCompressor(level=1).compress(point.astype("<i4").tobytes())
+                        yield pa.record_batch([pa.array([-2], pa.int32()), *(pa.array([x], pa.binary()) for x in (node[own].tobytes(), size[width == groups].astype("<i8").tobytes(), point)), pa.nulls(1, pa.binary())], ["bucket", "a", "b", "c", "d"])
                     key, owner = postings(h, first, new, percent)
                     keys.append(key)
                     nodes.append(node[owner])
@@ -186,16 +204,27 @@ def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _points(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Points by node, a byte a coordinate where that holds all, else four."""
     for batch in batches:
         for row in batch.to_pylist():
-            point = zstandard.ZstdDecompressor().decompress(row["c"])
-            n = len(row["a"]) // 8
-            cells = [point[i * GROUPS * 4 : (i + 1) * GROUPS * 4] for i in range(n)]
+            point = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["c"]), "<i4").reshape(len(row["a"]) // 8, -1)
+            cells = [(p.astype("<u1") if most < 256 else p).tobytes() for p, most in zip(point, point.max(1).tolist(), strict=True)]
             yield pa.record_batch([pa.array(np.frombuffer(row["a"], "<i8")), pa.array(np.frombuffer(row["b"], "<i8")), pa.array(cells, pa.binary())], ["node", "n", "point"])
 
 
+def _distinct(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((b, a))
+    a, b = a[order], b[order]
+    new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]) if len(a) else np.zeros(0, bool)
+    return a[new], b[new]
+
+
+_MET = "a long, b long, size long"
+
+
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The blocks that more than one node is in: block, node, and how many the block has."""
+    """The blocks that more than one node is in. Rows with size 0 hold a pair of nodes that share a block of FEW at most; the others
+    a larger block, a node of it, and how many it has."""
     keys, nodes = [], []
     for batch in batches:
         for row in batch.to_pylist():
@@ -212,10 +241,24 @@ def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     key, node = key[new], node[new]
     begins = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
     held = np.diff(np.append(begins, len(key)))
-    several = np.flatnonzero(np.repeat(held, held) > 1)
+    several = np.flatnonzero(np.repeat(held, held) > FEW)
     for i in range(0, len(several), 50_000):
         some = several[i : i + 50_000]
-        yield pa.record_batch([pa.array(key[some].view("<i8")), pa.array(node[some]), pa.array(np.repeat(held, held)[some])], ["block", "node", "size"])
+        yield pa.record_batch([pa.array(key[some].view("<i8")), pa.array(node[some]), pa.array(np.repeat(held, held)[some])], ["a", "b", "size"])
+
+    def told() -> Iterator[pa.RecordBatch]:
+        for i in range(0, len(a), 50_000):
+            yield pa.record_batch([pa.array(a[i : i + 50_000]), pa.array(b[i : i + 50_000]), pa.array(np.zeros(len(a[i : i + 50_000]), np.int64))], ["a", "b", "size"])
+
+    a = b = np.zeros(0, np.int64)
+    for size in range(2, FEW + 1):
+        first = begins[held == size]
+        for i, j in ((i, j) for j in range(size) for i in range(j)):  # nodes of a block are sorted
+            a, b = _distinct(np.concatenate([a, node[first + i]]), np.concatenate([b, node[first + j]]))
+            if len(a) > HOLD:
+                yield from told()
+                a = b = np.zeros(0, np.int64)
+    yield from told()
 
 
 class CountTree:
@@ -316,11 +359,23 @@ def spread(points: np.ndarray, sizes: np.ndarray, percent: int, test=None) -> li
 def forest(own: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
     """Linked pairs of these sets that span their components."""
     first = np.concatenate([[0], np.cumsum([len(s) for s in own])])
-    return spread(counts(np.concatenate(own), first), np.diff(first), percent, lambda i, j: linked(own[i], own[j], percent))
+    return spread(counts(np.concatenate(own), first, int(widths(np.diff(first), percent).min())), np.diff(first), percent, lambda i, j: linked(own[i], own[j], percent))
+
+
+def folded(points: list[bytes], sizes: np.ndarray, percent: int) -> np.ndarray:
+    """Points as rows of as many coordinates as the one with the fewest has: groups are halves of those twice as large."""
+    width = widths(sizes, percent)
+    least = int(width.min())
+    out = np.empty((len(points), least), np.int32)
+    for i, (p, w) in enumerate(zip(points, width.tolist(), strict=True)):
+        row = np.frombuffer(p, "<u1" if len(p) == w else "<i4")
+        out[i] = row if w == least else row.reshape(least, -1).sum(1, dtype=np.int64)
+    return out
 
 
 def _tie(percent: int):
-    """Rows come sorted by block; each block's points are indexed, and the ties that span its surviving pairs go out."""
+    """Rows come sorted by search, a block, two chunks of one, or a pair; its points are indexed, and the ties that span its
+    surviving pairs go out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, {}
@@ -329,8 +384,8 @@ def _tie(percent: int):
         def end() -> None:
             if len(held) > 1:
                 nodes = list(held)
-                points = np.frombuffer(b"".join(p for _, p in held.values()), "<i4").reshape(len(nodes), GROUPS)
-                for i, j in spread(points, np.array([n for n, _ in held.values()]), percent):
+                sizes = np.array([n for n, _ in held.values()])
+                for i, j in spread(folded([p for _, p in held.values()], sizes, percent), sizes, percent):
                     a.append(nodes[i])
                     b.append(nodes[j])
 
@@ -400,12 +455,16 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     mapped = Written(known.select("*", F.xxhash64("text").alias("tag")).mapInArrow(_map(k, percent, buckets), _MAPPED), "jaccard-map")
     rows = Written(mapped.df.where("bucket = -1").select("a", "b", "c", "d").mapInArrow(_rows, "doc_id long, n_shingles long, node long, tag long"), "jaccard-rows").df
     points = mapped.df.where("bucket = -2").select("a", "b", "c").mapInArrow(_points, "node long, n long, point binary").dropDuplicates(["node"])
-    blocks_ = mapped.df.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(_meet, "block long, node long, size long")
-    met = _searches(blocks_, "block", "size").select("search", "node").join(points, "node")
+    told = Written(mapped.df.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(_meet, _MET), "jaccard-met")
+    free(spark)
+    several = _searches(told.df.where("size > 0").select(F.col("a").alias("block"), F.col("b").alias("node"), "size"), "block", "size").select("search", "node")
+    two = told.df.where("size = 0").select("a", "b").distinct().select(F.concat_ws("-", "a", "b").alias("search"), F.explode(F.array("a", "b")).alias("node"))
+    met = several.union(two).join(points, "node")
     met = met.repartition(partitions(spark), "search").sortWithinPartitions("search")
     maybe = components(met.mapInArrow(_tie(percent), "a long, b long"), "jaccard-maybe")
     mapped.drop()
-    del points, blocks_, met
+    told.drop()
+    del points, several, two, met
     free(spark)
 
     reps = rows.where("n_shingles > 0").groupBy("node").agg(F.min("doc_id").alias("rep"))

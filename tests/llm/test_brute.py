@@ -482,6 +482,36 @@ def test_jaccard_near(spark, monkeypatch):
         same(op9_jaccard.join(docs, k, percent).select("doc_id", "n_shingles", "component_id"), brute_jaccard(rows, k, percent))
 
 
+def test_jaccard_long(spark, monkeypatch):
+    """Long texts that share a paragraph alone aren't tied; near copies among them are found, whatever the size of their blocks."""
+    import random
+
+    from tessera.llm import op9_jaccard
+
+    draw, told = random.Random(11), {}
+    common = [f"c{i}" for i in range(60)]
+    texts = [[f"w{draw.random()}" for _ in range(2_000)] + common + [f"w{draw.random()}" for _ in range(2_000)] for _ in range(60)]
+    for share, of in ((0.005, 0), (0.02, 1), (0.03, 2)):  # five words a change
+        texts.append([f"n{draw.random()}" if draw.random() < share else w for w in texts[of]])
+    texts += [texts[3][: 4 * len(texts[3]) // 5 + 2], texts[4][: 7 * len(texts[4]) // 10]]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    docs, expected = spark.createDataFrame(rows, "doc_id long, text string"), brute_jaccard(rows, 5, 80)
+    assert len({c for _, _, c in expected}) in range(60, 63)
+    components = op9_jaccard.components
+
+    def spy(edges, name):
+        out = components(edges, name)
+        told[name] = out.df.count()
+        return out
+
+    monkeypatch.setattr(op9_jaccard, "components", spy)
+    for few in (None, 1, 1_000):
+        if few:
+            monkeypatch.setattr(op9_jaccard, "FEW", few)
+        same(op9_jaccard.join(docs, 5, 80).select("doc_id", "n_shingles", "component_id"), expected)
+        assert told["jaccard-maybe"] <= 10
+
+
 def test_toxic(docs, spark):
     from tessera.llm import op7_toxic
 
