@@ -23,10 +23,11 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import Written, bound_arrow, free
@@ -208,12 +209,9 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
 
-def _rest(points: DataFrame, links: DataFrame) -> DataFrame:
-    """Links (a, b) between images of different components, from all pairs of descriptors under a short key."""
-    label = links.select("node", "label")
-    told = points.select("point", "node", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(t), *(F.col(f"d{i}").bitwiseAND(F.lit(m)) for i, m in enumerate(mask))) for t, mask in enumerate(_KEYS)))).alias("key")
-    of_point = told.select(keys, "point", "node", "label", "d0", "d1", "d2", "d3")
+def _met(told: DataFrame, key: Column) -> DataFrame:
+    """Images (a < b) of different components of which points meet under a short key, with the smallest and largest such point of a."""
+    of_point = told.select(key.alias("key"), "point", "node", "label", "d0", "d1", "d2", "d3")
     shared = of_point.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
     chunks = F.ceil(F.col("n") / CHUNK).cast("int")
     dealt = of_point.join(shared.select("key", chunks.alias("chunks")), "key").withColumn("part", F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int"))
@@ -221,9 +219,23 @@ def _rest(points: DataFrame, links: DataFrame) -> DataFrame:
     dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "point", "node", "label", "d0", "d1", "d2", "d3")
     dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     # Two descriptors at least: the smallest and the largest point of an image that meets the other differ.
-    met = dealt.mapInArrow(_meet, "a long, b long, p long").groupBy("a", "b").agg(F.min("p").alias("p"), F.max("p").alias("q"))
+    return dealt.mapInArrow(_meet, "a long, b long, p long").groupBy("a", "b").agg(F.min("p").alias("p"), F.max("p").alias("q"))
+
+
+def _rest(points: DataFrame, links: DataFrame) -> DataFrame:
+    """Links (a, b) between images of different components, from all pairs of descriptors under a short key."""
+    label = links.select("node", "label")
+    told = points.select("point", "node", "d0", "d1", "d2", "d3").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    # One key after the other, so that the disk holds the points once for a key and not for all.
+    each = []
+    for t, mask in enumerate(_KEYS):
+        each.append(Written(_met(told, F.xxhash64(F.lit(t), *(F.col(f"d{i}").bitwiseAND(F.lit(m)) for i, m in enumerate(mask)))), f"media-met-{t}"))
+        free(points.sparkSession)
+    met = reduce(DataFrame.union, (w.df for w in each)).groupBy("a", "b").agg(F.min("p").alias("p"), F.max("q").alias("q"))
     pairs = Written(met.where("p <> q").select("a", "b"), "media-pairs")
-    del dealt, met
+    for w in each:
+        w.drop()
+    del met
     free(points.sparkSession)
 
     # Pairs of images are dealt by pairs of blocks, so that an image's points are sent once to each block that needs them.
@@ -244,12 +256,18 @@ def joined(points: DataFrame) -> Written:
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("table"), F.col(f"d{i}").alias("key")) for i in range(TABLES)))).alias("k")
     met = points.select("point", keys).select((F.shiftleft(F.col("k.table").cast("bigint"), 32) + F.col("k.key")).alias("key"), "point")
     first = met.groupBy("key").agg(F.min("point").alias("q"), F.max("point").alias("last")).where("q <> last").drop("last")
-    tied = met.join(first, "key").where("point <> q").select(F.col("point").alias("p"), "q").distinct()
-    spot = F.struct("node", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")
+    tied = Written(met.join(first, "key").where("point <> q").select(F.col("point").alias("p"), "q").distinct(), "media-tied")
+    del met, first
+    free(points.sparkSession)
+    # Words first, places only for pairs within DIFFER: each step's shuffle files go before the next one.
+    words = lambda c: points.select(F.col("point").alias(c), F.struct("node", "d0", "d1", "d2", "d3").alias("of_" + c))
+    far = sum((F.bit_count(F.col(f"of_p.d{i}").bitwiseXOR(F.col(f"of_q.d{i}"))) for i in range(1, BITS // 32)), F.bit_count(F.col("of_p.d0").bitwiseXOR(F.col("of_q.d0"))))
+    close = Written(tied.df.join(words("p"), "p").join(words("q"), "q").where((far <= DIFFER) & (F.col("of_p.node") != F.col("of_q.node"))).select("p", "q"), "media-close")
+    tied.drop()
+    free(points.sparkSession)
+    spot = F.struct("node", "x", "y", "scale", "angle")
     one, other = points.select(F.col("point").alias("p"), spot.alias("a")), points.select(F.col("point").alias("q"), spot.alias("b"))
-    pairs = tied.join(one, "p").join(other, "q").select(F.col("a").alias("p"), F.col("b").alias("q")).where("p.node <> q.node")
-    far = sum((F.bit_count(F.col(f"p.d{i}").bitwiseXOR(F.col(f"q.d{i}"))) for i in range(1, 4)), F.bit_count(F.col("p.d0").bitwiseXOR(F.col("q.d0"))))
-    pairs = pairs.where(far <= DIFFER)
+    pairs = close.df.join(one, "p").join(other, "q").select(F.col("a").alias("p"), F.col("b").alias("q"))
     turn, grow = F.col("q.angle") - F.col("p.angle"), F.col("q.scale") / F.col("p.scale")
     pairs = pairs.select(
         F.col("p.node").alias("a"), F.col("q.node").alias("b"), F.pmod(turn, F.lit(2 * math.pi)).alias("turn"), F.log2(grow).alias("grow"),
@@ -262,7 +280,8 @@ def joined(points: DataFrame) -> Written:
     cell = [F.pmod(F.floor(F.col("turn") / ANGLE_BIN + F.col("grid")), F.lit(around)), *(F.floor(F.col(c) / s + F.col("grid")) for c, s in (("grow", SCALE_BIN), ("dx", PLACE_BIN), ("dy", PLACE_BIN)))]
     votes = pairs.select("*", grids).groupBy("a", "b", "grid", *(c.alias(f"c{i}") for i, c in enumerate(cell))).agg(F.size(F.collect_set("spot")).alias("votes"))
     links = Written(votes.where(F.col("votes") >= LEAST_VOTES).select("a", "b"), "media-links")
-    del met, first, tied, one, other, pairs, votes
+    close.drop()
+    del one, other, pairs, votes
     free(points.sparkSession)
     parts = components(links.df, "media-first")
     out = components(links.df.union(_rest(points, parts.df)), "media")

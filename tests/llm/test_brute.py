@@ -754,6 +754,46 @@ def test_media_recall(spark):
     assert sum(got[i] == got[-1 - i] for i in copies) >= 0.9 * len(copies) and len(set(got.values())) >= 95
 
 
+def test_media_disk(spark):
+    """Shuffle files hold the points once for a key that is being compared, not for all keys."""
+    import threading
+    from pathlib import Path
+
+    import pyarrow as pa
+
+    from tessera.llm import op8_media
+    from tessera.llm.common import free
+
+    draw, n = np.random.default_rng(9), 100_000
+    words = draw.integers(-(2**31), 2**31, (n, 4))
+    rows_ = pa.table({"point": np.arange(n), "node": np.arange(n) // 50, **{c: np.ones(n, np.float32) for c in ("x", "y", "scale", "angle")}, **{f"d{i}": words[:, i].astype(np.int32) for i in range(4)}})
+    points = spark.createDataFrame(rows_).repartition(8).localCheckpoint()
+    free(spark)
+    folders = [Path(f.getPath()) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    sizes, ended = [], threading.Event()
+
+    def size(f):
+        try:
+            return f.stat().st_size
+        except FileNotFoundError:
+            return 0
+
+    def sample():
+        while not ended.wait(0.02):
+            sizes.append(sum(size(f) for folder in folders for f in folder.rglob("shuffle_*.data")))
+
+    watch = threading.Thread(target=sample)
+    watch.start()
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as with tables that are too large for it
+    try:
+        assert op8_media.joined(points).df.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        ended.set()
+        watch.join()
+    assert max(sizes) - sizes[0] < 190 * n
+
+
 def test_components(spark):
     from tessera.llm.graph import components
 
