@@ -74,6 +74,18 @@ def test_lines(docs):
     same(dedup(docs), out)
 
 
+def test_lines_tables(spark, monkeypatch):
+    """A round writes its ranks and the next round's runs, the last round nothing; what goes is in these."""
+    from tessera.llm import op1_lines
+
+    names, run = [], "one two three four five " * 11
+    monkeypatch.setattr(op1_lines, "Written", lambda df, name, make=op1_lines.Written: names.append(name) or make(df, name))
+    docs = spark.createDataFrame([(1, f"{run}\na\nb\nc\nd\ne"), (2, f"x\n{run}\ny\nb\nc\nd\ne"), (3, "a\nb")], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_runs, r.kept) for r in op1_lines.dedup(docs).collect()}
+    assert got == {1: (0, 0, f"{run}\na\nb\nc\nd\ne"), 2: (5, 2, "x\ny"), 3: (0, 0, "a\nb")}
+    assert names == ["lines-1", "ranks-1", "lines-2", "ranks-2", "lines-3"]
+
+
 @pytest.fixture(scope="module")
 def model():
     import public_tokenizers
