@@ -7,9 +7,10 @@ times for one similarity (place, scale and angle) are copies. Classes are the co
 
 Equal pixels are one image from the start. At first descriptors are tied, within a word of 32 bits, to the one of the first image,
 so a logo that a third of all images show is one component after as many rows as there are descriptors. Then all descriptors
-of each of SHORT_TABLES shorter keys, samples of SHORT bits, whose images are in different components are compared, in pairs of
-chunks of CHUNK; two images of which two descriptors or more meet within MEET bits have all of theirs compared, and vote.
-Work grows with the square of the images that share keys and aren't copies.
+of each of SHORT_TABLES shorter keys, samples of SHORT bits, whose images are in different components are compared; two images
+of which two descriptors or more meet within MEET bits have all of theirs compared, and vote. Images are dealt to blocks, and a
+task has the points of two blocks, so what meets is told, counted and verified where it is found and only links are written.
+Work grows with the square of the images that share keys and aren't copies; an image's points are sent once for each block.
 
 The keys are an index: descriptors within MEET bits meet with a chance that the number of keys sets (0.94 at 3 bits, 0.6 at
 8), and a copy has dozens of them. The tests compare its links with those of all pairs of images: 0.9 or more are found.
@@ -23,14 +24,13 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, bound_arrow, free
+from .common import Written, blocks, bound_arrow, free
 from .graph import components
 
 BITS, TABLES, DIFFER = 128, 4, 20
@@ -40,8 +40,10 @@ SHORT_TABLES, SHORT, MEET = 4, 24, 10
 SCALES, STEP, SIDE = 4, 1.41421356, 24
 #: Half the side of what a descriptor sees: wide enough that smooth images of one kind differ in it.
 RADIUS, LEAST_VOTES = 15, 5
-#: Descriptors of a chunk, and points of a block of images whose pairs one task verifies (at least BLOCKS blocks).
-CHUNK, BLOCK_POINTS, BLOCKS = 1000, 200_000, 8
+#: Points of a block of images (at least BLOCKS blocks), and of a slice of it that is compared with another block at a time.
+BLOCK_POINTS, BLOCKS, SLICE_POINTS = 1_000_000, 3, 100_000
+#: Pairs of descriptors compared in one go (or all of one descriptor), and meetings held before they are put together by pairs of images.
+CHUNK, MEETINGS = 1 << 20, 1 << 21
 #: Bins of a vote: radians, octaves, and pixels of the smaller scale.
 ANGLE_BIN, SCALE_BIN, PLACE_BIN = math.pi / 6, 0.7, 6.0
 
@@ -114,29 +116,23 @@ def _describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch(columns, ["node", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3"])
 
 
-def _runs(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[pa.Table]:
-    """The rows of each run of equal values of `columns`, across batches. One run is held at a time."""
-    held, last = [], None
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The points of an image as one row, or as a few: 16 bytes of place, scale and angle and 16 of words each."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        values = np.stack([batch.column(c).to_numpy(zero_copy_only=False) for c in columns], 1)
-        begin = np.concatenate([[0], np.flatnonzero((values[1:] != values[:-1]).any(1)) + 1, [len(values)]])
-        for i, end in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            if held and (values[i] != last).any():
-                yield pa.Table.from_batches(held)
-                held = []
-            held.append(batch.slice(i, end - i))
-            last = values[i]
-    if held:
-        yield pa.Table.from_batches(held)
-
-
-def _numbers(rows: pa.Table, name: str) -> np.ndarray:
+        node = _numbers(batch, "node")
+        spot = np.stack([_numbers(batch, c) for c in ("x", "y", "scale", "angle")], 1).astype("<f4")
+        data = np.concatenate([spot.view(np.uint8), _bits(batch).view(np.uint8)], 1)
+        at = np.concatenate([[0], np.flatnonzero(node[1:] != node[:-1]) + 1, [len(node)]])
+        yield pa.record_batch([pa.array(node[at[:-1]]), pa.array([data[i:end].tobytes() for i, end in zip(at[:-1], at[1:], strict=True)], pa.binary())], ["node", "points"])
+
+
+def _numbers(rows: pa.RecordBatch, name: str) -> np.ndarray:
     return rows.column(name).to_numpy()
 
 
-def _bits(rows: pa.Table) -> np.ndarray:
+def _bits(rows: pa.RecordBatch) -> np.ndarray:
     """The descriptors as two words of 64 bits."""
     return np.ascontiguousarray(np.stack([_numbers(rows, f"d{i}") for i in range(BITS // 32)], 1)).view(np.uint64)
 
@@ -145,27 +141,6 @@ def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return sum(np.bitwise_count(a[:, None, i] ^ b[None, :, i]).astype(np.uint8) for i in range(a.shape[1]))
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Images (a < b) of different components of which descriptors meet, with a's point, from rows sorted by key, lo and hi."""
-    for rows in _runs(batches, ["key", "lo", "hi"]):
-        node, label, point, part, bits = (*(_numbers(rows, c) for c in ("node", "label", "point", "part")), _bits(rows))
-        lo, hi = rows.column("lo")[0].as_py(), rows.column("hi")[0].as_py()
-        left, right = np.flatnonzero(part == lo), np.flatnonzero(part == hi)
-        if not len(left) or not len(right):
-            continue
-        found = []
-        for k in range(0, len(left), CHUNK):
-            some = left[k : k + CHUNK]
-            i, j = np.nonzero((_far(bits[some], bits[right]) <= MEET) & (label[some][:, None] != label[right]))
-            i, j = some[i], right[j]
-            turn = node[i] > node[j]
-            i, j = np.where(turn, j, i), np.where(turn, i, j)
-            found.append(np.unique(np.stack([node[i], node[j], point[i]], 1), axis=0))
-        met = np.unique(np.concatenate(found), axis=0)
-        if len(met):
-            yield pa.record_batch([pa.array(np.ascontiguousarray(met[:, c])) for c in range(3)], ["a", "b", "p"])
-
-
 def linked(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray]) -> bool:
     """Whether the points (x, y, scale, angle) and words of two images have LEAST_VOTES votes for one similarity. Points vote
     that are the nearest of the other image to each other (equally near ones all do), as smooth images have many within DIFFER."""
@@ -188,65 +163,138 @@ def linked(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray]) -
     return False
 
 
-def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of images that are linked, from rows sorted by group; a group has its images' points, then its pairs."""
-    group, images = None, {}
-    for batch in batches:
-        g, asked = batch.column("g").to_numpy(), batch.column("b").is_valid().to_numpy(zero_copy_only=False)
-        a, b = batch.column("a").to_numpy(), batch.column("b").fill_null(0).to_numpy()
-        begin = np.concatenate([[0], np.flatnonzero((g[1:] != g[:-1]) | (asked[1:] != asked[:-1]) | ~asked[1:] & (a[1:] != a[:-1])) + 1, [len(g)]]) if len(g) else np.zeros(1, int)
-        out = []
-        for i, end in zip(begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-            if g[i] != group:
-                group, images = g[i], {}
-            if asked[i]:
-                out += [(x, y) for x, y in zip(a[i:end].tolist(), b[i:end].tolist(), strict=True) if linked(images[x], images[y])]
-                continue
-            rows = pa.Table.from_batches([batch.slice(i, end - i)])
-            own = np.stack([_numbers(rows, c) for c in ("x", "y", "scale", "angle")], 1), _bits(rows)
-            images[int(a[i])] = tuple(np.concatenate(x) for x in zip(images[int(a[i])], own, strict=True)) if int(a[i]) in images else own
-        if out:
+class _Block:
+    """The images of a block: their nodes in order, where each one's points begin, and all points' image, place and words."""
+
+    def __init__(self, rows: list[tuple[int, bytes]]):
+        rows.sort(key=lambda r: r[0])
+        node, size = np.array([n for n, _ in rows], np.int64), np.array([len(p) for _, p in rows], np.int64) // 32
+        self.node, image = np.unique(node, return_inverse=True)
+        data = np.frombuffer(b"".join(p for _, p in rows), np.uint8).reshape(-1, 32)
+        self.spot, self.words = np.ascontiguousarray(data[:, :16]).view("<f4"), np.ascontiguousarray(data[:, 16:]).view(np.uint64)
+        self.image = np.repeat(image, size).astype(np.int32)
+        self.at = np.searchsorted(self.image, np.arange(len(self.node) + 1))
+
+    def points(self, image: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.spot[self.at[image] : self.at[image + 1]], self.words[self.at[image] : self.at[image + 1]]
+
+
+def _key(words: np.ndarray, mask: list[int]) -> np.ndarray:
+    """A number for the bits of a short key."""
+    own = words & np.array(mask, "<i4").view(np.uint64)
+    return own[:, 0] * np.uint64(0x9E3779B97F4A7C15) ^ own[:, 1] * np.uint64(0xC2B2AE3D27D4EB4F)
+
+
+def _alike(words: np.ndarray, others: np.ndarray, order: np.ndarray, own: np.ndarray, keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Descriptors of `words` and of `others` with equal keys that are MEET bits apart at most. others[order] have the sorted `keys`."""
+    rank = np.argsort(own)
+    first, end = np.searchsorted(keys, own[rank]), np.searchsorted(keys, own[rank], "right")
+    some = np.flatnonzero(end > first)
+    rank, first, n = rank[some], first[some], (end - first)[some]
+    at, k = np.concatenate([[0], np.cumsum(n)]), 0
+    while k < len(n):
+        stop = max(k + 1, int(np.searchsorted(at, at[k] + CHUNK, "right")) - 1)
+        i = np.repeat(rank[k:stop], n[k:stop])
+        j = order[np.arange(len(i)) + np.repeat(first[k:stop] - (at[k:stop] - at[k]), n[k:stop])]
+        near = np.flatnonzero(np.bitwise_count(words[i, 0] ^ others[j, 0]) + np.bitwise_count(words[i, 1] ^ others[j, 1]) <= MEET)
+        yield i[near], j[near]
+        k = stop
+
+
+def _together(found: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Each pair of images once, with the smallest and largest point."""
+    pair, p, q = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(pair)
+    pair, p, q = pair[order], p[order], q[order]
+    at = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]])) if len(pair) else np.zeros(0, int)
+    return (pair[at], np.minimum.reduceat(p, at), np.maximum.reduceat(q, at)) if len(at) else (pair, p, q)
+
+
+def _links(left: _Block, right: _Block, labels: dict[int, int]) -> Iterator[tuple[int, int]]:
+    """Linked images (a < b), one of each block, that no links so far have put into one component."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    of = lambda block: np.array([find(labels.get(n, n)) for n in block.node.tolist()], np.int64)
+    index = []
+    for mask in _KEYS:
+        keys = _key(right.words, mask)
+        order = np.argsort(keys).astype(np.int32)
+        index.append((order, keys[order]))
+    images = len(right.node)
+    for first, end in blocks(left.at, SLICE_POINTS):
+        begin = left.at[first]
+        words, label, to_label, found, held = left.words[begin : left.at[end]], of(left), of(right), [], 0
+        for mask, (order, keys) in zip(_KEYS, index, strict=True):
+            if left is right:  # earlier images were compared with all
+                later = right.image[order] >= first
+                order, keys = order[later], keys[later]
+            for i, j in _alike(words, right.words, order, _key(words, mask), keys):
+                i = i + begin
+                a, b = left.image[i], right.image[j]
+                apart = np.flatnonzero((label[a] != to_label[b]) & ((a < b) | (left is not right)))
+                a, b, i, j = a[apart], b[apart], i[apart], j[apart]
+                # Two descriptors at least: the smallest and the largest point of the image with the smaller number differ.
+                p = np.where(left.node[a] < right.node[b], i, j)
+                found.append((a.astype(np.int64) * images + b, p, p))
+                held += len(p)
+                if held > MEETINGS:
+                    found = [_together(found)]
+                    held = 0
+        if not found:
+            continue
+        pair, p, q = _together(found)
+        for x in pair[p != q].tolist():
+            a, b = divmod(x, images)
+            one, other = (left, a), (right, b)
+            if left.node[a] > right.node[b]:
+                one, other = other, one
+            m, n = int(one[0].node[one[1]]), int(other[0].node[other[1]])
+            k, l = find(labels.get(m, m)), find(labels.get(n, n))
+            if k != l and linked(one[0].points(one[1]), other[0].points(other[1])):
+                root[max(k, l)] = min(k, l)
+                yield m, n
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Links between two blocks or in one, from rows sorted by group: packed points of the images of each side, and labels."""
+
+    def links() -> Iterator[pa.RecordBatch]:
+        labels, sides = dict(told), [_Block(rows) for rows in (here, there) if rows]
+        told.clear(), here.clear(), there.clear()
+        if sides and (alone or len(sides) == 2):
+            out = list(_links(sides[0], sides[-1], labels))
             yield pa.record_batch([pa.array([x for x, _ in out], pa.int64()), pa.array([y for _, y in out], pa.int64())], ["a", "b"])
 
-
-def _met(told: DataFrame, key: Column) -> DataFrame:
-    """Images (a < b) of different components of which points meet under a short key, with the smallest and largest such point of a."""
-    of_point = told.select(key.alias("key"), "point", "node", "label", "d0", "d1", "d2", "d3")
-    shared = of_point.groupBy("key").agg(F.count("*").alias("n"), F.min("label").alias("l0"), F.max("label").alias("l1")).where("l0 <> l1")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    dealt = of_point.join(shared.select("key", chunks.alias("chunks")), "key").withColumn("part", F.pmod(F.xxhash64("point"), F.col("chunks")).cast("int"))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    dealt = dealt.select("key", F.least("part", "other").alias("lo"), F.greatest("part", "other").alias("hi"), "part", "point", "node", "label", "d0", "d1", "d2", "d3")
-    dealt = dealt.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
-    # Two descriptors at least: the smallest and the largest point of an image that meets the other differ.
-    return dealt.mapInArrow(_meet, "a long, b long, p long").groupBy("a", "b").agg(F.min("p").alias("p"), F.max("p").alias("q"))
+    group, alone, told, here, there = None, False, [], [], []
+    for batch in batches:
+        for g, one, side, node, label, points in zip(*(batch.column(c).to_pylist() for c in ("g", "alone", "side", "node", "label", "points")), strict=True):
+            if g != group:
+                yield from links()
+                group, alone = g, one
+            if points is None:
+                told.append((node, label))
+            else:
+                (there if side else here).append((node, points))
+    yield from links()
 
 
 def _rest(points: DataFrame, links: DataFrame) -> DataFrame:
     """Links (a, b) between images of different components, from all pairs of descriptors under a short key."""
-    label = links.select("node", "label")
-    told = points.select("point", "node", "d0", "d1", "d2", "d3").join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    # One key after the other, so that the disk holds the points once for a key and not for all.
-    each = []
-    for t, mask in enumerate(_KEYS):
-        each.append(Written(_met(told, F.xxhash64(F.lit(t), *(F.col(f"d{i}").bitwiseAND(F.lit(m)) for i, m in enumerate(mask)))), f"media-met-{t}"))
-        free(points.sparkSession)
-    met = reduce(DataFrame.union, (w.df for w in each)).groupBy("a", "b").agg(F.min("p").alias("p"), F.max("q").alias("q"))
-    pairs = Written(met.where("p <> q").select("a", "b"), "media-pairs")
-    for w in each:
-        w.drop()
-    del met
-    free(points.sparkSession)
-
-    # Pairs of images are dealt by pairs of blocks, so that an image's points are sent once to each block that needs them.
-    blocks = max(BLOCKS, points.count() // BLOCK_POINTS)
-    block = lambda c: F.pmod(F.xxhash64(c), F.lit(blocks))
-    grouped = pairs.df.select((F.least(block("a"), block("b")) * blocks + F.greatest(block("a"), block("b"))).alias("g"), "a", "b")
-    need = grouped.select("g", F.explode(F.array("a", "b")).alias("node")).distinct()
-    sent = need.join(points, "node").select("g", F.col("node").alias("a"), F.lit(None).cast("bigint").alias("b"), "x", "y", "scale", "angle", "d0", "d1", "d2", "d3")
-    asked = grouped.select("g", "a", "b", *(F.lit(None).cast(sent.schema[c].dataType).alias(c) for c in ("x", "y", "scale", "angle", "d0", "d1", "d2", "d3")))
-    rows = sent.union(asked).repartition("g").sortWithinPartitions("g", F.col("b").isNotNull(), "a")
-    return rows.mapInArrow(_verify, "a long, b long")
+    n = max(BLOCKS, points.count() // BLOCK_POINTS + 1)
+    packed = points.select("node", "x", "y", "scale", "angle", "d0", "d1", "d2", "d3").mapInArrow(_pack, "node long, points binary")
+    rows = packed.select("node", F.lit(None).cast("bigint").alias("label"), "points").unionByName(links.select("node", "label", F.lit(None).cast("binary").alias("points")))
+    own = F.pmod(F.xxhash64("node"), F.lit(n)).cast("int")
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    lo, hi = F.least("own", "other"), F.greatest("own", "other")
+    group = (lo * (2 * n + 1 - lo) / 2 + hi - lo).cast("int")  # numbers of the pairs of blocks, without gaps
+    dealt = rows.select(group.alias("g"), (F.col("own") == F.col("other")).alias("alone"), (F.col("own") > F.col("other")).alias("side"), "node", "label", "points")
+    return dealt.repartitionById(n * (n + 1) // 2, F.col("g")).sortWithinPartitions("g").mapInArrow(_compare, "a long, b long")
 
 
 def joined(points: DataFrame) -> Written:

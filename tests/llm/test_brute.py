@@ -806,6 +806,88 @@ def test_media_disk(spark):
     assert max(sizes) - sizes[0] < 190 * n
 
 
+def near_points(images, points, flips, seed):
+    """Images (spots, words) whose points are alike in pairs, a few bits apart, at unrelated places; each tenth is a copy of the one before."""
+    draw = np.random.default_rng(seed)
+    base, out = draw.integers(0, 2, (points, 128), dtype=np.uint8), []
+    for i in range(images):
+        bits, spots = base.copy(), draw.random((points, 2)) * 400
+        for row in bits:
+            row[draw.choice(128, flips, replace=False)] ^= 1
+        spots = out[-1][0][:, :2] + 3 if i % 10 == 9 else spots
+        out.append((np.concatenate([spots, np.ones((points, 1)), np.full((points, 1), 0.5)], 1).astype("<f4"), np.packbits(bits, axis=1).view("<i4")))
+    return out
+
+
+def test_media_blocks(monkeypatch):
+    """Links in and between blocks join the same images as all pairs by plain loops, whatever is compared in one go."""
+    from tessera.llm import op8_media
+
+    told = near_points(40, 12, 5, 12)
+    nodes = np.random.default_rng(2).permutation(40) * 10**16 - 10**17
+    rows_ = [(int(n), np.concatenate([s.view(np.uint8), w.view(np.uint8)], 1).tobytes()) for n, (s, w) in zip(nodes, told)]
+    images = {int(n): (s, w.view(np.uint64)) for n, (s, w) in zip(nodes, told)}
+    masks = [np.array(m, "<i4").view(np.uint64) for m in op8_media._KEYS]
+
+    def met(a, b):
+        near = lambda x, y: any(((x & m) == (y & m)).all() for m in masks) and np.bitwise_count(x ^ y).sum() <= op8_media.MEET
+        return sum(any(near(x, y) for y in images[b][1]) for x in images[a][1]) >= 2
+
+    def parts(links):
+        label = {n: n for n in images}
+        for a, b in links:
+            lo, hi = sorted((label[a], label[b]))
+            label = {n: lo if x == hi else x for n, x in label.items()}
+        return label
+
+    order = sorted(images)
+    expected = parts([(a, b) for i, a in enumerate(order) for b in order[i + 1 :] if met(a, b) and op8_media.linked(images[a], images[b])])
+    assert len(set(expected.values())) < 40
+    for chunk, meetings, piece in ((1 << 20, 1 << 21, 100_000), (1, 1, 1), (50, 30, 700)):
+        monkeypatch.setattr(op8_media, "CHUNK", chunk), monkeypatch.setattr(op8_media, "MEETINGS", meetings), monkeypatch.setattr(op8_media, "SLICE_POINTS", piece)
+        whole, left, right = op8_media._Block(rows_[:]), op8_media._Block(rows_[:17]), op8_media._Block(rows_[17:])
+        assert parts(op8_media._links(whole, whole, {})) == expected
+        assert parts([x for pair in ((left, left), (left, right), (right, right)) for x in op8_media._links(*pair, {})]) == expected
+    assert parts(op8_media._links(whole, whole, {n: 7 for n in order})) == {n: n for n in order}
+
+
+def test_media_meetings(spark):
+    """Images that meet by the thousand and aren't copies leave no row for each pair in the shuffle files."""
+    import threading
+    from pathlib import Path
+
+    from tessera.llm import op8_media
+    from tessera.llm.common import free
+
+    told = near_points(240, 20, 4, 5)
+    rows_ = [(20 * i + k, i, *map(float, spots[k]), *map(int, words[k])) for i, (spots, words) in enumerate(told) for k in range(20)]
+    points = spark.createDataFrame(rows_, "point long, node long, x float, y float, scale float, angle float, d0 int, d1 int, d2 int, d3 int").localCheckpoint()
+    parts = op8_media.components(spark.createDataFrame([], "a long, b long"), "none").df
+    free(spark)
+    folders = [Path(f.getPath()) for f in spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    sizes, ended = [], threading.Event()
+
+    def size(f):
+        try:
+            return f.stat().st_size
+        except FileNotFoundError:
+            return 0
+
+    def sample():
+        while not ended.wait(0.02):
+            sizes.append(sum(size(f) for folder in folders for f in folder.rglob("shuffle_*.data")))
+
+    watch = threading.Thread(target=sample)
+    watch.start()
+    try:
+        links = {(r.a, r.b) for r in op8_media._rest(points, parts).collect()}
+    finally:
+        ended.set()
+        watch.join()
+    assert {(i, i + 1) for i in range(8, 240, 10)} <= links
+    assert max(sizes) - sizes[0] < 200 * len(rows_)
+
+
 def test_components(spark):
     from tessera.llm.graph import components
 
