@@ -138,23 +138,46 @@ def _bits(rows: pa.RecordBatch) -> np.ndarray:
 
 
 def _far(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return sum(np.bitwise_count(a[:, None, i] ^ b[None, :, i]).astype(np.uint8) for i in range(a.shape[1]))
+    far = np.bitwise_count(a[:, :1] ^ b[:, 0])
+    for i in range(1, a.shape[1]):
+        far += np.bitwise_count(a[:, i : i + 1] ^ b[:, i])
+    return far
+
+
+def _often(values: np.ndarray) -> bool:
+    """Whether a value is there LEAST_VOTES times."""
+    own = np.sort(values)
+    return bool((own[LEAST_VOTES - 1 :] == own[: len(own) - LEAST_VOTES + 1]).any())
 
 
 def linked(p: tuple[np.ndarray, np.ndarray], q: tuple[np.ndarray, np.ndarray]) -> bool:
     """Whether the points (x, y, scale, angle) and words of two images have LEAST_VOTES votes for one similarity. Points vote
     that are the nearest of the other image to each other (equally near ones all do), as smooth images have many within DIFFER."""
     far = _far(p[1], q[1])
-    i, j = np.nonzero((far <= DIFFER) & (far == far.min(1, keepdims=True)) & (far == far.min(0)))
+    least = far.min(1)
+    rows = np.flatnonzero(least <= DIFFER)
+    if len(rows) < LEAST_VOTES:  # a point has one vote
+        return False
+    own = far[rows]
+    i, j = np.nonzero((own == least[rows, None]) & (own == far.min(0)))
+    i = rows[i]
     if len(i) < LEAST_VOTES:
         return False
     (x, y, scale, angle), (to_x, to_y, to_scale, to_angle) = p[0][i].T.astype(float), q[0][j].T.astype(float)
     turn, grow = to_angle - angle, to_scale / scale
-    dx, dy = to_x - grow * (np.cos(turn) * x - np.sin(turn) * y), to_y - grow * (np.sin(turn) * x + np.cos(turn) * y)
-    spot = (np.floor(y / 2).astype(np.int64) << 24) + np.floor(x / 2).astype(np.int64)
+    around, octaves = turn % (2 * math.pi) / ANGLE_BIN, np.log2(grow) / SCALE_BIN
+    place = None
     for grid in (0.0, 0.5):
-        bins = [np.floor(v / s + grid).astype(np.int64) for v, s in ((turn % (2 * math.pi), ANGLE_BIN), (np.log2(grow), SCALE_BIN), (dx, PLACE_BIN), (dy, PLACE_BIN))]
-        cell = (bins[0] % round(2 * math.pi / ANGLE_BIN) << 56) + (bins[1] + 32 << 50) + (bins[2] + (1 << 24) << 25) + bins[3] + (1 << 24)
+        cell = (np.floor(around + grid).astype(np.int64) % round(2 * math.pi / ANGLE_BIN) << 56) + (np.floor(octaves + grid).astype(np.int64) + 32 << 50)
+        if not _often(cell):  # few images that aren't copies agree in angle and scale
+            continue
+        if place is None:
+            place = [(to_x - grow * (np.cos(turn) * x - np.sin(turn) * y)) / PLACE_BIN, (to_y - grow * (np.sin(turn) * x + np.cos(turn) * y)) / PLACE_BIN]
+            spot = (np.floor(y / 2).astype(np.int64) << 24) + np.floor(x / 2).astype(np.int64)
+        dx, dy = (np.floor(v + grid).astype(np.int64) for v in place)
+        cell += (dx + (1 << 24) << 25) + dy + (1 << 24)
+        if not _often(cell):
+            continue
         order = np.lexsort((spot, cell))
         c, t = cell[order], spot[order]
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (t[1:] != t[:-1])])

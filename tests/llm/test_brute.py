@@ -851,6 +851,43 @@ def test_media_blocks(monkeypatch):
     assert parts(op8_media._links(whole, whole, {n: 7 for n in order})) == {n: n for n in order}
 
 
+def test_media_linked():
+    """Votes of mutually nearest points for one similarity, against plain loops, near the least number of votes."""
+    import math
+
+    from tessera.llm import op8_media
+
+    def plain(p, q):
+        far = [[int(np.bitwise_count(a ^ b).sum()) for b in q[1]] for a in p[1]]
+        pairs = [(i, j) for i, row in enumerate(far) for j, d in enumerate(row) if d <= op8_media.DIFFER and d == min(row) and d == min(r[j] for r in far)]
+        for grid in (0.0, 0.5):
+            votes = {}
+            for i, j in pairs:
+                (x, y, scale, angle), (u, v, to_scale, to_angle) = map(float, p[0][i]), map(float, q[0][j])
+                turn, grow = to_angle - angle, to_scale / scale
+                dx, dy = u - grow * (math.cos(turn) * x - math.sin(turn) * y), v - grow * (math.sin(turn) * x + math.cos(turn) * y)
+                cell = [math.floor(k / n + grid) for k, n in ((turn % (2 * math.pi), op8_media.ANGLE_BIN), (math.log2(grow), op8_media.SCALE_BIN), (dx, op8_media.PLACE_BIN), (dy, op8_media.PLACE_BIN))]
+                votes.setdefault((cell[0] % 12, *cell[1:]), set()).add((math.floor(x / 2), math.floor(y / 2)))
+            if any(len(v) >= op8_media.LEAST_VOTES for v in votes.values()):
+                return True
+        return False
+
+    draw, said = np.random.default_rng(21), []
+    for k in range(300):
+        n = int(draw.integers(3, 20))
+        words = draw.integers(0, 2**64, (n, 2), dtype=np.uint64)
+        spots = np.concatenate([draw.random((n, 2)) * 60, 2.0 ** (draw.integers(0, 4, (n, 1)) / 2), draw.random((n, 1)) * 6], 1)
+        same, moved = int(draw.integers(0, 9)), spots.copy()
+        moved[:same] += [3, 2, 0, 0.2 * (k % 2)]
+        moved[same:] = draw.permutation(moved[same:])
+        if k % 3 == 0:
+            words[1], spots[1, :2] = words[0], spots[0, :2]  # two points of one place have one vote
+        p, q = (spots.astype("<f4"), words), (moved.astype("<f4"), words ^ (draw.random((n, 2)) < 0.5).astype(np.uint64))
+        said.append(op8_media.linked(p, q))
+        assert said[-1] == plain(p, q)
+    assert 30 < sum(said) < 270
+
+
 def test_media_meetings(spark):
     """Images that meet by the thousand and aren't copies leave no row for each pair in the shuffle files."""
     import threading
