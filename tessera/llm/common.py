@@ -34,13 +34,21 @@ def partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def few(spark: SparkSession) -> int:
+    """Files of a table that every core writes its share of: two a core, however many partitions a step has."""
+    return max(12, 2 * spark.sparkContext.defaultParallelism)
+
+
 class Written:
-    """A DataFrame written to the shared folder: the lineage ends here, and lost executors cost no recomputation."""
+    """A DataFrame written to the shared folder: the lineage ends here, and lost executors cost no recomputation.
+
+    With `files`, the last step's partitions are read one after the other by so many tasks at most, each of which writes a file.
+    """
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, files: int | None = None):
         self.spark = df.sparkSession
         self.path = scratch(self.spark, name)
-        df.write.option("compression", "zstd").parquet(self.path)
+        (df.coalesce(files) if files else df).write.option("compression", "zstd").parquet(self.path)
         self.schema = df.schema
 
     @property

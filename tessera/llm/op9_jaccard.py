@@ -34,7 +34,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, blocks, bound_arrow, free, partitions, utf8
+from .common import Written, blocks, bound_arrow, few, free, partitions, utf8
 from .graph import components
 from .texthash import mix, shingles
 
@@ -453,9 +453,9 @@ def join(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
     buckets = max(partitions(spark), -(-volume // BUCKET_BYTES))
 
     mapped = Written(known.select("*", F.xxhash64("text").alias("tag")).mapInArrow(_map(k, percent, buckets), _MAPPED), "jaccard-map")
-    rows = Written(mapped.df.where("bucket = -1").select("a", "b", "c", "d").mapInArrow(_rows, "doc_id long, n_shingles long, node long, tag long"), "jaccard-rows").df
+    rows = Written(mapped.df.where("bucket = -1").select("a", "b", "c", "d").mapInArrow(_rows, "doc_id long, n_shingles long, node long, tag long"), "jaccard-rows", few(spark)).df
     points = mapped.df.where("bucket = -2").select("a", "b", "c").mapInArrow(_points, "node long, n long, point binary").dropDuplicates(["node"])
-    told = Written(mapped.df.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(_meet, _MET), "jaccard-met")
+    told = Written(mapped.df.where("bucket >= 0").repartitionById(buckets, F.col("bucket")).mapInArrow(_meet, _MET), "jaccard-met", few(spark))
     free(spark)
     several = _searches(told.df.where("size > 0").select(F.col("a").alias("block"), F.col("b").alias("node"), "size"), "block", "size").select("search", "node")
     two = told.df.where("size = 0").select("a", "b").distinct().select(F.concat_ws("-", "a", "b").alias("search"), F.explode(F.array("a", "b")).alias("node"))

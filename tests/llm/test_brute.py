@@ -932,3 +932,36 @@ def test_components(spark):
     got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), "t").df.collect()}
     assert all(got[i] == 0 for i in range(61)) and all(got[100 + i] == 100 for i in range(40)) and got[200] == got[201] == 200
     assert components(spark.createDataFrame([], "a long, b long"), "t").df.count() == 0
+
+
+@pytest.fixture
+def made(spark, monkeypatch):
+    """How many files each table has that the operators on pairs write, with many partitions that nothing puts together."""
+    from tessera.llm import graph, op8_media, op9_jaccard
+
+    files, make = {}, graph.Written
+
+    def written(df, name, *few):
+        out = make(df, name, *few)
+        files[name] = len(out.df.inputFiles())
+        return out
+
+    for module in (graph, op8_media, op9_jaccard):
+        monkeypatch.setattr(module, "Written", written)
+    held = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in held}
+    for k, v in held.items():
+        spark.conf.set(k, v)
+    yield files
+    for k, v in before.items():
+        spark.conf.set(k, v)
+
+
+def test_jaccard_files(spark, made):
+    """Tables and rounds have few files, however many partitions there are: a file made starts processes on some file systems."""
+    from tessera.llm import op9_jaccard
+
+    rows_ = [(100 * g + i, " ".join([*(f"w{g}_{j}" for j in range(60)), f"end{i % 7}"])) for g in range(30) for i in range(9)]
+    same(op9_jaccard.join(spark.createDataFrame(rows_, "doc_id long, text string"), 3, 90).select("doc_id", "n_shingles", "component_id"), brute_jaccard(rows_, 3, 90))
+    assert {"jaccard-rows", "jaccard-met", "jaccard-maybe-labels", "jaccard-labels"} <= set(made)
+    assert max(made.values()) <= 16 and all(n == 1 for name, n in made.items() if re.search(r"-([2-9]|labels)$", name)), made
