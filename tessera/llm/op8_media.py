@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Written, blocks, bound_arrow, free
+from .common import Written, blocks, bound_arrow, few, free
 from .graph import components
 
 BITS, TABLES, DIFFER = 128, 4, 20
@@ -322,18 +322,19 @@ def _rest(points: DataFrame, links: DataFrame) -> DataFrame:
 
 def joined(points: DataFrame) -> Written:
     """node and label of the components of images that are copies, from their points."""
+    files = few(points.sparkSession)
     # Keys and point numbers alone are shuffled; points of an image have numbers in a row, so a key's smallest point is that
     # of the same image for all keys that some images share. What the points are like is fetched for pairs that met.
     keys = F.explode(F.array(*(F.struct(F.lit(i).alias("table"), F.col(f"d{i}").alias("key")) for i in range(TABLES)))).alias("k")
     met = points.select("point", keys).select((F.shiftleft(F.col("k.table").cast("bigint"), 32) + F.col("k.key")).alias("key"), "point")
     first = met.groupBy("key").agg(F.min("point").alias("q"), F.max("point").alias("last")).where("q <> last").drop("last")
-    tied = Written(met.join(first, "key").where("point <> q").select(F.col("point").alias("p"), "q").distinct(), "media-tied")
+    tied = Written(met.join(first, "key").where("point <> q").select(F.col("point").alias("p"), "q").distinct(), "media-tied", files)
     del met, first
     free(points.sparkSession)
     # Words first, places only for pairs within DIFFER: each step's shuffle files go before the next one.
     words = lambda c: points.select(F.col("point").alias(c), F.struct("node", "d0", "d1", "d2", "d3").alias("of_" + c))
     far = sum((F.bit_count(F.col(f"of_p.d{i}").bitwiseXOR(F.col(f"of_q.d{i}"))) for i in range(1, BITS // 32)), F.bit_count(F.col("of_p.d0").bitwiseXOR(F.col("of_q.d0"))))
-    close = Written(tied.df.join(words("p"), "p").join(words("q"), "q").where((far <= DIFFER) & (F.col("of_p.node") != F.col("of_q.node"))).select("p", "q"), "media-close")
+    close = Written(tied.df.join(words("p"), "p").join(words("q"), "q").where((far <= DIFFER) & (F.col("of_p.node") != F.col("of_q.node"))).select("p", "q"), "media-close", files)
     tied.drop()
     free(points.sparkSession)
     spot = F.struct("node", "x", "y", "scale", "angle")
@@ -350,7 +351,7 @@ def joined(points: DataFrame) -> Written:
     around = round(2 * math.pi / ANGLE_BIN)
     cell = [F.pmod(F.floor(F.col("turn") / ANGLE_BIN + F.col("grid")), F.lit(around)), *(F.floor(F.col(c) / s + F.col("grid")) for c, s in (("grow", SCALE_BIN), ("dx", PLACE_BIN), ("dy", PLACE_BIN)))]
     votes = pairs.select("*", grids).groupBy("a", "b", "grid", *(c.alias(f"c{i}") for i, c in enumerate(cell))).agg(F.size(F.collect_set("spot")).alias("votes"))
-    links = Written(votes.where(F.col("votes") >= LEAST_VOTES).select("a", "b"), "media-links")
+    links = Written(votes.where(F.col("votes") >= LEAST_VOTES).select("a", "b"), "media-links", files)
     close.drop()
     del one, other, pairs, votes
     free(points.sparkSession)
@@ -364,15 +365,16 @@ def joined(points: DataFrame) -> Written:
 def classes(images: DataFrame) -> DataFrame:
     """image_id, n_keypoints and class_id (the smallest id among copies) of each row of image_id, pixels, height, width."""
     bound_arrow(images.sparkSession)
+    files = few(images.sparkSession)
     fits = F.coalesce(F.octet_length("pixels") == F.col("height") * F.col("width"), F.lit(False)) & (F.col("height") > 0)
     rows = images.where("image_id is not null").select(F.col("image_id").cast("bigint").alias("image_id"), "pixels", "height", "width", fits.alias("fits"))
     rows = rows.withColumn("node", F.when(F.col("fits"), F.xxhash64("height", "width", "pixels")).when(F.col("pixels").isNotNull(), F.xxhash64("pixels", F.lit("odd"))))
-    ids = Written(rows.select("image_id", "node"), "media-ids")
+    ids = Written(rows.select("image_id", "node"), "media-ids", files)
     of_id = ids.df.where("node is not null").groupBy("node", "image_id").agg(F.count("*").alias("held"))
     reps = of_id.groupBy("node").agg(F.min(F.struct("image_id", "held")).alias("r")).select("node", F.col("r.image_id").alias("rep"), F.col("r.held").alias("held"))
     # One image of each class of equal data is described (`held` times, if its row repeats).
     once = rows.where("fits").join(reps.select(F.col("rep").alias("image_id"), F.col("node").alias("n")), "image_id").where("node = n")
-    points = Written(once.select("node", "pixels", "height", "width").mapInArrow(_describe, _POINTS).select(F.monotonically_increasing_id().alias("point"), "*"), "media-points")
+    points = Written(once.select("node", "pixels", "height", "width").mapInArrow(_describe, _POINTS).select(F.monotonically_increasing_id().alias("point"), "*"), "media-points", files)
 
     links = joined(points.df)
     named = links.df.join(reps, "node").groupBy("label").agg(F.min("rep").alias("class_id"))

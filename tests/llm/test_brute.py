@@ -957,8 +957,22 @@ def made(spark, monkeypatch):
         spark.conf.set(k, v)
 
 
-def test_jaccard_files(spark, made):
+def test_media_files(spark, made):
     """Tables and rounds have few files, however many partitions there are: a file made starts processes on some file systems."""
+    from tessera.llm import op8_media
+
+    draw = np.random.default_rng(4)
+    images = [op8_media.resize(draw.random((9, 9)), 56, 56) * 200 for _ in range(40)]
+    rows_ = [(i, bytearray(a.astype(np.uint8).tobytes()), 56, 56) for i, a in enumerate([*images, *(a * 0.8 + 30 for a in images)])]
+    docs = spark.createDataFrame(rows_, "image_id long, pixels binary, height int, width int").repartition(40)
+    got = {r.image_id: r.class_id for r in op8_media.classes(docs).collect()}
+    assert all(got[i] == i % 40 for i in range(80)), got
+    assert {"media-ids", "media-points", "media-tied", "media-close", "media-links", "media-labels"} <= set(made)
+    assert max(made.values()) <= 16 and all(n == 1 for name, n in made.items() if re.search(r"-([2-9]|labels)$", name)), made
+
+
+def test_jaccard_files(spark, made):
+    """The same of the Jaccard join, whose buckets stay as many as there are partitions."""
     from tessera.llm import op9_jaccard
 
     rows_ = [(100 * g + i, " ".join([*(f"w{g}_{j}" for j in range(60)), f"end{i % 7}"])) for g in range(30) for i in range(9)]
