@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -33,6 +34,11 @@ from .common import bound_arrow, partitions
 BLOCK_IDS = 1 << 16
 #: Words whose ids a worker remembers, and the longest such word.
 CACHE_WORDS, CACHE_CHARS = 1_400_000, 48
+#: Words that are encoded as one text, with blanks between them.
+JOINED_WORDS = 200
+#: Letters whose small letter is one character that no normal form changes, and marks that no cut divides.
+LETTERS = "".join(c for c in map(chr, range(0x130)) if c.isalpha())
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Fixed value: the pattern by which the tokenizer cuts whose pieces can be encoded one by one.
 WORD_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Cuts between parts that are looked at in one step.
@@ -75,8 +81,8 @@ class WordEncoder:
     """Ids of texts as little-endian unsigned integers of `unit` bytes.
 
     Where the tokenizer lower-cases and cuts at white space and between letters and marks, a text's ids are those of its pieces
-    between blanks and line ends in a row, and a word's are those of its small letters, then of the marks behind. Pieces
-    repeat, and their ids are kept. Texts of any other tokenizer are encoded whole.
+    between blanks and line ends in a row, and a word's are those of its small letters, then of the marks behind. A batch's distinct
+    pieces are taken apart at once; the ids of words, marks and other pieces are kept. Texts of any other tokenizer are encoded whole.
     """
 
     def __init__(self, model: str, unit: int = 4):
@@ -85,44 +91,64 @@ class WordEncoder:
 
         self.tokenizer, self.unit, self.code = Tokenizer.from_str(model), unit, {1: "B", 2: "H", 4: "I"}[unit]
         self.known: dict[str, bytes] = {"": b""}
-        self.by_words = _cuts_words(json.loads(model))
+        said = json.loads(model)
+        self.by_words = _cuts_words(said)
+        suffix, vocabulary = said["model"].get("end_of_word_suffix"), self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a word, if the tokenizer marks them
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return struct.pack(f"<{len(ids)}{self.code}", *ids)
 
     def _encode(self, pieces: list[str]) -> None:
         for piece, got in zip(pieces, self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False), strict=True):
-            self.known[piece] = struct.pack(f"<{len(got.ids)}{self.code}", *got.ids)
-
-    def _learn(self, pieces: set[str]) -> None:
-        known, alone, made = self.known, set(), []
-        for piece in pieces:
-            bare = piece.rstrip(".,")
-            small = bare.lower()
-            if small.isalpha() and (bare.isascii() or max(bare) < "\u0130"):
-                tail = piece[len(bare) :]
-                made.append((piece, small, tail))
-                alone.update(x for x in (small, tail) if x not in known)
+            self.known[piece] = self._bytes(got.ids)
+
+    def _encode_words(self, words: list[str]) -> None:
+        """Words of LETTERS: many make one text, whose ids are cut behind those that end a word. Where these aren't as many as the words, each is encoded alone."""
+        for at in range(0, len(words), JOINED_WORDS):
+            run = words[at : at + JOINED_WORDS]
+            ids = self.tokenizer.encode_batch_fast([" ".join(run)], add_special_tokens=False)[0].ids
+            ends = ((np.flatnonzero(self.ends[ids]) + 1) * self.unit).tolist()
+            if len(ends) == len(run):
+                data = self._bytes(ids)
+                self.known.update(zip(run, [data[i:j] for i, j in zip([0, *ends], ends)], strict=True))
             else:
-                alone.add(piece)
-        self._encode(list(alone))
-        for piece, small, tail in made:
-            known[piece] = known[small] + known[tail]
+                self._encode(run)
+
+    def _ids(self, pieces: pa.Array) -> pa.Array:
+        """The ids of distinct pieces."""
+        bare, tail, size = pc.utf8_rtrim(pieces, MARKS), pc.utf8_ltrim(pieces, LETTERS), pc.binary_length
+        split = pc.equal(pc.add(size(bare), size(tail)), size(pieces))  # letters alone, then marks alone
+        heads = pc.if_else(split, pc.utf8_lower(bare), pieces).dictionary_encode()
+        tails = pc.if_else(split, tail, pa.scalar("", pieces.type)).dictionary_encode()
+        names, marks, other = (x.to_numpy(zero_copy_only=False).tolist() for x in (heads.dictionary, tails.dictionary, pieces.filter(pc.invert(split))))
+        if len(self.known) > CACHE_WORDS:
+            self.known = {"": b""}
+        known, whole = self.known, set(other)
+        new = [n for n in names if n not in known]
+        self._encode_words([n for n in new if n not in whole])
+        self._encode([n for n in new if n in whole] + [m for m in marks if m not in known])
+        first, last = (pa.array([known[x] for x in xs], pa.large_binary()) for xs in (names, marks))
+        for x in (*new, *marks):
+            if len(x) > CACHE_CHARS:
+                known.pop(x, None)
+        return pc.binary_join_element_wise(first.take(heads.indices), last.take(tails.indices), pa.scalar(b"", pa.large_binary()))
+
+    def batch(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text; null is empty."""
+        texts = texts.fill_null("")
+        if not self.by_words:
+            return [self._bytes(got.ids) for got in (self.tokenizer.encode(t, add_special_tokens=False) for t in texts.to_pylist())]
+        rows = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        pieces = rows.flatten().dictionary_encode()
+        _, ends, data = self._ids(pieces.dictionary).take(pieces.indices).buffers()
+        at = np.frombuffer(ends, np.int64)[rows.offsets.to_numpy()].tolist()
+        data = memoryview(data or b"")
+        return [bytes(data[i:j]) for i, j in zip(at, at[1:])]
 
     def __call__(self, text: str) -> bytes:
-        if not self.by_words:
-            ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-            return struct.pack(f"<{len(ids)}{self.code}", *ids)
-        pieces = text.replace("\n", " ").split(" ")
-        try:
-            return b"".join(map(self.known.__getitem__, pieces))
-        except KeyError:
-            if len(self.known) > CACHE_WORDS:
-                self.known = {"": b""}
-            new = set(pieces).difference(self.known)
-            self._learn(new)
-            out = b"".join(map(self.known.__getitem__, pieces))
-            for p in new:
-                if len(p) > CACHE_CHARS:
-                    del self.known[p]
-            return out
+        return self.batch(pa.array([text], pa.string()))[0]
 
 
 _encoders: dict[tuple[int, int], WordEncoder] = {}
@@ -155,7 +181,7 @@ def tokenize(docs: DataFrame, model: str, end_id: int, bits: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(sent.value, unit)
         for batch in batches:
-            ids = [encode(text or "") + end for text in batch.column("text").to_pylist()]
+            ids = [data + end for data in encode.batch(batch.column("text"))]
             yield pa.record_batch([batch.column("doc_id"), batch.column("part"), pa.array([len(i) // unit for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "part", "n_tokens", "ids"])
 
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "part", "text").mapInArrow(run, _TOKENS)

@@ -129,6 +129,41 @@ def test_pack_encoder(name):
         assert np.frombuffer(encode(text), "<u4").tolist() == known.encode(text, add_special_tokens=False).ids, text
 
 
+def test_pack_words(model):
+    """New words are encoded many at a time, marks behind them apart, whatever letters, marks and rows there are; ids are the library's."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    from tessera.llm.op2_pack import WordEncoder
+
+    class Counted:
+        def __init__(self, inner):
+            self.inner, self.texts = inner, 0
+
+        def encode_batch_fast(self, texts, **more):
+            self.texts += len(texts)
+            return self.inner.encode_batch_fast(texts, **more)
+
+    known = Tokenizer.from_str(model)
+    ids = lambda text: known.encode(text or "", add_special_tokens=False).ids
+    marks = [".", ",", "***", "!?", ""]
+    text = " ".join("".join("abcdefghij"[int(d)] for d in str(7919 * i)).capitalize() + marks[i % 5] for i in range(1, 2001))
+    encode = WordEncoder(model)
+    encode.tokenizer = counted = Counted(encode.tokenizer)
+    assert np.frombuffer(encode(text), "<u4").tolist() == ids(text) and counted.texts <= 20
+    encode = WordEncoder(model)
+    encode.ends[:] = False  # no id says that a word ends
+    assert np.frombuffer(encode(text), "<u4").tolist() == ids(text)
+
+    encode, signs = WordEncoder(model, 2), [chr(c) for c in range(0x250)]
+    odd = [f"A{c}b{m} {c}{m} x{m}{c} {m}{c}y" for c in signs for m in "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"]
+    texts = [None, "", " ", "\n\n", *odd, "<|endoftext|>... <|ENDOFTEXT|> a<|", "A" * 5000 + "...", None]
+    for rows in (pa.array(texts), pa.array(texts).slice(1, 9), pa.array(texts, pa.large_string()), pa.array([], pa.string())):
+        got = [np.frombuffer(b, "<u2").tolist() for b in encode.batch(rows)]
+        assert got == [ids(t) for t in rows.to_pylist()]
+    assert max(map(len, encode.known)) <= 48
+
+
 def test_pack_hot(spark, model, tmp_path):
     """A doc_id, and none, on a third of all rows each fill several parts; the order stays, and null ids come back as null."""
     from tessera.llm import op2_pack
