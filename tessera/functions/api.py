@@ -11,10 +11,14 @@ import json
 from collections.abc import Callable, Iterator
 from decimal import Decimal
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import batch as B
 from . import paths, values, write
 from .errors import JsonError
 from .lazy import Lazy
@@ -101,6 +105,82 @@ def _struct(fn: Callable[[object], object], kind: str):
     return F.pandas_udf(run, f"value {kind}, error string")
 
 
+#: Arrow types of getters' values, as TYPES has Spark's.
+_ARROW = {
+    "int64": pa.int64(), "uint64": pa.decimal128(20, 0), "int32": pa.int32(), "uint32": pa.int64(), "double": pa.float64(), "float": pa.float32(), "bool": pa.bool_(), "string": pa.string(),
+    "bigint": pa.string(), "null": pa.string(),
+}
+#: Options under which batches are read as the reader of one document reads.
+_KNOWN = {"big"}
+_NEITHER = {"value": None, "error": None}
+
+
+def _batched(c: Column | str, kind: pa.DataType, quick: Callable, fn: Callable[[object], object], options: tuple = ()) -> Column:
+    """struct<value, error> by quick(Batch) for plain documents, by a strict function of one text for others."""
+
+    def slow(t) -> dict:
+        value, code = _attempt(fn, t)
+        return {"value": value, "error": code}
+
+    o = dict(options)
+    return B.column(_column(c), B.result(kind), quick if set(o) <= _KNOWN else lambda _: None, slow, bool(o.get("big")), _NEITHER)
+
+
+def _typed(batch: B.Batch, kind: str, at: np.ndarray, codes: np.ndarray) -> tuple[pa.Array, np.ndarray] | None:
+    """Getters' values of nodes (below 0: none, with its code), and their codes; None for kinds that are read one by one."""
+    there = at >= 0
+    found = np.where(there, batch.kind[np.where(there, at, 0)], -1)
+    place, codes = np.where(there, at, 0), codes.copy()
+    if kind in ("int64", "int32", "uint32"):
+        fits = found == B.INT64
+        codes[found == B.UINT64] = "NUMBER_OUT_OF_RANGE"
+        wrong = there & ~fits & (found != B.UINT64)
+        low, high = {"int64": (-(1 << 63), (1 << 63) - 1), "int32": (-(1 << 31), (1 << 31) - 1), "uint32": (0, (1 << 32) - 1)}[kind]
+        over = fits & ((batch.value[place] < low) | (batch.value[place] > high))
+        codes[over] = "NUMBER_OUT_OF_RANGE"
+        fits &= ~over
+        value = pa.array(np.where(fits, batch.value[place], 0), _ARROW[kind], mask=~fits)
+    elif kind == "uint64":
+        fits = (found == B.UINT64) | (found == B.INT64) & (batch.value[place] >= 0)
+        codes[(found == B.INT64) & ~fits] = "NUMBER_OUT_OF_RANGE"
+        wrong = there & ~fits & (found != B.INT64)
+        value = batch.raw(np.where(fits, at, -1)).cast(pa.decimal128(20, 0))
+    elif kind == "double":
+        fits = (found == B.INT64) | (found == B.UINT64) | (found == B.DOUBLE)
+        wrong = there & ~fits
+        value = pa.array(batch.real[place], mask=~fits)
+    elif kind == "bool":
+        fits = found == B.BOOL
+        wrong = there & ~fits
+        value = pa.array(batch.value[place] != 0, mask=~fits)
+    elif kind == "string":
+        fits = found == B.STRING
+        wrong = there & ~fits
+        value = batch.strings(np.where(fits, at, -1))
+    elif kind == "bigint":
+        fits = found == B.BIGINT
+        wrong = there & ~fits
+        value = batch.raw(np.where(fits, at, -1))
+    elif kind == "float":
+        fits = (found == B.INT64) | (found == B.UINT64) | (found == B.DOUBLE)
+        wrong = there & ~fits
+        value = batch.raw(np.where(fits, at, -1))
+        seen: dict[str, float] = {}
+        out = []
+        for t in value.to_pylist():
+            if t is not None and t not in seen:
+                try:
+                    seen[t] = values.nearest_float32(t)
+                except JsonError:
+                    return None
+            out.append(None if t is None else seen[t])
+        value = pa.array(out, pa.float32())
+    else:
+        return None
+    codes[wrong] = "INCORRECT_TYPE"
+    return value, codes
+
+
 def _plain(fn: Callable[[object], object], kind: str):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
@@ -185,7 +265,13 @@ def json_raw(c: Column | str, pointer: str | None = None, path: str | None = Non
         tree = _Last.get(t, o)
         return tree.raw(find(tree))
 
-    return _struct(get, "string")(_column(c))
+    def quick(batch: B.Batch):
+        if pointer is None or dialect == "legacy" or dialect == "ondemand" and "~" in pointer:
+            return None
+        at, codes = batch.at_pointer(pointer)
+        return B.struct(batch.raw(at), codes)
+
+    return _batched(c, pa.string(), quick, get, o)
 
 
 def json_get(c: Column | str, kind: str, pointer: str | None = None, path: str | None = None, dialect: str = "dom", **options) -> Column:
@@ -203,7 +289,11 @@ def json_get(c: Column | str, kind: str, pointer: str | None = None, path: str |
         value = getter(tree, find(tree))
         return Decimal(value) if wide else value
 
-    return _struct(get, TYPES[kind])(_column(c))
+    def quick(batch: B.Batch):
+        got = _typed(batch, kind, *batch.at_pointer(pointer)) if dialect == "dom" and pointer is not None else None
+        return got and B.struct(*got)
+
+    return _batched(c, _ARROW[kind], quick, get, o)
 
 
 def json_get_in_string(c: Column | str, kind: str, pointer: str | None = None, path: str | None = None, dialect: str = "dom") -> Column:
@@ -222,7 +312,6 @@ def json_get_many(c: Column | str, fields: dict[str, tuple[str, str]], dialect:
     """One reading for many values: name -> (kind, pointer), as struct<name: struct<value, error>, ...>."""
     o = _options(options)
     plan = [(name, values.GETTERS[kind], _locate(pointer, None, dialect), kind == "uint64") for name, (kind, pointer) in fields.items()]
-    schema = ", ".join(f"`{name}` struct<value:{TYPES[kind]},error:string>" for name, (kind, _) in fields.items())
     quick = [(kind, _Plain.keys(pointer, dialect, o)) for kind, pointer in fields.values()]
 
     def one(t) -> list:
@@ -236,12 +325,16 @@ def json_get_many(c: Column | str, fields: dict[str, tuple[str, str]], dialect:
         got = [_attempt(lambda g=getter, f=find: g(tree, f(tree))) for _, getter, find, _ in plan]
         return [(Decimal(v), e) if wide and v is not None else (v, e) for (v, e), (_, _, _, wide) in zip(got, plan, strict=True)]
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            rows = [one(t) if t is not None else [(None, None)] * len(plan) for t in texts]
-            yield pd.DataFrame({name: pd.Series([{"value": r[i][0], "error": r[i][1]} for r in rows], dtype=object) for i, (name, *_) in enumerate(plan)})
+    kinds = pa.struct([(name, B.result(_ARROW[kind])) for name, (kind, _) in fields.items()])
+
+    def slow(t) -> dict:
+        return {name: {"value": v, "error": e} for name, (v, e) in zip(fields, one(t), strict=True)}
 
-    return F.pandas_udf(run, schema)(_column(c))
+    def fast(batch: B.Batch):
+        got = [_typed(batch, kind, *batch.at_pointer(pointer)) for kind, pointer in fields.values()]
+        return None if any(g is None for g in got) else pa.StructArray.from_arrays([B.struct(*g) for g in got], list(fields))
+
+    return B.column(_column(c), kinds, fast if dialect == "dom" and {k for k, _ in o} <= _KNOWN else lambda _: None, slow, bool(dict(o).get("big")), dict.fromkeys(fields, _NEITHER))
 
 
 def json_pointers(c: Column | str, pointers: list[str], **options) -> Column:
@@ -256,7 +349,16 @@ def json_pointers(c: Column | str, pointers: list[str], **options) -> Column:
             out.append({"pointer": p, "value": value, "error": why})
         return out
 
-    return _plain(one, "array<struct<pointer:string,value:string,error:string>>")(_column(c))
+    found = pa.struct([("pointer", pa.string()), ("value", pa.string()), ("error", pa.string())])
+
+    def quick(batch: B.Batch):
+        n, got = len(batch), [batch.at_pointer(p) for p in pointers]
+        names = pa.concat_arrays([pa.array([p] * n, pa.string()) for p in pointers])
+        every = pa.StructArray.from_arrays([names, pa.concat_arrays([batch.raw(at) for at, _ in got]), pa.array(np.concatenate([codes for _, codes in got]), pa.string())], ["pointer", "value", "error"])
+        turn = np.arange(n * len(pointers)).reshape(len(pointers), n).T.ravel()
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * len(pointers), pa.int32()), every.take(pa.array(turn)))
+
+    return B.column(_column(c), pa.list_(found), quick if pointers and {k for k, _ in o} <= _KNOWN else lambda _: None, one, bool(dict(o).get("big")))
 
 
 def json_wildcard(c: Column | str, path: str, dialect: str = "dom", **options) -> Column:
@@ -271,7 +373,11 @@ def json_wildcard(c: Column | str, path: str, dialect: str = "dom", **options) -
             tree = _Last.get(t, o)
             return [tree.raw(i) for i in paths.at_path_with_wildcard(tree, path)]
 
-        return _struct(get, "array<string>")(_column(c))
+        def every(batch: B.Batch):
+            at = batch.at_wildcard(path)
+            return None if at is None else B.struct(batch.lists(at, batch.raw(at)), np.full(len(batch), None, object))
+
+        return _batched(c, pa.list_(pa.string()), every, get, o)
 
     def one(t):
         out: list[str] = []
@@ -283,12 +389,17 @@ def json_wildcard(c: Column | str, path: str, dialect: str = "dom", **options) -
             return out, e.code
         return out, None
 
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            got = [one(t) if t is not None else (None, None) for t in texts]
-            yield pd.DataFrame({"value": pd.Series([g[0] for g in got], dtype=object), "error": pd.Series([g[1] for g in got], dtype=object)})
+    def quick(batch: B.Batch):
+        if (got := batch.each_at_path(path)) is None or path in ("", "$"):
+            return None
+        at, failed = got
+        return B.struct(batch.lists(at, batch.raw(at)), np.full(len(batch), None, object)), failed
+
+    def slow(t) -> dict:
+        value, code = one(t)
+        return {"value": value, "error": code}
 
-    return F.pandas_udf(run, "value array<string>, error string")(_column(c))
+    return B.column(_column(c), B.result(pa.list_(pa.string())), quick if {k for k, _ in o} <= _KNOWN else lambda _: None, slow, bool(dict(o).get("big")), _NEITHER)
 
 
 def json_at_key(c: Column | str, key: str, case_insensitive: bool = False, raw: bool = False) -> Column:
@@ -298,7 +409,14 @@ def json_at_key(c: Column | str, key: str, case_insensitive: bool = False, raw:
 
 def json_at(c: Column | str, index: int) -> Column:
     """struct<value, error>: the text of an array's element."""
-    return _struct(lambda t: (tree := _Last.get(t, ())).raw(paths.at_index(tree, 0, index)), "string")(_column(c))
+
+    def quick(batch: B.Batch):
+        roots = batch.first[:-1]
+        arrays = batch.kind[roots] == B.ARRAY
+        at = np.where(arrays, batch.child_at_index(roots, index), -1)
+        return B.struct(batch.raw(at), np.where(at >= 0, None, np.where(arrays, "INDEX_OUT_OF_BOUNDS", "INCORRECT_TYPE").astype(object)))
+
+    return _batched(c, pa.string(), quick, lambda t: (tree := _Last.get(t, ())).raw(paths.at_index(tree, 0, index)))
 
 
 def json_find_fields(c: Column | str, keys: list[str]) -> Column:
@@ -325,7 +443,13 @@ def json_touch(c: Column | str, pointer: str, incomplete: bool = False) -> Colum
 def json_type(c: Column | str, pointer: str = "", **options) -> Column:
     """struct<value, error>: array object string int64 uint64 double bigint bool null."""
     o = _options(options)
-    return _struct(lambda t: (tree := _Last.get(t, o)).nodes[paths.at_pointer(tree, pointer)].kind, "string")(_column(c))
+
+    def quick(batch: B.Batch):
+        at, codes = batch.at_pointer(pointer)
+        kinds = np.array([*B.KINDS, None], object)
+        return B.struct(pa.array(kinds[np.where(at >= 0, batch.kind[at], len(B.KINDS))], pa.string()), codes)
+
+    return _batched(c, pa.string(), quick, lambda t: (tree := _Last.get(t, o)).nodes[paths.at_pointer(tree, pointer)].kind, o)
 
 
 def json_type_coarse(c: Column | str) -> Column:
@@ -341,7 +465,46 @@ def json_is(c: Column | str, kind: str, pointer: str = "") -> Column:
     """struct<value, error>: whether a value has a kind, that is, whether its getter would succeed."""
     if kind not in values.GETTERS and kind not in ("object", "array", "number", "scalar", "integer", "negative"):
         raise ValueError(f"unknown kind {kind!r}")
-    return _struct(lambda t: values.is_kind(tree := _Last.get(t, (("big", True),)), paths.at_pointer(tree, pointer), kind), "boolean")(_column(c))
+    return json_are(c, {"one": (kind, pointer)})["one"]
+
+
+def json_are(c: Column | str, tests: dict[str, tuple[str, str]]) -> Column:
+    """One reading for many tests of kinds: name -> (kind, pointer), as struct<name: struct<value, error>, ...>."""
+    big = (("big", True),)
+
+    def quick(batch: B.Batch):
+        out = []
+        for kind, pointer in tests.values():
+            at, codes = batch.at_pointer(pointer)
+            there = at >= 0
+            place = np.where(there, at, 0)
+            found = batch.kind[place]
+            if kind in ("object", "array", "string", "int64", "double", "bool", "bigint", "null"):
+                hit = found == B.KINDS.index(kind)
+                if kind == "double":  # whose getter takes integers too
+                    hit |= (found == B.INT64) | (found == B.UINT64)
+            elif kind == "number":
+                hit = (found == B.INT64) | (found == B.UINT64) | (found == B.DOUBLE)
+            elif kind == "scalar":
+                hit = found > B.ARRAY
+            elif kind == "integer":
+                hit = (found == B.INT64) | (found == B.UINT64) | (found == B.BIGINT)
+            elif kind == "negative":
+                hit = batch.data[batch.start[place]] == ord("-")
+            else:
+                return None
+            out.append(B.struct(pa.array(hit, mask=~there), codes))
+        return pa.StructArray.from_arrays(out, list(tests))
+
+    def slow(t) -> dict:
+        tree, code = _attempt(_Last.get, t, big)
+        out = {}
+        for name, (kind, pointer) in tests.items():
+            value, why = _attempt(lambda k=kind, p=pointer: values.is_kind(tree, paths.at_pointer(tree, p), k)) if tree else (None, code)
+            out[name] = {"value": value, "error": why}
+        return out
+
+    return B.column(_column(c), pa.struct([(name, B.result(pa.bool_())) for name in tests]), quick, slow, True, dict.fromkeys(tests, _NEITHER))
 
 
 def json_is_integer_text(c: Column | str) -> Column:
@@ -417,7 +580,46 @@ def json_size(c: Column | str, pointer: str = "") -> Column:
             raise JsonError("INCORRECT_TYPE")
         return node.children
 
-    return _struct(get, "int")(_column(c))
+    def quick(batch: B.Batch):
+        return _sized(batch, pointer)
+
+    return _batched(c, pa.int32(), quick, get)
+
+
+def _sized(batch: B.Batch, pointer: str) -> pa.Array:
+    at, codes = batch.at_pointer(pointer)
+    held = (at >= 0) & (batch.kind[at] <= B.ARRAY)
+    codes[(at >= 0) & ~held] = "INCORRECT_TYPE"
+    return B.struct(pa.array(np.where(held, batch.children[at], 0), pa.int32(), mask=~held), codes)
+
+
+def _slotted(batch: B.Batch, pointer: str) -> pa.Array:
+    at, codes = batch.at_pointer(pointer)
+    return B.struct(pa.array(np.where(at >= 0, batch.last[at] - at - 1, 0), pa.int32(), mask=at < 0), codes)
+
+
+def json_sizes(c: Column | str, sizes: dict[str, str], slots: dict[str, str]) -> Column:
+    """One reading for many of json_size and json_slots: name -> pointer, as struct<name: struct<value, error>, ...>."""
+
+    def quick(batch: B.Batch):
+        return pa.StructArray.from_arrays([*(_sized(batch, p) for p in sizes.values()), *(_slotted(batch, p) for p in slots.values())], [*sizes, *slots])
+
+    def slow(t) -> dict:
+        tree, code = _attempt(_Last.get, t, ())
+        out = {}
+        for name, pointer in [*sizes.items(), *slots.items()]:
+            i, why = _attempt(paths.at_pointer, tree, pointer) if tree else (None, code)
+            value = None
+            if i is not None and name in slots:
+                value = tree.nodes[i].last - i - 1
+            elif i is not None:
+                held = tree.nodes[i].kind in ("object", "array")
+                value, why = (tree.nodes[i].children, None) if held else (None, "INCORRECT_TYPE")
+            out[name] = {"value": value, "error": why}
+        return out
+
+    names = [*sizes, *slots]
+    return B.column(_column(c), pa.struct([(name, B.result(pa.int32())) for name in names]), quick, slow, False, dict.fromkeys(names, _NEITHER))
 
 
 def json_size_native(c: Column | str) -> Column:
@@ -428,7 +630,7 @@ def json_size_native(c: Column | str) -> Column:
 
 def json_slots(c: Column | str, pointer: str = "") -> Column:
     """struct<value, error>: how many nodes a subtree has below its root."""
-    return _struct(lambda t: (n := (tree := _Last.get(t, ())).nodes[(i := paths.at_pointer(tree, pointer))]).last - i - 1, "int")(_column(c))
+    return _batched(c, pa.int32(), lambda batch: _slotted(batch, pointer), lambda t: (n := (tree := _Last.get(t, ())).nodes[(i := paths.at_pointer(tree, pointer))]).last - i - 1)
 
 
 # --- texts --------------------------------------------------------------------------------------------------------------

@@ -276,7 +276,8 @@ def object_each(spark, sf_dir):
 
 def sizes(spark, sf_dir):
     docs = order_documents(spark, sf_dir)
-    return docs.select("o_orderkey", api.json_size("json", "/lines")["value"].alias("lines"), api.json_size_native("json").alias("fields"), api.json_slots("json", "/user")["value"].alias("slots"))
+    rows = docs.select("o_orderkey", api.json_sizes("json", {"lines": "/lines", "fields": ""}, {"slots": "/user"}).alias("g"))
+    return rows.select("o_orderkey", *(F.col(f"g.{name}.value").alias(name) for name in ("lines", "fields", "slots")))
 
 
 def key_lookups(spark, sf_dir):
