@@ -119,3 +119,10 @@ def evaluations(df) -> int:
 
 def test_sizes_read_once(spark):
     assert evaluations(W.sizes(spark, SF)) == 1
+
+
+def test_lines_are_shuffled_as_rows(spark):
+    """Below the shuffle of lines nothing is aggregated."""
+    plan = W.order_documents(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    shuffles = [i for i, line in enumerate(plan.splitlines()) if "hashpartitioning(l_orderkey" in line]
+    assert len(shuffles) == 1 and "Aggregate" not in "\n".join(plan.splitlines()[shuffles[0] :]).split("hashpartitioning(o_orderkey")[0]
