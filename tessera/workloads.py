@@ -27,6 +27,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows over twice as many partitions as there are cores: narrow tables are small files, which one task would read and work off."""
+    return rows.repartition(2 * rows.sparkSession.sparkContext.defaultParallelism)
+
+
 def order_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """o_orderkey and one document an order, with its lines in order. One shuffle by order key, of plain rows: an order's lines are
     few and lie apart, so lists made before it would be sorted and written for nothing."""
@@ -130,7 +135,7 @@ def orders_doc_explode(spark, sf_dir):
 
 
 def customer_documents(spark, sf_dir):
-    c = table(spark, sf_dir, "customer")
+    c = spread(table(spark, sf_dir, "customer"))
     user = F.struct(F.col("c_custkey").alias("id"), F.col("c_name").alias("screen_name"))
     reply = F.when(F.col("c_custkey") % 3 == 0, F.col("c_nationkey"))
     return c.select("c_custkey", F.to_json(F.struct(user.alias("user"), F.col("c_mktsegment").alias("text"), reply.alias("in_reply_to"), F.col("c_acctbal").alias("retweets")), {"ignoreNullFields": "false"}).alias("json"))
@@ -420,8 +425,12 @@ def number_struct(spark, sf_dir):
 def kind_tests(spark, sf_dir):
     """Type tests of each member of a document."""
     docs = customer_documents(spark, sf_dir)
-    test = lambda kind, pointer: api.json_is("json", kind, pointer)["value"]
-    return docs.select("c_custkey", test("object", "/user").alias("object"), test("scalar", "/user").alias("scalar"), test("string", "/text").alias("string"), test("null", "/in_reply_to").alias("nothing"), test("number", "/retweets").alias("number"), test("integer", "/user/id").alias("integer"), test("negative", "/retweets").alias("negative"))
+    tests = {
+        "object": ("object", "/user"), "scalar": ("scalar", "/user"), "string": ("string", "/text"), "nothing": ("null", "/in_reply_to"), "number": ("number", "/retweets"), "integer": ("integer", "/user/id"),
+        "negative": ("negative", "/retweets"),
+    }
+    rows = docs.select("c_custkey", api.json_are("json", tests).alias("g"))
+    return rows.select("c_custkey", *(F.col(f"g.{name}.value").alias(name) for name in tests))
 
 
 def raw_texts(spark, sf_dir):

@@ -126,3 +126,10 @@ def test_lines_are_shuffled_as_rows(spark):
     plan = W.order_documents(spark, SF)._jdf.queryExecution().executedPlan().toString()
     shuffles = [i for i, line in enumerate(plan.splitlines()) if "hashpartitioning(l_orderkey" in line]
     assert len(shuffles) == 1 and "Aggregate" not in "\n".join(plan.splitlines()[shuffles[0] :]).split("hashpartitioning(o_orderkey")[0]
+
+
+def test_small_tables_are_spread(spark):
+    """One file of customers or parts is more than one task's work, and a document's tests and getters share an evaluation."""
+    for query in (W.kind_tests, W.typed_getters):
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "RoundRobinPartitioning" in plan and plan.count("ArrowEvalPython") == 1
