@@ -243,7 +243,7 @@ def bound_rows(spark, sf_dir):
     """Binding to a struct where some documents lack a member that must be there."""
     schema = T.StructType([T.StructField("key", T.LongType(), False), T.StructField("size", T.IntegerType(), False), T.StructField("brand", T.StringType(), True)])
     size = F.when(F.col("p_partkey") % 5 != 0, F.col("p_size"))
-    docs = table(spark, sf_dir, "part").select("p_partkey", F.to_json(F.struct(F.col("p_partkey").alias("key"), size.alias("size"), F.col("p_type").alias("more"))).alias("json"))
+    docs = spread(table(spark, sf_dir, "part")).select("p_partkey", F.to_json(F.struct(F.col("p_partkey").alias("key"), size.alias("size"), F.col("p_type").alias("more"))).alias("json"))
     got = binding.decode("json", schema)
     return docs.select("p_partkey", got.alias("g")).select("p_partkey", F.col("g.value.size").alias("size"), F.col("g.value.brand").alias("brand"), F.col("g.error").alias("error"))
 
@@ -417,7 +417,7 @@ def chunked_turns(spark, sf_dir):
 def number_struct(spark, sf_dir):
     """The dynamic number of a mixed member."""
     v = F.when(F.col("p_partkey") % 3 == 0, F.col("p_size").cast("string")).when(F.col("p_partkey") % 3 == 1, F.col("p_retailprice").cast("string")).otherwise("18446744073709551615")
-    docs = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit('{"v":'), v, F.lit("}")).alias("json"))
+    docs = spread(table(spark, sf_dir, "part")).select("p_partkey", F.concat(F.lit('{"v":'), v, F.lit("}")).alias("json"))
     n = api.json_number("json", "/v")
     return docs.select("p_partkey", n.alias("n")).select("p_partkey", "n.kind", "n.i64", F.col("n.u64").cast("string").alias("u64"), "n.f64")
 
@@ -444,11 +444,11 @@ def typed_getters(spark, sf_dir):
     key = F.col("p_partkey")
     more = F.concat(F.lit('{"f":'), F.col("p_retailprice").cast("string"), F.lit(',"b":'), (F.col("p_size") > 25).cast("string"), F.lit(',"n":'), F.when(key % 4 == 0, -key).otherwise(key).cast("string"), F.lit(',"big":1234567890123456789012'), key.cast("string"), F.lit("}"))
     some = F.concat(F.lit("["), F.when(key % 2 == 0, "1").otherwise(""), F.lit("]"))
-    rows = table(spark, sf_dir, "part").select("p_partkey", more.alias("json"), F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(","), key.cast("string"), F.lit("]")).alias("pair"), some.alias("some"))
-    got = api.json_get_many("json", {"f": ("float", "/f"), "b": ("bool", "/b"), "n": ("uint32", "/n"), "big": ("bigint", "/big"), "wrong": ("bool", "/f")}, big=True)
-    rows = rows.select("p_partkey", got.alias("g"), api.json_get("json", "uint64", pointer="/n", big=True).alias("u"), api.json_at("pair", 1)["value"].alias("second"), api.json_at("pair", 2)["error"].alias("third"), (api.json_size("some")["value"] == 0).alias("empty"))
+    rows = spread(table(spark, sf_dir, "part")).select("p_partkey", more.alias("json"), F.concat(F.lit("["), F.col("p_size").cast("string"), F.lit(","), key.cast("string"), F.lit("]")).alias("pair"), some.alias("some"))
+    got = api.json_get_many("json", {"f": ("float", "/f"), "b": ("bool", "/b"), "n": ("uint32", "/n"), "u": ("uint64", "/n"), "big": ("bigint", "/big"), "wrong": ("bool", "/f")}, big=True)
+    rows = rows.select("p_partkey", got.alias("g"), api.json_at("pair", 1)["value"].alias("second"), api.json_at("pair", 2)["error"].alias("third"), (api.json_size("some")["value"] == 0).alias("empty"))
     return rows.select(
-        "p_partkey", F.col("g.f.value").cast("double").alias("float"), F.col("g.b.value").alias("bool"), F.col("g.n.value").alias("uint32"), F.col("g.n.error").alias("uint32_error"), F.col("u.error").alias("uint64_error"),
+        "p_partkey", F.col("g.f.value").cast("double").alias("float"), F.col("g.b.value").alias("bool"), F.col("g.n.value").alias("uint32"), F.col("g.n.error").alias("uint32_error"), F.col("g.u.error").alias("uint64_error"),
         F.col("g.big.value").alias("bigint"), F.col("g.wrong.error").alias("wrong"), "second", "third", "empty",
     )
 
