@@ -10,9 +10,10 @@ import pytest
 
 from tessera import workloads as W
 from tessera.functions import batch as B
-from tessera.functions import paths
+from tessera.functions import batch_write, paths, write
 from tessera.functions.errors import JsonError
 from tessera.functions.tree import Tree, parse
+from tessera.functions.write import Fractured
 
 SF = "/root/testdata/sf0.001"
 ATOMS = (
@@ -107,6 +108,28 @@ def test_paths_equal_the_readers(seed):
                     assert failed[d] or list(each[batch.doc[each] == d] - batch.first[d]) == got
 
 
+LAYOUTS = (
+    Fractured(), Fractured(max_inline_length=60, max_items_per_line=3, enable_table_format=False), Fractured(max_inline_length=10, max_total_line_length=40, enable_table_format=False, colon_padding=False, comma_padding=False),
+    Fractured(max_inline_complexity=0, max_compact_array_complexity=3, simple_bracket_padding=False, enable_table_format=False, indent_spaces=1, max_total_line_length=25), Fractured(enable_compact_multiline=False, max_inline_length=12, min_table_rows=1),
+)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_texts_equal_the_writers(seed):
+    draw, wrote = random.Random(seed), 0
+    for _ in range(30):
+        batch, want = trees(texts(draw, 40), True)
+        assert batch_write.minify(batch).to_pylist() == [write.minify(t) for t in want]
+        step = draw.choice([0, 1, 4])
+        assert batch_write.prettify(batch, step).to_pylist() == [write.prettify(t, step=step) for t in want]
+        for layout in LAYOUTS:
+            got, left = batch_write.fractured(batch, layout)
+            for text, no, tree in zip(got.to_pylist(), left, want, strict=True):
+                assert no or text == write.fractured(tree, layout), (tree.text, layout)
+                wrote += not no
+    assert wrote > 1000
+
+
 def test_slices():
     docs = pa.array(["x" * (B.SLICE // 3)] * 10 + [None, "y" * B.SLICE * 2, "z"])
     parts = list(B.slices(docs))
