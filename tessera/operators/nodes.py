@@ -6,15 +6,18 @@ it always have doc_id as a key, so they need no more than the partitioning that
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from decimal import Decimal
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import batch as B
 from ..functions.errors import JsonError
-from ..functions.tree import parse
+from ..functions.tree import Tree, parse
 from ..shipping import ship
 
 SCHEMA = """doc_id bigint, node_id int, parent_id int, end_id int, depth int, ord int, key string, raw_key string, kind string, raw string,
@@ -29,45 +32,167 @@ _ARROW = pa.schema(
 BATCH = 20_000
 
 
-def nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "json", containers: bool = True, **options) -> DataFrame:
-    """All nodes of all documents. A document that can't be read gives one row with its code. containers: their raw text too."""
+def rows_of(tree: Tree, containers: bool = True) -> list[tuple]:
+    """A tree's nodes as rows of SCHEMA between doc_id and error."""
+    out = []
+    for n, node in enumerate(tree.nodes):
+        k, v = node.kind, node.value
+        raw = tree.raw(n) if containers or k not in ("object", "array") else None
+        out.append(
+            (
+                n, node.parent, node.last, node.depth, node.ord, node.key, node.raw_key, k, raw, v if k in ("string", "bigint") else None, v if k == "int64" else None,
+                Decimal(v) if k == "uint64" else None, v if k == "double" else None, v if k == "bool" else None, node.children,
+            )
+        )
+    return out
+
+
+def arrays_of(batch: B.Batch, some: np.ndarray, names: Sequence[str], containers: bool = True) -> dict[str, pa.Array]:
+    """The same of some nodes of a batch, as columns with these names."""
+    kind, base = batch.kind[some], batch.first[batch.doc[some]]
+    small = lambda v: pa.array(v, pa.int32())
+    of = {
+        "node_id": lambda: small(some - base), "parent_id": lambda: small(np.where(batch.parent[some] >= 0, batch.parent[some] - base, -1)), "end_id": lambda: small(batch.last[some] - base),
+        "depth": lambda: small(batch.depth[some]), "ord": lambda: small(batch.ord[some]), "key": lambda: batch.keys(some), "raw_key": lambda: batch.keys(some),
+        "kind": lambda: pa.array(B.KINDS, pa.string()).take(pa.array(kind)), "raw": lambda: batch.raw(some if containers else np.where(kind > B.ARRAY, some, -1)),
+        "s": lambda: pc.coalesce(batch.strings(some), batch.raw(np.where(kind == B.BIGINT, some, -1))), "i": lambda: pa.array(batch.value[some], mask=kind != B.INT64),
+        "u": lambda: batch.raw(np.where(kind == B.UINT64, some, -1)).cast(pa.decimal128(20, 0)), "d": lambda: pa.array(batch.real[some], mask=kind != B.DOUBLE),
+        "b": lambda: pa.array(batch.value[some] != 0, mask=kind != B.BOOL), "child_count": lambda: small(batch.children[some]),
+    }
+    return {name: of[name]() for name in names}
+
+
+def nodes(docs: DataFrame, doc_id: str = "doc_id", text: str = "json", containers: bool = True, columns: Sequence[str] | None = None, **options) -> DataFrame:
+    """All nodes of all documents. A document that can't be read gives one row with its code. containers: their raw text too.
+    columns: those of the table that are wanted, as Spark can't leave others out for itself."""
     ship(docs.sparkSession)
     options = {"big": True} | options
+    wanted = [f for f in _ARROW if columns is None or f.name in columns]
+    schema, names = pa.schema(wanted), [f.name for f in wanted]
+    quick = set(options) == {"big"}
 
-    def rows_of(doc, text_) -> list[tuple]:
+    def slow(doc, text_) -> list[tuple]:
         try:
-            tree = parse(text_, **options)
+            return [(doc, *row, None) for row in rows_of(parse(text_, **options), containers)]
         except JsonError as e:
             return [(doc, *[None] * 15, e.code)]
-        out = []
-        for n, node in enumerate(tree.nodes):
-            k, v = node.kind, node.value
-            raw = tree.raw(n) if containers or k not in ("object", "array") else None
-            out.append(
-                (
-                    doc, n, node.parent, node.last, node.depth, node.ord, node.key, node.raw_key, k, raw, v if k in ("string", "bigint") else None, v if k == "int64" else None,
-                    Decimal(v) if k == "uint64" else None, v if k == "double" else None, v if k == "bool" else None, node.children, None,
-                )
-            )
-        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held, strict=True), _ARROW, strict=True)], schema=_ARROW)
-
-        for batch in batches:
-            for doc, t in zip(batch.column(0), batch.column(1), strict=True):
-                if t.is_valid:
-                    held += rows_of(doc.as_py(), t.as_py())
-                if len(held) >= BATCH:
-                    yield flush()
-                    held = []
-        if held:
-            yield flush()
-
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(run, SCHEMA)
+        for given in batches:
+            given = given.filter(pc.is_valid(given.column(1)))
+            at = 0
+            for part in B.slices(given.column(1)):
+                docs_, at = given.column(0).slice(at, len(part)), at + len(part)
+                plain = np.zeros(len(part), bool)
+                if quick:
+                    batch = B.Batch(part, options["big"])
+                    plain = batch.plain
+                    some = np.arange(len(batch.kind))
+                    made = arrays_of(batch, some, [n for n in names if n not in ("doc_id", "error")], containers)
+                    made["doc_id"] = docs_.filter(pa.array(plain)).take(pa.array(batch.doc))
+                    made["error"] = pa.nulls(len(some), pa.string())
+                    if len(some):
+                        yield pa.record_batch([made[n] for n in names], schema=schema)
+                held: list[tuple] = []
+                for doc, t in zip(docs_.filter(pa.array(~plain)).to_pylist(), part.filter(pa.array(~plain)).to_pylist(), strict=True):
+                    held += slow(doc, t)
+                    if len(held) >= BATCH:
+                        yield _rows(held, schema)
+                        held = []
+                if held:
+                    yield _rows(held, schema)
+
+    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text)).mapInArrow(run, ", ".join(c for c in SCHEMA.split(", ") if c.split()[0] in names) if columns else SCHEMA)
+
+
+def _rows(held: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = dict(zip(_ARROW.names, zip(*held, strict=True), strict=True))
+    return pa.record_batch([pa.array(columns[f.name], f.type) for f in schema], schema=schema)
+
+
+def below_key(docs: DataFrame, key: str, columns: Sequence[str], doc_id: str = "doc_id", text: str = "json", case_insensitive: bool = False) -> DataFrame:
+    """doc_id, root_id and these columns of all nodes below the first child with a key of each object, the child included: what
+    subtrees(t, select_key(t, key)) gives for documents with ids of their own, without a table of all nodes."""
+    ship(docs.sparkSession)
+    fold = lambda k: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in k) if case_insensitive else k
+    name = fold(key)
+    row = pa.struct([("root_id", pa.int32()), *((f.name, f.type) for f in _ARROW if f.name in columns)])
+    names = [f.name for f in row][1:]
+    places = [_ARROW.names.index(n) - 1 for n in names]
+
+    def quick(batch: B.Batch) -> pa.Array:
+        hit = np.flatnonzero(np.asarray(pc.equal(pc.ascii_lower(batch.keys(np.arange(len(batch.kind)))), name).fill_null(False))) if case_insensitive else batch.with_key(name)
+        hit = hit[np.sort(np.unique(batch.parent[hit], return_index=True)[1])]
+        size = batch.last[hit] - hit
+        at = np.cumsum(size) - size
+        some = np.arange(size.sum()) + np.repeat(hit - at, size)
+        made = arrays_of(batch, some, names)
+        root = pa.array(np.repeat(hit - batch.first[batch.doc[hit]], size), pa.int32())
+        lists = np.searchsorted(np.repeat(batch.doc[hit], size), np.arange(len(batch) + 1))
+        return pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays([root, *(made[n] for n in names)], [f.name for f in row]))
+
+    def slow(t: str) -> list[dict]:
+        try:
+            tree = parse(t, big=True)
+        except JsonError:
+            return []
+        rows, seen, out = rows_of(tree), set(), []
+        for i, node in enumerate(tree.nodes):
+            if node.key is not None and fold(node.key) == name and node.parent not in seen:
+                seen.add(node.parent)
+                out += [{"root_id": i} | {n: rows[j][p] for n, p in zip(names, places, strict=True)} for j in range(i, node.last)]
+        return out
+
+    found = B.column(F.col(text), pa.list_(row), quick, slow)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.explode(found).alias("n")).select("doc_id", "n.*")
+
+
+_COUNTERS = ("integer_count", "float_count", "object_count", "array_count", "null_count", "true_count", "false_count", "key_count", "repeated_key_count", "maximum_depth", "maximum_object_size", "maximum_array_size")
+
+
+def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "json") -> DataFrame:
+    """doc_id and those of the counters of `statistics` that need no texts, for each document that can be read, without a table of nodes."""
+    ship(docs.sparkSession)
+    row = pa.struct([(n, pa.int32() if n.startswith("maximum") else pa.int64()) for n in _COUNTERS])
+
+    def quick(batch: B.Batch) -> pa.Array:
+        kind, doc, n = batch.kind, batch.doc, len(batch)
+        count = lambda some: np.bincount(doc[some], minlength=n)
+        keyed = np.flatnonzero(batch.key_start >= 0)
+        codes = batch.keys(keyed).dictionary_encode()
+        names = max(1, len(codes.dictionary))
+        pairs = np.unique(doc[keyed] * names + codes.indices.to_numpy()) if len(keyed) else np.zeros(0, np.int64)
+        keys = count(keyed)
+
+        def largest(which: int) -> pa.Array:
+            out = np.full(n, -1, np.int32)
+            some = kind == which
+            np.maximum.at(out, doc[some], batch.children[some])
+            return pa.array(out, mask=out < 0)
+
+        columns = [
+            count((kind == B.INT64) | (kind == B.UINT64)), count(kind == B.DOUBLE), count(kind == B.OBJECT), count(kind == B.ARRAY), count(kind == B.NULL), count((kind == B.BOOL) & (batch.value != 0)),
+            count((kind == B.BOOL) & (batch.value == 0)), keys, keys - np.bincount(pairs // names, minlength=n),
+        ]
+        return pa.StructArray.from_arrays([*map(pa.array, columns), pa.array(np.maximum.reduceat(batch.depth, batch.first[:-1])), largest(B.OBJECT), largest(B.ARRAY)], list(_COUNTERS))
+
+    def slow(t: str) -> dict | None:
+        try:
+            found = parse(t, big=True).nodes
+        except JsonError:
+            return None
+        count = lambda *kinds: sum(n.kind in kinds for n in found)
+        keys = [n.key for n in found if n.key is not None]
+        size = lambda kind: max((n.children for n in found if n.kind == kind), default=None)
+        true = sum(n.kind == "bool" and n.value for n in found)
+        values = (
+            count("int64", "uint64"), count("double"), count("object"), count("array"), count("null"), true, count("bool") - true, len(keys), len(keys) - len(set(keys)), max(n.depth for n in found), size("object"),
+            size("array"),
+        )
+        return dict(zip(_COUNTERS, values, strict=True))
+
+    got = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), B.column(F.col(text), row, quick, slow).alias("g"))
+    return got.where("g is not null").select("doc_id", "g.*")
 
 
 def statistics(table: DataFrame) -> DataFrame:

@@ -251,26 +251,22 @@ def bound_rows(spark, sf_dir):
 # --- nodes and texts ----------------------------------------------------------------------------------------------------
 
 
-def order_nodes(spark, sf_dir, containers=False):
-    return N.nodes(order_documents(spark, sf_dir).withColumnRenamed("o_orderkey", "doc_id"), containers=containers)
+def order_texts(spark, sf_dir):
+    return order_documents(spark, sf_dir).withColumnRenamed("o_orderkey", "doc_id")
 
 
 def nodes_count_by_kind(spark, sf_dir):
-    return order_nodes(spark, sf_dir).groupBy("kind").agg(F.count("*").alias("n"))
+    return N.nodes(order_texts(spark, sf_dir), columns=("kind",)).groupBy("kind").agg(F.count("*").alias("n"))
 
 
 def nodes_statistics(spark, sf_dir):
-    stats = N.statistics(order_nodes(spark, sf_dir, True))
+    stats = N.document_statistics(order_texts(spark, sf_dir))
     return stats.select("doc_id", "integer_count", "float_count", "object_count", "array_count", "maximum_depth", "maximum_array_size", "key_count", "repeated_key_count", "null_count")
 
 
 def nodes_subtree(spark, sf_dir):
-    """Everything below the key `lines`, found through the table's own ranges. The table is read three times, so it is written once."""
-    path = scratch(spark, "nodes")
-    order_nodes(spark, sf_dir).write.parquet(path)
-    t = spark.read.parquet(path)
-    lines = N.select_key(t, "LINES", case_insensitive=True)
-    return N.subtrees(t, lines).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("key") == "l_partkey", F.col("i"))).alias("partkeys"))
+    """Everything below the key `lines`. A document's nodes are in one batch, so no table of all of them is written and joined with itself."""
+    return N.below_key(order_texts(spark, sf_dir), "LINES", ("key", "i"), case_insensitive=True).groupBy("doc_id").agg(F.count("*").alias("n"), F.sum(F.when(F.col("key") == "l_partkey", F.col("i"))).alias("partkeys"))
 
 
 def object_each(spark, sf_dir):

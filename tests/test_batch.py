@@ -14,6 +14,7 @@ from tessera.functions import batch_write, paths, write
 from tessera.functions.errors import JsonError
 from tessera.functions.tree import Tree, parse
 from tessera.functions.write import Fractured
+from tessera.operators import nodes as N
 
 SF = "/root/testdata/sf0.001"
 ATOMS = (
@@ -156,3 +157,31 @@ def test_small_tables_are_spread(spark):
     for query in (W.kind_tests, W.typed_getters):
         plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "RoundRobinPartitioning" in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_node_tables_agree(spark):
+    """Nodes, subtrees and counters that are made for batches are those of the reader of one document, wrong documents among them."""
+    draw = random.Random(9)
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts(draw, 600))], "doc_id bigint, json string").repartition(3)
+    rows = lambda df, names: sorted(map(repr, df.select(*names).collect()))
+    table = N.nodes(docs).cache()
+    slow = N.nodes(docs, minus_zero=False)  # an option that batches don't know
+    names = [c for c in table.columns if c != "u"]
+    assert rows(table, names) == rows(slow, names) and table.where("error is not null").count() > 20
+    assert rows(N.nodes(docs, columns=("doc_id", "kind", "error")), ["doc_id", "kind", "error"]) == rows(table, ["doc_id", "kind", "error"])
+    for key, fold in (("LINES", True), ("a", False)):
+        want = N.subtrees(table, N.select_key(table, key, case_insensitive=fold))
+        some = ["doc_id", "root_id", "node_id", "key", "i", "kind", "raw"]
+        got = N.below_key(docs, key, some[2:], case_insensitive=fold)
+        assert rows(got, some) == rows(want, some) and got.count() > 20
+    counters = N.document_statistics(docs)
+    assert rows(counters, counters.columns) == rows(N.statistics(table), counters.columns)
+
+
+def test_order_nodes_are_not_shuffled(spark):
+    """Nodes of orders are neither written nor shuffled: what is counted of a document is one row, made where the document is."""
+    for query in (W.nodes_subtree, W.nodes_statistics):
+        plan = query(spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.count("FileScan") == 2 and "MapInArrow" not in plan
+        above = plan[: plan.index("ArrowEvalPython")]
+        assert "Exchange" not in above or "partial_count" in above[above.index("Exchange") :]
