@@ -161,26 +161,31 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "js
         keyed = np.flatnonzero(batch.key_start >= 0)
         codes = batch.keys(keyed).dictionary_encode()
         names = max(1, len(codes.dictionary))
-        pairs = np.unique(doc[keyed] * names + codes.indices.to_numpy()) if len(keyed) else np.zeros(0, np.int64)
+        pairs = doc[keyed] * names + codes.indices.to_numpy()
+        if n * names <= 1 << 22:
+            seen = np.zeros(n * names, bool)
+            seen[pairs] = True
+            pairs = np.flatnonzero(seen)
+        else:
+            pairs = np.unique(pairs)
         keys = count(keyed)
 
         def largest(which: int) -> pa.Array:
-            out = np.full(n, -1, np.int32)
-            some = kind == which
-            np.maximum.at(out, doc[some], batch.children[some])
+            out = np.maximum.reduceat(np.where(kind == which, batch.children, -1), batch.first[:-1]).astype(np.int32)
             return pa.array(out, mask=out < 0)
 
         columns = [
             count((kind == B.INT64) | (kind == B.UINT64)), count(kind == B.DOUBLE), count(kind == B.OBJECT), count(kind == B.ARRAY), count(kind == B.NULL), count((kind == B.BOOL) & (batch.value != 0)),
             count((kind == B.BOOL) & (batch.value == 0)), keys, keys - np.bincount(pairs // names, minlength=n),
         ]
-        return pa.StructArray.from_arrays([*map(pa.array, columns), pa.array(np.maximum.reduceat(batch.depth, batch.first[:-1])), largest(B.OBJECT), largest(B.ARRAY)], list(_COUNTERS))
+        rows = pa.StructArray.from_arrays([*map(pa.array, columns), pa.array(np.maximum.reduceat(batch.depth, batch.first[:-1])), largest(B.OBJECT), largest(B.ARRAY)], list(_COUNTERS))
+        return pa.ListArray.from_arrays(pa.array(np.arange(n + 1), pa.int32()), rows)
 
-    def slow(t: str) -> dict | None:
+    def slow(t: str) -> list[dict]:
         try:
             found = parse(t, big=True).nodes
         except JsonError:
-            return None
+            return []
         count = lambda *kinds: sum(n.kind in kinds for n in found)
         keys = [n.key for n in found if n.key is not None]
         size = lambda kind: max((n.children for n in found if n.kind == kind), default=None)
@@ -189,10 +194,11 @@ def document_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "js
             count("int64", "uint64"), count("double"), count("object"), count("array"), count("null"), true, count("bool") - true, len(keys), len(keys) - len(set(keys)), max(n.depth for n in found), size("object"),
             size("array"),
         )
-        return dict(zip(_COUNTERS, values, strict=True))
+        return [dict(zip(_COUNTERS, values, strict=True))]
 
-    got = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), B.column(F.col(text), row, quick, slow).alias("g"))
-    return got.where("g is not null").select("doc_id", "g.*")
+    # A list of one or none: a filter on a function's result would be evaluated apart, and read every document again.
+    got = docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.explode(B.column(F.col(text), pa.list_(row), quick, slow)).alias("g"))
+    return got.select("doc_id", "g.*")
 
 
 def statistics(table: DataFrame) -> DataFrame:
