@@ -9,10 +9,14 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _sent: set[str] = set()
+#: Text that Spark hands to Python at once, whatever the rows: 10,000 of them can be of any size.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
 def ship(spark: SparkSession) -> None:
     """Add the package to the session's Python files, once an application."""
+    if spark.conf.get(BATCH).rstrip("b") == str(64 << 20):  # as Spark has it, so nobody chose it
+        spark.conf.set(BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _sent:
         return

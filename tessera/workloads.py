@@ -325,7 +325,7 @@ def utf8_check(spark, sf_dir):
 
 def html_round_trip(spark, sf_dir):
     """Markup with quotes, tags and accents as JSON strings."""
-    docs = table(spark, sf_dir, "pages").select("page_id", F.to_json(F.struct("url", "html")).alias("json"))
+    docs = spread(table(spark, sf_dir, "pages")).select("page_id", F.to_json(F.struct("url", "html")).alias("json"))
     got = api.json_get_many("json", {"url": ("string", "/url"), "html": ("string", "/html")})
     return docs.select("page_id", got.alias("g")).select("page_id", F.col("g.url.value").alias("url"), F.length("g.html.value").alias("n_html"))
 

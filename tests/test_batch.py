@@ -199,3 +199,9 @@ def test_batched_columns_agree(spark):
     ):
         got = docs.select(make().alias("q"), make(minus_zero=False).alias("s")).collect()  # batches don't know this option
         assert all(r.q == r.s for r in got) and len(got) == 500
+
+
+def test_pages_come_in_bounded_batches(spark):
+    """A batch is bounded by its bytes, and one file of pages is more than one task's work."""
+    plan = W.html_round_trip(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "RoundRobinPartitioning" in plan and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("b")) <= 8 << 20
