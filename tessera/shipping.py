@@ -15,8 +15,6 @@ BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 def ship(spark: SparkSession) -> None:
     """Add the package to the session's Python files, once an application."""
-    if spark.conf.get(BATCH).rstrip("b") == str(64 << 20):  # as Spark has it, so nobody chose it
-        spark.conf.set(BATCH, str(BATCH_BYTES))
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
@@ -27,3 +25,9 @@ def ship(spark: SparkSession) -> None:
             z.write(f, f"{home.name}/{f.relative_to(home).as_posix()}")
     spark.sparkContext.addPyFile(str(target))
     _sent.add(app)
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """BATCH_BYTES for this session's batches, unless it says otherwise itself."""
+    if spark.conf.get(BATCH).rstrip("b") == str(64 << 20):  # as Spark has it, so nobody chose it
+        spark.conf.set(BATCH, str(BATCH_BYTES))

@@ -16,7 +16,7 @@ from .functions.paths import path_to_pointer
 from .operators import nodes as N
 from .plans.selector import KeySelector, extract, fields
 from .shared import scratch
-from .shipping import ship
+from .shipping import bound_batches, ship
 from .sources import documents as D
 from .sources.framing import split
 from .streaming import documents as S
@@ -325,6 +325,7 @@ def utf8_check(spark, sf_dir):
 
 def html_round_trip(spark, sf_dir):
     """Markup with quotes, tags and accents as JSON strings."""
+    bound_batches(spark)
     docs = spread(table(spark, sf_dir, "pages")).select("page_id", F.to_json(F.struct("url", "html")).alias("json"))
     got = api.json_get_many("json", {"url": ("string", "/url"), "html": ("string", "/html")})
     return docs.select("page_id", got.alias("g")).select("page_id", F.col("g.url.value").alias("url"), F.length("g.html.value").alias("n_html"))
